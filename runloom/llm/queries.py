@@ -1,13 +1,16 @@
 """The subpackage's queries and the SQL that checks them."""
 
-from runloom.llm import substring_dedup, url_filter
+from runloom.llm import decontam, simhash, substring_dedup, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
+    "op2_simhash": simhash.query,
+    "op3_decontamination": decontam.query,
     "op5_substring_dedup": substring_dedup.query,
 }
 
 SQL = {
     "op1_url_filter": url_filter.SQL,
+    "op3_decontamination": decontam.SQL,
     "op5_substring_dedup": substring_dedup.SQL,
 }
