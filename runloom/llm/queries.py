@@ -1,11 +1,12 @@
 """The subpackage's queries and the SQL that checks them."""
 
-from runloom.llm import decontam, simhash, substring_dedup, url_filter
+from runloom.llm import decontam, packing, simhash, substring_dedup, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
     "op2_simhash": simhash.query,
     "op3_decontamination": decontam.query,
+    "op4_packing": packing.query,
     "op5_substring_dedup": substring_dedup.query,
 }
 
