@@ -1,6 +1,6 @@
 """The subpackage's queries and the SQL that checks them."""
 
-from runloom.llm import decontam, embedding_dedup, language_id, packing, secret_scan, simhash, substring_dedup, url_filter
+from runloom.llm import decontam, embedding_dedup, language_id, license_scan, packing, secret_scan, simhash, substring_dedup, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
@@ -9,6 +9,7 @@ QUERIES = {
     "op4_packing": packing.query,
     "op5_substring_dedup": substring_dedup.query,
     "op7_embedding_dedup": embedding_dedup.query,
+    "op8_license_scan": license_scan.query,
     "op9_secret_scan": secret_scan.query,
     "op10_language_id": language_id.query,
 }
