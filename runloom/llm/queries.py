@@ -1,6 +1,6 @@
 """The subpackage's queries and the SQL that checks them."""
 
-from runloom.llm import decontam, embedding_dedup, language_id, license_scan, packing, secret_scan, simhash, substring_dedup, url_filter
+from runloom.llm import decontam, embedding_dedup, language_id, license_scan, packing, secret_scan, simhash, substring_dedup, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_decontamination": decontam.query,
     "op4_packing": packing.query,
     "op5_substring_dedup": substring_dedup.query,
+    "op6_suffix_dedup": suffix_dedup.query,
     "op7_embedding_dedup": embedding_dedup.query,
     "op8_license_scan": license_scan.query,
     "op9_secret_scan": secret_scan.query,
