@@ -46,12 +46,13 @@ WIDTH = 50
 K = 16
 #: Bytes of text for each task of steps 2 and 4, and for each bucket of steps 1 and 3.
 PART_BYTES = 12 << 20
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 _U = np.uint64
 _ODD = 0x9E3779B97F4A7C15
 _BYTE = np.random.default_rng(3).integers(1, 1 << 63, 256, dtype=np.uint64) | _U(1)
-_POWERS = np.cumprod(np.concatenate(([_U(1)], np.full(_CHUNK + WIDTH, _U(_ODD)))))
-_INVERSE = np.cumprod(np.concatenate(([_U(1)], np.full(_CHUNK + WIDTH, _U(pow(_ODD, -1, 1 << 64))))))
+_MOST = _CHUNK + (1 << 14)  # bytes that are hashed at once
+_POWERS = np.cumprod(np.concatenate(([_U(1)], np.full(_MOST, _U(_ODD)))))
+_INVERSE = np.cumprod(np.concatenate(([_U(1)], np.full(_MOST, _U(pow(_ODD, -1, 1 << 64))))))
 _LOW48 = _U((1 << 48) - 1)
 
 
@@ -65,26 +66,83 @@ def _sliding(f, x: np.ndarray, w: int) -> np.ndarray:
     return x
 
 
-def anchors(data: np.ndarray, width: int = WIDTH, k: int = K) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, 48-bit hashes) of the strings of k bytes that are smallest in some window."""
-    found: list[np.ndarray] = []
-    hashes: list[np.ndarray] = []
-    for at in range(0, max(0, len(data) - width + 1), _CHUNK):
-        b = data[at : at + _CHUNK + width - 1]
-        sums = np.concatenate((np.zeros(1, _U), np.cumsum(_BYTE[b] * _POWERS[: len(b)])))
-        h = (sums[k:] - sums[:-k]) * _INVERSE[: len(b) - k + 1]
-        h = (h ^ (h >> _U(29))) * _U(0xBF58476D1CE4E5B9)
-        h ^= h >> _U(32)
-        w = width - k + 1
-        least = _sliding(np.minimum, h, w)
-        edge = np.zeros(w - 1, _U)
-        own = np.flatnonzero(_sliding(np.maximum, np.concatenate((edge, least, edge)), w) == h)
-        found.append(own + at)
-        hashes.append(h[own] & _LOW48)
-    if not found:
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> _U(29))) * _U(0xBF58476D1CE4E5B9)
+    return h ^ (h >> _U(32))
+
+
+def _piece_anchors(data: np.ndarray, ends: np.ndarray, width: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, hashes) of anchors in texts laid end to end; ends: where each text ends."""
+    if len(data) < width:
         return np.zeros(0, np.int64), np.zeros(0, _U)
-    at, first = np.unique(np.concatenate(found), return_index=True)
-    return at, np.concatenate(hashes)[first]
+    sums = np.concatenate((np.zeros(1, _U), np.cumsum(_BYTE[data] * _POWERS[: len(data)])))
+    h = _mixed((sums[k:] - sums[:-k]) * _INVERSE[: len(data) - k + 1])
+    w = width - k + 1
+    least = _sliding(np.minimum, h, w)
+    for e in ends[ends < len(data)]:  # no window crosses from a text to the next
+        least[max(0, e - width + 1) : e] = 0
+    edge = np.zeros(w - 1, _U)
+    at = np.flatnonzero(_sliding(np.maximum, np.concatenate((edge, least, edge)), w) == h)
+    return at, h[at]
+
+
+def anchors(texts: list[bytes], width: int = WIDTH, k: int = K) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each text (number, positions, hashes) of the strings of k bytes that are smallest in some window.
+
+    Short texts share the array work; a long one is cut into pieces that
+    overlap by a window less one byte.
+    """
+    group: list[int] = []
+    size = 0
+    for i, text in enumerate([*texts, b""]):
+        if group and (i == len(texts) or size + len(text) > _CHUNK):
+            lengths = np.array([len(texts[j]) for j in group])
+            ends = np.cumsum(lengths)
+            at, h = _piece_anchors(np.frombuffer(b"".join(texts[j] for j in group), np.uint8), ends, width, k)
+            cuts = np.searchsorted(at, np.concatenate(([0], ends)))
+            for n, j in enumerate(group):
+                part = slice(cuts[n], cuts[n + 1])
+                yield j, at[part] - (ends[n] - lengths[n]), h[part]
+            group, size = [], 0
+        if i == len(texts):
+            return
+        if len(text) <= _CHUNK:
+            group.append(i)
+            size += len(text)
+            continue
+        data = np.frombuffer(text, np.uint8)
+        found = [(p + beg, h) for beg in range(0, len(data) - width + 1, _CHUNK) for p, h in [_piece_anchors(data[beg : beg + _CHUNK + width - 1], np.zeros(0, np.int64), width, k)]]
+        at, first = np.unique(np.concatenate([f[0] for f in found]), return_index=True)
+        yield i, at, np.concatenate([f[1] for f in found])[first]
+
+
+def window_ranges(at: np.ndarray, h: np.ndarray, pick: np.ndarray, beg: np.ndarray, end: np.ndarray, width: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last window start of which each picked anchor is the leftmost smallest string.
+
+    beg and end bound the text of each picked anchor; texts are at least a
+    window apart.
+
+    An anchor's windows end where a neighbouring anchor takes over: on the left
+    one that isn't larger, on the right one that is smaller. Every window of
+    the text belongs to exactly one anchor.
+    """
+    w = width - k + 1
+    low, high = np.maximum(at[pick] - w + 1, beg), np.minimum(at[pick], end - width)
+    for step, bound, sign in ((-1, low, -1), (1, high, 1)):
+        open_, j = np.arange(len(pick)), pick + step
+        while len(open_):
+            inside = (j >= 0) & (j < len(at))
+            open_, j = open_[inside], j[inside]
+            near = np.abs(at[j] - at[pick[open_]]) < w
+            open_, j = open_[near], j[near]
+            own, other = h[pick[open_]], h[j]
+            takes = other <= own if sign < 0 else other < own
+            if sign < 0:
+                bound[open_[takes]] = np.maximum(bound[open_[takes]], at[j[takes]] + 1)
+            else:
+                bound[open_[takes]] = np.minimum(bound[open_[takes]], at[j[takes]] - w)
+            open_, j = open_[~takes], j[~takes] + step
+    return low, high
 
 
 def _packed(*columns: np.ndarray) -> bytes:
@@ -135,26 +193,40 @@ def _copies(blocks: dict[int, list[bytes]]) -> set[tuple[int, int]]:
 
 
 def _read(parts: int):
-    """Documents as blocks, by home task: (id, text) in compressed form."""
+    """Documents as blocks of many, by home task."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             ids = batch.column(0).to_pylist()
             homes = _home(np.array([i or 0 for i in ids], np.int64), parts).tolist()
+            held: dict[int, list[tuple[int | None, bytes]]] = {}
+            sizes: dict[int, int] = {}
             out = []
             for i, home, text in zip(ids, homes, batch.column(1), strict=True):
                 data = (text.as_py() or "").encode()
-                head = b"\x00" + bytes(8) if i is None else b"\x01" + i.to_bytes(8, "little", signed=True)
-                out.append((home, _DOC, head + press.compress(data)))
-            yield _blocks(out)
+                held.setdefault(home, []).append((i, data))
+                sizes[home] = sizes.get(home, 0) + len(data)
+                if sizes[home] > _CHUNK:
+                    out.append((home, _DOC, _document_block(held.pop(home))))
+                    sizes[home] = 0
+            yield _blocks([*out, *((home, _DOC, _document_block(docs)) for home, docs in held.items())])
 
     return rows
 
 
-def _document(block: bytes) -> tuple[int | None, bytes]:
-    i = int.from_bytes(block[1:9], "little", signed=True) if block[0] else None
-    return i, zstandard.ZstdDecompressor().decompress(block[9:])
+def _document_block(docs: list[tuple[int | None, bytes]]) -> bytes:
+    """Ids (and whether there is one), lengths and texts, compressed together."""
+    head = np.array([[i is not None, i or 0, len(data)] for i, data in docs], "<i8")
+    return zstandard.ZstdCompressor(level=3).compress(np.int64(len(docs)).tobytes() + head.tobytes() + b"".join(data for _, data in docs))
+
+
+def _documents(block: bytes) -> Iterator[tuple[int | None, bytes]]:
+    data = zstandard.ZstdDecompressor().decompress(block)
+    n = int(np.frombuffer(data, "<i8", 1)[0])
+    at = 8 + 24 * n
+    for known, i, size in np.frombuffer(data, "<i8", 3 * n, 8).reshape(n, 3).tolist():
+        yield (i if known else None), data[at : at + size]
+        at += size
 
 
 def _send_anchors(buckets: int, width: int, k: int):
@@ -169,13 +241,13 @@ def _send_anchors(buckets: int, width: int, k: int):
             return _blocks([(b, _ANCHORS, _packed(x.reshape(-1).reshape(-1, 6), y)) for b, (x, y) in _by_bucket(h % _U(buckets), split, i)])
 
         for batch in batches:
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if i is None or not text.is_valid:
-                    continue
-                h = np.unique(anchors(np.frombuffer(text.as_py().encode(), np.uint8), width, k)[1])
-                hashes.append(h)
-                ids.append(np.full(len(h), i, "<i8"))
-                held += len(h)
+            for beg in range(0, batch.num_rows, 500):
+                known = [(i, t.as_py().encode()) for i, t in zip(batch.column(0)[beg : beg + 500].to_pylist(), batch.column(1)[beg : beg + 500], strict=True) if i is not None and t.is_valid]
+                for n, _, h in anchors([t for _, t in known], width, k):
+                    h = np.unique(h & _LOW48)
+                    hashes.append(h)
+                    ids.append(np.full(len(h), known[n][0], "<i8"))
+                    held += len(h)
                 if held > 1_000_000:
                     yield flush()
                     hashes, ids, held = [], [], 0
@@ -216,11 +288,18 @@ def _shared(parts: int):
     return rows
 
 
-def _context_bytes(data: np.ndarray, at: np.ndarray, side: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes around each anchor, zeros past the text, and how many are text on either side."""
-    padded = np.concatenate((np.zeros(side, np.uint8), data, np.zeros(side, np.uint8)))
-    rows = padded[at[:, None] + np.arange(2 * side + k)]
-    return rows, np.minimum(at, side).astype(np.uint8), np.minimum(len(data) - k - at, side).astype(np.uint8)
+def _context_bytes(padded: bytes, at: np.ndarray, before: np.ndarray, after: np.ndarray, side: int, k: int) -> np.ndarray:
+    """Bytes of each anchor's windows, zeros on either side of them. padded begins side bytes before place 0."""
+    rows = np.lib.stride_tricks.sliding_window_view(np.frombuffer(padded, np.uint8), 2 * side + k)[at]
+    place = np.arange(2 * side + k)
+    rows = rows.copy()
+    rows[(place < side - before[:, None]) | (place >= side + k + after[:, None])] = 0
+    return rows
+
+
+def _anchor_hash(context: np.ndarray, side: int, k: int) -> np.ndarray:
+    """The anchors' hashes from their bytes."""
+    return _mixed((_BYTE[context[:, side : side + k]] * _POWERS[:k]).sum(axis=1, dtype=_U)) & _LOW48
 
 
 def _contexts(buckets: int, parts: int, width: int, k: int):
@@ -237,34 +316,60 @@ def _contexts(buckets: int, parts: int, width: int, k: int):
             sent: list[list[np.ndarray]] = []
             held = 0
             for b in blocks.get(_DOC, []):
-                i, data = _document(b)
-                if i is None or len(data) < width or (i, key := _row_key(data)) in copies:
-                    continue
-                wanted = hashes[np.searchsorted(owners, i, "left") : np.searchsorted(owners, i, "right")]
-                if not len(wanted):
-                    continue
-                raw = np.frombuffer(data, np.uint8)
-                at, h = anchors(raw, width, k)
-                mine = np.isin(h, wanted)
-                at, h = at[mine], h[mine]
-                context, before, after = _context_bytes(raw, at, side, k)
-                sent.append([h, np.full(len(at), i, "<i8"), np.full(len(at), key, "<i8"), at.astype("<i8"), before, after, context])
-                held += len(at)
-                if held > 300_000:
-                    yield _settle(sent, buckets, parts, width, k)
-                    sent, held = [], 0
+                docs = []
+                for i, data in _documents(b):
+                    if i is None or len(data) < width or (i, key := _row_key(data)) in copies:
+                        continue
+                    wanted = hashes[np.searchsorted(owners, i, "left") : np.searchsorted(owners, i, "right")]
+                    if len(wanted):
+                        docs.append((i, key, data, wanted))
+                if docs:
+                    sent.append(_document_contexts(docs, width, k))
+                    held += len(sent[-1][0])
+                    if held > 300_000:
+                        yield _settle(sent, buckets, parts, width, k)
+                        sent, held = [], 0
             if held:
                 yield _settle(sent, buckets, parts, width, k)
 
     return rows
 
 
+def _document_contexts(docs: list[tuple[int, int, bytes, np.ndarray]], width: int, k: int) -> list[np.ndarray]:
+    """Hashes, ids, row keys, places, bytes before and after, contexts of the wanted anchors of documents (id, key, text, wanted)."""
+    side = width - k
+    gap = bytes(2 * width)  # between texts that are laid out in one buffer
+    bases = np.cumsum([0, *(len(d[2]) + len(gap) for d in docs)])
+    found = sorted(anchors([d[2] for d in docs], width, k), key=lambda f: f[0])
+    at = np.concatenate([a + bases[n] for n, a, _ in found])
+    h = np.concatenate([x for _, _, x in found])
+    owner = np.concatenate([np.full(len(a), n) for n, a, _ in found])
+    low48 = h & _LOW48
+    wanted = np.concatenate([np.sort(d[3]) for d in docs])
+    firsts = np.cumsum([0, *(len(d[3]) for d in docs)])
+    cuts = np.searchsorted(owner, np.arange(len(docs) + 1))
+    mine = np.zeros(len(at), bool)
+    for n in range(len(docs)):
+        own, have = wanted[firsts[n] : firsts[n + 1]], low48[cuts[n] : cuts[n + 1]]
+        mine[cuts[n] : cuts[n + 1]] = own[np.minimum(np.searchsorted(own, have), len(own) - 1)] == have
+    pick = np.flatnonzero(mine)
+    beg, size = bases[owner[pick]], np.array([len(d[2]) for d in docs])[owner[pick]]
+    low, high = window_ranges(at, h, pick, beg, beg + size, width, k)
+    real = low <= high
+    pick, low, high, beg = pick[real], low[real], high[real], beg[real]
+    where = at[pick]
+    before, after = where - low, high + width - k - where
+    context = _context_bytes(bytes(side) + b"".join(d[2] + gap for d in docs), where, before, after, side, k)
+    ids, keys = (np.array([d[c] for d in docs], "<i8")[owner[pick]] for c in (0, 1))
+    return [low48[pick], ids, keys, (where - beg).astype("<i8"), before.astype(np.uint8), after.astype(np.uint8), context]
+
+
 def _settle(sent: list[list[np.ndarray]], buckets: int, parts: int, width: int, k: int) -> pa.RecordBatch:
     h, ids, key, at, before, after, context = (np.concatenate([s[c] for s in sent]) for c in range(7))
     covered = _above_smallest(h, ids, before, after, context)
     out = _range_blocks(ids[covered], key[covered], at[covered] - before[covered], at[covered] + k + after[covered], parts, width)
     rest = ~covered
-    for b, cols in _by_bucket(h[rest] % _U(buckets), *(c[rest] for c in (h, ids, key, at, before, after, context))):
+    for b, cols in _by_bucket(h[rest] % _U(buckets), *(c[rest] for c in (ids, key, at, before, after, context))):
         out.append((b, _CONTEXTS, _packed(*cols)))
     return _blocks(out)
 
@@ -290,19 +395,35 @@ def _range_blocks(ids: np.ndarray, key: np.ndarray, beg: np.ndarray, end: np.nda
 def radix_groups(group: np.ndarray, digit, passes: int) -> tuple[np.ndarray, np.ndarray]:
     """Most-significant-digit passes: (members, labels) of the groups of equal digits that have several members, in order of label.
 
-    digit(members, pass) gives the members' next 8 bytes as a big-endian number.
+    digit(members, pass) gives the members' next 8 bytes as a big-endian
+    number. A group whose members agree in a digit needs no sorting by it.
     """
-    members = np.arange(len(group))
+    members = np.argsort(group, kind="stable")
+    members, label = _several(members, group[members])
     for d in range(passes):
         if not len(members):
             break
         value = digit(members, d)
-        order = np.lexsort((value, group))
-        group, value, members = group[order], value[order], members[order]
-        label = np.cumsum(np.concatenate(([True], (group[1:] != group[:-1]) | (value[1:] != value[:-1])))) - 1
-        several = np.bincount(label)[label] > 1
-        members, group = members[several], label[several]
-    return members, group
+        begs = np.flatnonzero(np.concatenate(([True], label[1:] != label[:-1])))
+        sizes = np.diff(np.append(begs, len(label)))
+        mixed = np.repeat(np.logical_or.reduceat(value != np.repeat(value[begs], sizes), begs), sizes)
+        if not mixed.any():
+            continue
+        m, v, g = members[mixed], value[mixed], label[mixed]
+        order = np.lexsort((v, g))
+        m, v, g = m[order], v[order], g[order]
+        m, g = _several(m, np.cumsum(np.concatenate(([True], (g[1:] != g[:-1]) | (v[1:] != v[:-1])))))
+        members, label = np.concatenate((members[~mixed], m)), np.concatenate((label[~mixed], g + (int(label[-1]) + 1)))
+    return members, label
+
+
+def _several(members: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Members, in order of key, whose key others have too, with dense labels."""
+    if not len(members):
+        return members, np.zeros(0, np.int64)
+    label = np.cumsum(np.concatenate(([False], key[1:] != key[:-1])))
+    keep = np.bincount(label)[label] > 1
+    return members[keep], label[keep]
 
 
 def _smallest(values: np.ndarray, label: np.ndarray) -> np.ndarray:
@@ -331,17 +452,18 @@ def _above_smallest(h: np.ndarray, ids: np.ndarray, before: np.ndarray, after: n
 def _repeated(parts: int, width: int, k: int):
     """Step 3: ranges of the windows that start in a document with a smaller id."""
     side = width - k
-    kinds = ("<u8", "<i8", "<i8", "<i8", "u1", "u1", f"V{2 * side + k}")
+    kinds = ("<i8", "<i8", "<i8", "u1", "u1", f"V{2 * side + k}")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for to, blocks in _gathered(batches).items():
             out = [(to, _RANGES, b) for b in blocks.get(_RANGES, [])]
             got = [_unpacked(b, *kinds) for b in blocks.get(_CONTEXTS, [])]
             if got:
-                h, ids, key, at, before, after, context = (np.concatenate([g[c] for g in got]) for c in range(7))
-                context = context.view(np.uint8).reshape(len(h), -1)
+                ids, key, at, before, after, context = (np.concatenate([g[c] for g in got]) for c in range(6))
+                context = context.view(np.uint8).reshape(len(ids), -1)
+                h = _anchor_hash(context, side, k)
+                whole = _above_smallest(h, ids, before, after, context)
                 before, after = before.astype(np.int64), after.astype(np.int64)
-                whole = _above_smallest(h, ids, before.astype(np.uint8), after.astype(np.uint8), context)
                 out += _range_blocks(ids[whole], key[whole], (at - before)[whole], (at + k + after)[whole], parts, width)
                 out += _windows(np.flatnonzero(~whole), h, ids, key, at, before, after, context, parts, width, k)
             yield _blocks(out)
@@ -364,7 +486,7 @@ def _windows(rest: np.ndarray, h, ids, key, at, before, after, context, parts: i
     n = np.maximum(high - low + 1, 0)
     who = np.repeat(rest, n)
     offset = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
-    group = h[who] * _U(64) + offset.astype(_U) if side < 64 else h[who] * _U(1 << 14) + offset.astype(_U)
+    group = h[who] * _U(256) + offset.astype(_U)
     padded = np.concatenate((context, np.zeros((len(context), 8), np.uint8)), axis=1)
     passes = -(-width // 8)
 
@@ -395,8 +517,7 @@ def _finish(width: int, with_kept: bool):
                 for i, key, beg, end in zip(*(c.tolist() for c in _unpacked(b, *_RANGE)), strict=True):
                     ranges.setdefault((i, key), []).append((beg, end))
             out = []
-            for b in blocks.get(_DOC, []):
-                i, data = _document(b)
+            for i, data in (d for b in blocks.get(_DOC, []) for d in _documents(b)):
                 row = (i, _row_key(data))
                 found = [(0, len(data))] if row in copies and len(data) >= width else sorted(ranges.get(row, ()))
                 spans: list[list[int]] = []
@@ -421,8 +542,8 @@ def _finish(width: int, with_kept: bool):
 
 def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, k: int = K, with_kept: bool = False, part_bytes: int = PART_BYTES) -> DataFrame:
     """id_col, n_bytes, n_removed, n_spans, kept_sha256, spans ("beg:end,..." in bytes), kept (the bytes, if asked for)."""
-    if not 8 <= k <= width - 16:
-        raise ValueError("k: from 8 to width - 16")
+    if not 8 <= k <= width - 16 <= 200:
+        raise ValueError("width: from 24 to 216; k: from 8 to width - 16")
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("t"))
     size = texts.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("n")).first().n
     parts = buckets = parts_for(size, part_bytes)
