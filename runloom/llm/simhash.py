@@ -13,8 +13,8 @@ Copies share a fingerprint and are one entry. What meets is compared in the
 partition of its key, in blocks, and leaves as a spanning forest, never as all
 pairs of a group. Components come from joins over the forest's edges.
 
-Null and empty texts have fingerprint zero and are linked like any other.
-Repeated rows get a row each; an empty table gives no rows; further columns
+Null and empty texts have fingerprint zero and are linked like any other. Rows
+without id get the component of equal fingerprints. Repeated rows get a row each; an empty table gives no rows; further columns
 don't matter.
 """
 
@@ -173,7 +173,7 @@ def linked(prints: DataFrame, blocks: int, segments: Sequence[Sequence[int]], ra
     distinct = cut(prints.groupBy(*names).agg(F.min("id").alias("rep")).select("rep", *names))
     n = distinct.count()
     keys = n * sum(1 + radius * len(s) / 2 for s in segments)
-    entries = distinct.mapInArrow(_entries(segments, radius, blocks), "key bigint, rep bigint, " + ", ".join(f"{x} bigint" for x in names))
+    entries = distinct.where("rep is not null").mapInArrow(_entries(segments, radius, blocks), "key bigint, rep bigint, " + ", ".join(f"{x} bigint" for x in names))
     parts = parts_for(keys, per_part, int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     edges = cut(entries.repartition(parts, "key").mapInArrow(_verified(blocks, distance), "a bigint, b bigint"))
     found = components(edges)
