@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runloom.operators import checks, edits, factors, points, search
+from runloom.plans import huge
 from runloom.plans import relations as R
 from runloom.sources import readers
 from runloom.sources.shared import shared_folder
@@ -97,6 +98,12 @@ def bwt_rows(spark, sf_dir):
     return _rows(spark, sf_dir)
 
 
+@_add("bwt_rows_doubling", SQL["bwt_rows"])
+def bwt_rows_doubling(spark, sf_dir):
+    """The same relation by the form for texts that are too long for one task."""
+    return huge.bwt(huge.symbols(_texts(spark, sf_dir)))
+
+
 @_add("bwt_access", _sql(" SELECT b.doc_id, bwt_pos, ch, ch IS NULL AS is_marker FROM bwt b JOIN em USING (doc_id) WHERE bwt_pos IN (0, em_pos, em.n // 2, em.n)"))
 def bwt_access(spark, sf_dir):
     rows = _rows(spark, sf_dir)
@@ -114,6 +121,12 @@ def rlbwt_runs(spark, sf_dir):
     return R.runs(_rows(spark, sf_dir))
 
 
+@_add("run_range_weight", _sql(" SELECT doc_id, coalesce(sum(run_len) FILTER (run_id >= 2 AND run_id < 7), 0)::BIGINT AS weight FROM runs GROUP BY doc_id", _RUNS))
+def run_range_weight(spark, sf_dir):
+    """Summed length of the runs 2 to 6 of each text."""
+    return points.range_weight(R.runs(_rows(spark, sf_dir)), 2, 7)
+
+
 @_add("run_neighbors", _sql(" SELECT doc_id, run_id, row_number() OVER s AS run_no_in_ch, lag(run_id) OVER w AS prev_run, lead(run_id) OVER w AS next_run, lag(run_id) OVER s AS prev_same, lead(run_id) OVER s AS next_same FROM runs WINDOW w AS (PARTITION BY doc_id ORDER BY run_id), s AS (PARTITION BY doc_id, ch ORDER BY run_id)", _RUNS))
 def run_neighbors(spark, sf_dir):
     return points.run_neighbours(_rows(spark, sf_dir))
@@ -292,6 +305,11 @@ def pattern_locate(spark, sf_dir):
     return search.locate(_rows(spark, sf_dir), _intervals(spark, sf_dir))
 
 
+@_add("pattern_locate_csv", _sql(" SELECT doc_id, pat_id, string_agg((txt_pos - plen)::VARCHAR, ', ' ORDER BY bwt_pos) AS begs FROM ends GROUP BY doc_id, pat_id", _PATTERNS))
+def pattern_locate_csv(spark, sf_dir):
+    return search.listed(search.locate(_rows(spark, sf_dir), _intervals(spark, sf_dir)))
+
+
 @_add("pattern_first_occ", _sql(" SELECT doc_id, pat_id, arg_min(txt_pos, bwt_pos) AS first_end FROM ends GROUP BY doc_id, pat_id", _PATTERNS))
 def pattern_first_occ(spark, sf_dir):
     return search.first_occurrence(_rows(spark, sf_dir), _intervals(spark, sf_dir))

@@ -109,3 +109,9 @@ def marker_samples(rows: DataFrame) -> DataFrame:
     """(doc_id, em_pos, prev_txt, next_txt): text positions of the rows beside the end marker's."""
     beside = rows.select("doc_id", "bwt_pos", "ch", F.lag("txt_pos").over(R.by_row()).alias("prev_txt"), F.lead("txt_pos").over(R.by_row()).alias("next_txt"))
     return beside.where("ch is null").select("doc_id", F.col("bwt_pos").alias("em_pos"), "prev_txt", "next_txt")
+
+
+def range_weight(runs: DataFrame, first: int, end: int) -> DataFrame:
+    """(doc_id, weight): summed length of the runs with first <= run_id < end."""
+    inside = (F.col("run_id") >= first) & (F.col("run_id") < end)
+    return runs.groupBy("doc_id").agg(F.sum(F.when(inside, F.col("run_len")).otherwise(F.lit(0))).alias("weight"))

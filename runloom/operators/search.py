@@ -94,6 +94,12 @@ def locate(rows: DataFrame, found: DataFrame) -> DataFrame:
     return hits.join(rows.select("doc_id", "bwt_pos", "txt_pos"), ["doc_id", "bwt_pos"]).select("doc_id", "pat_id", "bwt_pos", (F.col("txt_pos") - F.col("plen")).alias("beg"))
 
 
+def listed(places: DataFrame) -> DataFrame:
+    """(doc_id, pat_id, begs): the begins of each pattern as text, in the index's order."""
+    ordered = places.groupBy("doc_id", "pat_id").agg(F.array_sort(F.collect_list(F.struct("bwt_pos", "beg"))).alias("p"))
+    return ordered.select("doc_id", "pat_id", F.array_join(F.transform("p", lambda x: x["beg"].cast("string")), ", ").alias("begs"))
+
+
 def first_occurrence(rows: DataFrame, found: DataFrame) -> DataFrame:
     """(doc_id, pat_id, first_end): text position of the interval's first row."""
     first = found.where("l is not null").select("doc_id", "pat_id", F.col("l").alias("bwt_pos"))

@@ -19,7 +19,7 @@ def texts(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def text_files(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, path, text binary): each file is one text, numbered by a hash of its path."""
+    """(doc_id, path, text binary): each file is one text, numbered by a hash of its path. Spark's scan passes over empty files."""
     return spark.read.format("binaryFile").load(path).select(F.xxhash64("path").alias("doc_id"), "path", F.col("content").alias("text"))
 
 

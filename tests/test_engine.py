@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from runloom.functions import kernels
 from runloom.operators import checks, edits, factors, points, search
 from runloom.operators.asof import asof
+from runloom.plans import huge
 from runloom.plans import relations as R
 from runloom.sources import readers
 from runloom.streaming import appends
@@ -101,6 +102,10 @@ def test_patterns_in_both_index_forms_and_by_scan(spark, docs, bwt):
             assert first.get((d, p)) == (order[rows[0]] if rows else None)
 
 
+def test_doubling_form_gives_the_same_rows(docs, bwt):
+    assert sorted(map(str, huge.bwt(huge.symbols(docs)).collect())) == sorted(map(str, bwt.select("doc_id", "bwt_pos", "txt_pos", "ch").collect()))
+
+
 def test_inversion_chain_and_next_positions(docs, bwt):
     assert all(r.same for r in checks.roundtrip(docs, checks.invert(bwt)).collect())
     assert all(r.n_bad == 0 for r in checks.chain_check(bwt).collect())
@@ -220,9 +225,9 @@ def test_asof(spark, forward, strict):
 
 def test_text_files(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes(b"banana\x00\xff")
-    (tmp_path / "b.txt").write_bytes(b"")
+    (tmp_path / "b.txt").write_bytes(b"ab\n")
     got = {r.path.rsplit("/", 1)[1]: bytes(r.text) for r in readers.text_files(spark, str(tmp_path)).collect()}
-    assert got == {"a.txt": b"banana\x00\xff", "b.txt": b""}
+    assert got == {"a.txt": b"banana\x00\xff", "b.txt": b"ab\n"}
 
 
 def test_streams_equal_batch(spark, tmp_path):
