@@ -356,8 +356,8 @@ lpf AS MATERIALIZED (SELECT doc_id, n, i AS s, coalesce(max(l), 0) AS l FROM (SE
 walk AS (SELECT doc_id, n, list(l ORDER BY s) AS ls, 0::BIGINT AS s, arg_min(l, s) AS l, 0::BIGINT AS factor_no FROM lpf GROUP BY doc_id, n
   UNION ALL SELECT doc_id, n, ls, s + l + 1, ls[s + l + 2], factor_no + 1 FROM walk WHERE s + l + 1 < n),
 chain AS MATERIALIZED (SELECT doc_id, n, s, l, factor_no FROM walk),
-sources AS MATERIALIZED (SELECT c.doc_id, factor_no, arg_min(j, bwt_pos) AS beg FROM chain c JOIN lens ON lens.doc_id = c.doc_id AND lens.s = c.s AND lens.l >= c.l
-  JOIN bwt ON bwt.doc_id = c.doc_id AND txt_pos = j + c.l WHERE c.l > 0 GROUP BY c.doc_id, factor_no),
+copies AS MATERIALIZED (SELECT c.doc_id, factor_no, j, j + c.l AS k FROM chain c JOIN lens ON lens.doc_id = c.doc_id AND lens.s = c.s WHERE c.l > 0 AND lens.l >= c.l),
+sources AS MATERIALIZED (SELECT c.doc_id, factor_no, arg_min(j, bwt_pos) AS beg FROM copies c JOIN bwt ON bwt.doc_id = c.doc_id AND txt_pos = k GROUP BY c.doc_id, factor_no),
 factors AS MATERIALIZED (SELECT c.doc_id, c.factor_no, coalesce(beg, 0)::BIGINT AS beg, (CASE WHEN c.s + c.l < c.n THEN c.l ELSE c.l - 1 END)::BIGINT AS len,
   ('0x' || substr(h, 2 * least(c.s + c.l, c.n - 1) + 1, 2))::INTEGER AS ch FROM chain c LEFT JOIN sources USING (doc_id, factor_no) JOIN src ON src.doc_id = c.doc_id)"""
 
