@@ -127,6 +127,11 @@ def run_range_weight(spark, sf_dir):
     return points.range_weight(R.runs(_rows(spark, sf_dir)), 2, 7)
 
 
+@_add("rlbwt_runs_direct", SQL["rlbwt_runs"])
+def rlbwt_runs_direct(spark, sf_dir):
+    return R.text_runs(_texts(spark, sf_dir))
+
+
 @_add("run_neighbors", _sql(" SELECT doc_id, run_id, row_number() OVER s AS run_no_in_ch, lag(run_id) OVER w AS prev_run, lead(run_id) OVER w AS next_run, lag(run_id) OVER s AS prev_same, lead(run_id) OVER s AS next_same FROM runs WINDOW w AS (PARTITION BY doc_id ORDER BY run_id), s AS (PARTITION BY doc_id, ch ORDER BY run_id)", _RUNS))
 def run_neighbors(spark, sf_dir):
     return points.run_neighbours(_rows(spark, sf_dir))
@@ -153,6 +158,11 @@ def bwt_stats(spark, sf_dir):
     return R.stats(_rows(spark, sf_dir))
 
 
+@_add("bwt_stats_direct", SQL["bwt_stats"])
+def bwt_stats_direct(spark, sf_dir):
+    return R.text_stats(_texts(spark, sf_dir))
+
+
 @_add("rank_char", _sql(" SELECT q.doc_id, q.ch, q.rle_pos, count(r.rle_pos) AS rank FROM asked q LEFT JOIN rle r ON r.doc_id = q.doc_id AND r.ch = q.ch AND r.rle_pos <= q.rle_pos GROUP BY ALL", _ASKED))
 def rank_char(spark, sf_dir):
     rows = _rows(spark, sf_dir)
@@ -245,6 +255,11 @@ def phi_asof(spark, sf_dir):
 _ENTRIES = ", entries AS (SELECT doc_id, txt_pos AS key, next_txt AS val FROM (SELECT *, lead(txt_pos) OVER w AS next_txt, lead(ch) OVER w AS next_ch FROM bwt WINDOW w AS (PARTITION BY doc_id ORDER BY bwt_pos)) WHERE next_txt IS NOT NULL AND ch IS DISTINCT FROM next_ch)"
 
 
+@_add("succ_entries", _sql(" SELECT * FROM entries", _ENTRIES))
+def succ_entries(spark, sf_dir):
+    return R.text_next_position_map(_texts(spark, sf_dir))
+
+
 @_add("succ_upsert", _sql(" SELECT doc_id, key, max(val) AS val FROM (SELECT doc_id, key, CASE WHEN key = 0 THEN -1 ELSE val END AS val FROM entries UNION ALL SELECT doc_id, 0, -1 FROM em UNION ALL SELECT doc_id, n + 5, n FROM em) GROUP BY doc_id, key", _ENTRIES))
 def succ_upsert(spark, sf_dir):
     """Sets the key 0 to -1 and a new key past the end."""
@@ -473,12 +488,22 @@ def event_symbol_bwt(spark, sf_dir):
 
 @_add("documents_stats")
 def documents_stats(spark, sf_dir):
-    return R.stats(R.bwt(_documents(spark, sf_dir)))
+    return R.text_stats(_documents(spark, sf_dir))
 
 
 @_add("documents_runs")
 def documents_runs(spark, sf_dir):
-    return R.runs(R.bwt(_documents(spark, sf_dir)))
+    return R.text_runs(_documents(spark, sf_dir))
+
+
+@_add("documents_next_position_map")
+def documents_next_position_map(spark, sf_dir):
+    return R.text_next_position_map(_documents(spark, sf_dir))
+
+
+@_add("documents_rows")
+def documents_rows(spark, sf_dir):
+    return R.bwt(_documents(spark, sf_dir))
 
 
 @_add("documents_roundtrip", _SAME.format(id="doc_id", table="documents"))

@@ -12,29 +12,39 @@ import numpy as np
 
 
 def prefix_order(symbols: np.ndarray) -> np.ndarray:
-    """Prefix length of each row, by doubling the number of symbols compared."""
+    """Prefix length of each row, by doubling the number of symbols compared.
+
+    The first keys hold as many of a prefix's last symbols as fit into 62 bits.
+    """
     n = len(symbols)
-    rank = np.zeros(n + 1, np.int64)
-    if n:
-        rank[1:] = np.unique(symbols, return_inverse=True)[1] + 1
-    step = 1
+    if not n:
+        return np.zeros(1, np.int64)
+    values = np.unique(symbols)
+    code = np.searchsorted(values, symbols).astype(np.int64) + 1
+    base = len(values) + 1
+    step = max(1, int(62 / np.log2(base + 1)))
+    key = np.zeros(n + 1, np.int64)
+    for back in range(min(step, n)):
+        key[back + 1 :] = key[back + 1 :] * base + code[: n - back]
+        if back:
+            key[1 : back + 1] *= base
     while True:
-        behind = np.zeros(n + 1, np.int64)
-        behind[step:] = rank[: n + 1 - step] + 1
-        key = rank * (n + 2) + behind
         order = np.argsort(key, kind="stable")
-        sorted_key = key[order]
-        fresh = np.concatenate(([0], np.cumsum(sorted_key[1:] != sorted_key[:-1])))
-        rank[order] = fresh
+        ordered = key[order]
+        fresh = np.concatenate(([0], np.cumsum(ordered[1:] != ordered[:-1])))
         if fresh[-1] == n:
             return order
+        rank = np.empty(n + 1, np.int64)
+        rank[order] = fresh
+        key = rank * (n + 2)
+        key[step:] += rank[: n + 1 - step] + 1
         step *= 2
 
 
 def backward_interval(symbols: np.ndarray, order: np.ndarray, pattern: np.ndarray) -> tuple[int, int, int]:
     """(l, r, matched): rows whose prefix ends with the longest matching start of the pattern, and its length."""
     n = len(symbols)
-    follow = np.where(order < n, symbols[np.minimum(order, max(n - 1, 0))], -1) if n else np.full(1, -1)
+    follow = np.append(symbols.astype(np.int64), -1)[order]
     below = np.sort(symbols)
     left, right, matched = 0, n + 1, 0
     for c in pattern:

@@ -59,6 +59,69 @@ def _emit(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(doc[part], pa.int64()), pa.array(row[part], pa.int64()), pa.array(txt[part], pa.int64()), follow], names=["doc_id", "bwt_pos", "txt_pos", "ch"])
 
 
+def _each_text(docs: DataFrame, column: str, schema: str, work) -> DataFrame:
+    """Rows that work(symbols, order) gives as arrays for each text, with its doc_id, without shuffling transform rows."""
+    names = [part.split()[0] for part in schema.split(", ")]
+    kinds = [pa.int32() if part.split()[1] == "int" else pa.float64() if part.split()[1] == "double" else pa.int64() for part in schema.split(", ")]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held: list[list[np.ndarray]] = []
+            size = 0
+            for doc, value in [*zip(batch.column(0).to_pylist(), batch.column(1), strict=True), (None, None)]:
+                if value is not None:
+                    raw = value.as_py()
+                    symbols = np.frombuffer(raw, np.uint8) if isinstance(raw, bytes) else np.array(raw or [], np.int64)
+                    found = work(symbols, kernels.prefix_order(symbols))
+                    held.append([np.full(len(found[0]), doc), *found])
+                    size += len(found[0])
+                if held and (value is None or size > _CHUNK):
+                    columns = [np.concatenate([h[i] for h in held]) for i in range(len(kinds))]
+                    yield pa.record_batch([pa.array(c, k, from_pandas=k == pa.float64()) for c, k in zip(columns, kinds, strict=True)], names=names)
+                    held, size = [], 0
+
+    return docs.select("doc_id", column).mapInArrow(rows, schema)
+
+
+def _run_starts(symbols: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows without the marker's, their symbols, places where a run starts)."""
+    ends = order[order < len(symbols)]
+    follow = symbols[ends]
+    return ends, follow, np.flatnonzero(np.concatenate(([True], follow[1:] != follow[:-1]))) if len(follow) else np.zeros(0, np.int64)
+
+
+def text_runs(docs: DataFrame, column: str = "text") -> DataFrame:
+    """runs() straight from texts: for run-compressed storage, where the rows themselves aren't wanted."""
+
+    def work(symbols: np.ndarray, order: np.ndarray) -> list[np.ndarray]:
+        ends, follow, starts = _run_starts(symbols, order)
+        stops = np.append(starts[1:], len(follow))
+        return [np.arange(len(starts)), follow[starts], stops - starts, starts, ends[starts], ends[stops - 1] if len(starts) else starts]
+
+    return _each_text(docs, column, "doc_id bigint, run_id bigint, ch int, run_len bigint, rle_start bigint, head_txt bigint, tail_txt bigint", work)
+
+
+def text_stats(docs: DataFrame, column: str = "text") -> DataFrame:
+    """stats() straight from texts."""
+
+    def work(symbols: np.ndarray, order: np.ndarray) -> list[np.ndarray]:
+        n, r = len(symbols), len(_run_starts(symbols, order)[2])
+        return [np.array([x]) for x in (n, r, len(np.unique(symbols)), np.flatnonzero(order == n)[0], n / r if r else np.nan)]
+
+    return _each_text(docs, column, "doc_id bigint, n bigint, r bigint, sigma bigint, em_pos bigint, n_per_run double", work)
+
+
+def text_next_position_map(docs: DataFrame, column: str = "text") -> DataFrame:
+    """next_position_map() straight from texts."""
+
+    def work(symbols: np.ndarray, order: np.ndarray) -> list[np.ndarray]:
+        follow = np.append(symbols.astype(np.int64), -1)[order]
+        last = np.flatnonzero(follow[1:] != follow[:-1])
+        return [order[last], order[last + 1]]
+
+    return _each_text(docs, column, "doc_id bigint, key bigint, val bigint", work)
+
+
 def marker_rows(rows: DataFrame) -> DataFrame:
     """(doc_id, em_pos, n): the end marker's row and the text's length."""
     return rows.where("ch is null").select("doc_id", F.col("bwt_pos").alias("em_pos"), F.col("txt_pos").alias("n"))

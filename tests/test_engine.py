@@ -102,6 +102,14 @@ def test_patterns_in_both_index_forms_and_by_scan(spark, docs, bwt):
             assert first.get((d, p)) == (order[rows[0]] if rows else None)
 
 
+def test_direct_forms_equal_the_relational_ones(docs, bwt):
+    key = lambda df: sorted(map(str, df.collect()))
+    columns = ("doc_id", "run_id", "ch", "run_len", "rle_start", "head_txt", "tail_txt")
+    assert key(R.text_runs(docs)) == key(R.runs(bwt).select(*columns))
+    assert key(R.text_stats(docs)) == key(R.stats(bwt).select("doc_id", "n", "r", "sigma", "em_pos", "n_per_run"))
+    assert key(R.text_next_position_map(docs)) == key(R.next_position_map(bwt))
+
+
 def test_doubling_form_gives_the_same_rows(docs, bwt):
     assert sorted(map(str, huge.bwt(huge.symbols(docs)).collect())) == sorted(map(str, bwt.select("doc_id", "bwt_pos", "txt_pos", "ch").collect()))
 
