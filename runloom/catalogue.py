@@ -33,7 +33,7 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return readers.texts(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text")
+    return readers.spread(readers.texts(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text"))
 
 
 def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,6 +18,12 @@ def texts(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select(F.col(id_col).cast("bigint").alias("doc_id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("text"))
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """docs in at least as many partitions as there are cores: a table of one file is otherwise one task."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs if docs._jdf.queryExecution().toRdd().getNumPartitions() >= cores else docs.repartition(cores)
+
+
 def text_files(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, path, text binary): each file is one text, numbered by a hash of its path. Spark's scan passes over empty files."""
     return spark.read.format("binaryFile").load(path).select(F.xxhash64("path").alias("doc_id"), "path", F.col("content").alias("text"))
