@@ -15,20 +15,41 @@ from runloom.plans import relations as R
 
 
 def invert(rows: DataFrame) -> DataFrame:
-    """(doc_id, text binary) from bwt_pos and ch alone, by last-to-first steps."""
+    """(doc_id, text binary) from bwt_pos and ch alone, by last-to-first steps.
+
+    The rows of a text arrive in order, so a task holds the symbols of one
+    text at a time.
+    """
 
     def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        owner = None
         for batch in batches:
-            texts = []
-            for row in batch.column(1):
-                follow = np.array([-1 if x["ch"] is None else x["ch"] for x in row.as_py()], np.int64)
-                texts.append(kernels.invert(follow, int(np.flatnonzero(follow < 0)[0])).astype(np.uint8).tobytes())
-            yield pa.record_batch([batch.column(0), pa.array(texts, pa.binary())], names=["doc_id", "text"])
-
-    ordered = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("bwt_pos", "ch"))).alias("r"))
+            docs = batch.column(0).to_numpy()
+            follow = batch.column(1).fill_null(-1).to_numpy().astype(np.int64)
+            cuts = np.flatnonzero(docs[1:] != docs[:-1]) + 1
+            done, texts = [], []
+            for beg, end in zip([0, *cuts], [*cuts, len(docs)], strict=True):
+                if held and end > beg and docs[beg] != owner:
+                    done.append(owner)
+                    texts.append(_walk(held))
+                    held = []
+                if end > beg:
+                    owner = docs[beg]
+                    held.append(follow[beg:end])
+            yield pa.record_batch([pa.array(done, pa.int64()), pa.array(texts, pa.binary())], names=["doc_id", "text"])
+        if held:
+            yield pa.record_batch([pa.array([owner], pa.int64()), pa.array([_walk(held)], pa.binary())], names=["doc_id", "text"])
+
+    ordered = rows.repartition("doc_id").sortWithinPartitions("doc_id", "bwt_pos").select("doc_id", "ch")
     return ordered.mapInArrow(walked, "doc_id bigint, text binary")
 
 
+def _walk(parts: list[np.ndarray]) -> bytes:
+    follow = np.concatenate(parts)
+    return kernels.invert(follow, int(np.flatnonzero(follow < 0)[0])).astype(np.uint8).tobytes()
+
+
 def roundtrip(docs: DataFrame, restored: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, same)."""
     other = restored.select("doc_id", F.col("text").alias("restored"))
