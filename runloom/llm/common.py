@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import math
 import tempfile
 import uuid
@@ -33,10 +35,24 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Write to the shared folder as compressed Parquet and read it again."""
-    path = f"{shared_dir(df.sparkSession)}/runloom-{uuid.uuid4().hex}"
+    """Write to the shared folder as compressed Parquet and read it again; the driver deletes it when it ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/runloom-{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, path)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended before
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df in at least as many partitions as there are cores: a table of one file is otherwise one task."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
 
 
 def ascii_lower(column) -> F.Column:

@@ -18,6 +18,7 @@ judged each; further columns don't matter.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -27,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from runloom.llm.common import spread
+
 #: Language families by ISO 639 code.
 FAMILIES = {
     "germanic": ("af", "da", "de", "en", "fy", "is", "lb", "nb", "nl", "nn", "no", "sv", "yi"),
@@ -101,9 +104,9 @@ def train_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, rounds: int = 80) -
     t = 1.0
     for _ in range(rounds):
         slack = np.maximum(0, 1 - y * (xb @ z))
-        gradient = z - 2 * c / n * (xb.T @ (weight * y * slack))
+        gradient = z - np.float32(2 * c / n) * (xb.T @ (weight * y * slack))
         new = z - step * gradient
-        t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        t2 = (1 + math.sqrt(1 + 4 * t * t)) / 2
         z, w, t = new + (t - 1) / t2 * (new - w), new, t2
     return w[:-1], float(w[-1])
 
@@ -185,7 +188,7 @@ def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_langu
                 yield pa.record_batch([part.column(0), part.column(1), pa.array(vectors, pa.binary())], names=["l", "o", "v"])
 
     by_lang: dict[str, list] = {}
-    for r in drawn.mapInArrow(rows, "l string, o bigint, v binary").where("v is not null").toLocalIterator():
+    for r in spread(drawn).mapInArrow(rows, "l string, o bigint, v binary").where("v is not null").toLocalIterator():
         by_lang.setdefault(r.l, []).append((r.o, bytes(r.v)))
     picked = [(lang, v) for lang in sorted(by_lang) for _, v in sorted(by_lang[lang])[:per_language]]
     return np.array([np.frombuffer(v, np.float32) for _, v in picked], np.float32).reshape(-1, DIMS), [lang for lang, _ in picked]
@@ -213,7 +216,7 @@ def judged(rows: DataFrame, model: Model | None, text: str) -> DataFrame:
 
     names = rows.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(work, f"{schema}, lang_pred string, score double")
+    return spread(rows).mapInArrow(work, f"{schema}, lang_pred string, score double")
 
 
 def identify(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
