@@ -1,0 +1,70 @@
+"""The five stages on a small corpus, against what each must do to it."""
+
+import random
+
+import corpus_pipeline
+import pytest
+from tokenizers import Tokenizer
+
+from runloom.llm import packing
+from tests.llm.test_operators import STEMS, packing_valid
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def corpus():
+    rng = random.Random(11)
+    docs = []
+    for i in range(160):
+        lang = ("en", "de", "fr", "es")[i % 4]
+        text = " ".join("".join(rng.choice(STEMS[lang].split()) for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(40, 120)))
+        docs.append([i, text, lang, "src", len(text)])
+    passage = " ".join(docs[20][1].split()[5:25])
+    docs.append([200, docs[3][1], "es", None, None])  # a copy
+    docs.append([201, docs[7][1] + " one more", "es", "src", None])  # a near copy
+    docs.append([202, "12 34 !? 56", "en", "src", 11])  # no letter
+    docs.append([203, None, "en", "src", None])
+    docs[40][1] = f"{docs[40][1]} {passage} {docs[41][1]}"  # leaks the passage, as document 20 does
+    docs[50][1] += ' token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" end'
+    return docs, passage
+
+
+@pytest.fixture(scope="module")
+def sf_dir(spark, tmp_path_factory):
+    folder = tmp_path_factory.mktemp("sf")
+    docs, passage = corpus()
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(1, passage), (2, None)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return str(folder)
+
+
+def test_stages(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    gone = [{202, 203}, {200, 201}, {20, 40}, set()]
+    left = {r.doc_id for r in docs.collect()}
+    for (name, stage), out in zip(corpus_pipeline.STAGES[:4], gone, strict=True):
+        docs = corpus_pipeline.stored(stage(spark, docs, sf_dir))
+        assert docs.columns == COLUMNS
+        left -= out
+        assert {r.doc_id for r in docs.collect()} == left, name
+    secret = {r.doc_id: r for r in docs.collect()}
+    assert secret[50].text.endswith('[secret]" end') and secret[50].n_chars == len(secret[50].text)
+    want = {d[0]: d for d in corpus()[0]}
+    assert all(secret[i].text == want[i][1] for i in left - {50})
+
+
+def test_run(spark, sf_dir):
+    pieces = corpus_pipeline.run(spark, sf_dir).collect()
+    tokenizer = Tokenizer.from_file(packing.default_tokenizer())
+    kept = {d[0]: d[1] for d in corpus()[0] if d[0] not in {202, 203, 200, 201, 20, 40}}
+    kept[50] = kept[50].split(" token")[0] + ' [secret]" end'
+    assert {r.doc_id for r in pieces} == set(kept)
+    total = {i: len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for i, t in kept.items()}
+    assert {i: sum(r.length for r in pieces if r.doc_id == i) for i in kept} == total
+    assert packing_valid(pieces, 1024) <= -(-sum(total.values()) // 1024) + 1
+
+
+def test_run_on_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
