@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from runloom.llm.common import parts_for, stored
+from runloom.llm.common import parts_for, spread, stored
 
 LENGTH = 1024
 END = 2
@@ -115,7 +115,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int
                 yield pa.record_batch(columns, names=names)
 
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("t"))
-    return texts.mapInArrow(rows, "id bigint, piece int, start bigint, length bigint, crc32 bigint" + ", ids array<bigint>" * with_ids)
+    return spread(texts).mapInArrow(rows, "id bigint, piece int, start bigint, length bigint, crc32 bigint" + ", ids array<bigint>" * with_ids)
 
 
 Pattern = tuple[tuple[int, int], ...]  # (length, how often) in a sequence
@@ -155,49 +155,78 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int) -> list[tuple[Pat
     return [(p, n) for patterns in rooms.values() for p, n in patterns.items()]
 
 
+def _bits(present: np.ndarray) -> int:
+    return int.from_bytes(np.packbits(present, bitorder="little").tobytes(), "little")
+
+
 def fillings(counts: np.ndarray, room: int, most: int = 8) -> list[tuple[int, ...]]:
-    """Undominated fillings of a room with up to three pieces, largest sum first.
+    """Undominated fillings of a room by up to three pieces, largest sum first.
 
     A filling is dominated if another one holds, for each of its pieces or
     groups of pieces, a single piece at least as large. So one piece that fits
     exactly dominates all; pairs need a sum over the best single piece, triples
-    one over the best pair.
+    one over the best pair. The lengths there are form a bit set, and those
+    that complete a sum are the set met with its mirror image, shifted.
     """
-    sizes = np.flatnonzero(counts[: room + 1])
-    if not len(sizes):
+    sizes = _bits(counts[: room + 1] > 0)
+    if not sizes:
         return [()]
-    single = int(sizes[-1])
+    mirror = _bits(counts[room::-1] > 0)  # bit room - s for length s
+    single = sizes.bit_length() - 1
     out: list[tuple[int, ...]] = [(single,)]
-    best = single
-    if best < room and len(sizes):
-        other = room - sizes  # the largest partner of each
-        at = np.searchsorted(sizes, other, "right") - 1
-        partner = np.where(at >= 0, sizes[np.maximum(at, 0)], 0)
-        ok = (at >= 0) & (partner <= sizes) & ((partner != sizes) | (counts[sizes] > 1))
-        sums = np.where(ok, sizes + partner, 0)
-        for i in np.argsort(-sums, kind="stable")[:most]:
-            if sums[i] > single:
-                out.append((int(sizes[i]), int(partner[i])))
-        best = max(best, int(sums.max(initial=0)))
-    if best < room and len(sizes) <= 400 and room >= 3:
-        tried = 0
-        for a in sizes[::-1]:
-            rest = room - int(a)
-            small = sizes[(sizes <= a) & (sizes < rest)]
-            if len(small):
-                at = np.searchsorted(sizes, rest - small, "right") - 1
-                partner = np.where(at >= 0, sizes[np.maximum(at, 0)], 0)
-                need = 1 + (partner == small) + (small == a).astype(int)
-                ok = (at >= 0) & (partner <= small) & (counts[partner] >= np.where(partner == small, 1 + (partner == small) + (small == a), 1)) & (counts[small] >= 1 + (small == a)) & (need > 0)
-                sums = np.where(ok, a + small + partner, 0)
-                i = int(np.argmax(sums))
-                if sums[i] > best:
-                    best = int(sums[i])
-                    out.append((int(a), int(small[i]), int(partner[i])))
-            tried += 1
-            if best == room or tried >= 64:
+    for total in range(room, single, -1):
+        left = sizes & (mirror >> (room - total))  # s with total - s there too
+        while left and len(out) <= most:
+            a = left.bit_length() - 1
+            b = total - a
+            if b > a or b == 0:
                 break
-    return sorted(set(out), key=lambda f: (-sum(f), len(f), tuple(-x for x in f)))[:most]
+            if a != b or counts[a] > 1:
+                out.append((a, b))
+            left ^= 1 << a
+        if len(out) > most:
+            break
+    best = max(map(sum, out))
+    if best < room:
+        three = _triple(counts, sizes, mirror, room, best)
+        if three:
+            out.append(three)
+    return sorted(out, key=lambda f: (-sum(f), len(f), tuple(-x for x in f)))[:most]
+
+
+def _triple(counts: np.ndarray, sizes: int, mirror: int, room: int, best: int) -> tuple[int, ...] | None:
+    """The triple of largest sum over best, of these the one with the largest pieces."""
+    for total in range(room, best, -1):
+        rest = sizes
+        while rest:
+            a = rest.bit_length() - 1
+            rest ^= 1 << a
+            if 3 * a < total:
+                break
+            pairs = sizes & (mirror >> (room - total + a)) & ((2 << a) - 1) if total > a else 0
+            while pairs:
+                b = pairs.bit_length() - 1
+                c = total - a - b
+                if c > b or c == 0:
+                    break
+                if counts[a] >= 1 + (a == b) + (a == c) and counts[b] >= 1 + (b == c):
+                    return a, b, c
+                pairs ^= 1 << b
+    return None
+
+
+def completions(left: np.ndarray, size: int, room: int) -> list[tuple[int, ...]]:
+    """Fillings beside a piece of this size: the largest pieces first while more than three of them fit, then fillings()."""
+    base: list[int] = [size]
+    left[size] -= 1
+    while len(there := np.flatnonzero(left[: room + 1])) and room > 3 * there[-1]:
+        base.append(int(there[-1]))
+        left[base[-1]] -= 1
+        room -= base[-1]
+    found = [(*base[1:], *f) for f in fillings(left, room)]
+    for x in base:
+        left[x] += 1
+    return found
 
 
 @dataclass
@@ -224,11 +253,7 @@ def bin_completion(counts: dict[int, int], capacity: int, nodes: int = NODES) ->
         sizes = np.flatnonzero(left)
         allowed = (fewest - 1) * capacity - total
         if len(sizes) and waste <= allowed:
-            size = int(sizes[-1])
-            left[size] -= 1
-            options = fillings(left, capacity - size)
-            left[size] += 1
-            stack.append(_Step(size, options))
+            stack.append(_Step(size := int(sizes[-1]), completions(left, size, capacity - size)))
         elif not len(sizes) and used < fewest:
             best, fewest = [(_pattern(s.size, s.taken), s.times) for s in stack], used
             continue
