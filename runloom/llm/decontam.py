@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from runloom.llm.common import spread
+
 WINDOW = 10
 SHARD_WORDS = 2_000_000
 #: The most benchmark text that goes to every task at once; beyond it the documents are scanned once for each part.
@@ -183,7 +185,7 @@ def annotated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", ite
                     )
 
         source = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("t"))
-        out.append(source.mapInArrow(rows, f"row {source.schema['row'].dataType.simpleString()}, {schema}"))
+        out.append(spread(source).mapInArrow(rows, f"row {source.schema['row'].dataType.simpleString()}, {schema}"))
     return out
 
 
@@ -235,7 +237,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
                 yield pa.record_batch([pa.array([f[i] for f in found], pa.int64()) for i in range(5)], names=names)
 
         texts = docs.select(F.col(id_col).cast("bigint"), F.col(text_col))
-        found = texts.mapInArrow(rows, "id bigint, item bigint, doc_word bigint, item_word bigint, n_words bigint")
+        found = spread(texts).mapInArrow(rows, "id bigint, item bigint, doc_word bigint, item_word bigint, n_words bigint")
         out = found if out is None else out.unionByName(found)
     return out
 

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runloom.llm.common import components, cut, parts_for, stored
+from runloom.llm.common import components, cut, parts_for, spread, stored
 
 SEED = 42
 
@@ -79,7 +79,7 @@ def fingerprints(docs: DataFrame, k: int, blocks: int = 1, id_col: str = "doc_id
             yield pa.record_batch([batch.column(0), *columns], names=["id", *(f"f{i}" for i in range(blocks))])
 
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("t"))
-    return texts.mapInArrow(rows, "id bigint, " + ", ".join(f"f{i} bigint" for i in range(blocks)))
+    return spread(texts).mapInArrow(rows, "id bigint, " + ", ".join(f"f{i} bigint" for i in range(blocks)))
 
 
 def even_segments(bits: int, parts: int) -> list[list[int]]:

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from runloom.llm.common import spread
+
 MIN_WORDS = 6
 _END = re.compile(r"\n|(?<=[.!?]) ")
 
@@ -66,7 +68,7 @@ def _unit_rows(min_words: int):
 def unit_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(id, d1, d2, beg, end) of every unit with enough words."""
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("t")).where("t is not null and id is not null")
-    return texts.mapInArrow(_unit_rows(min_words), "id bigint, d1 bigint, d2 bigint, beg int, end int")
+    return spread(texts).mapInArrow(_unit_rows(min_words), "id bigint, d1 bigint, d2 bigint, beg int, end int")
 
 
 def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:

@@ -40,7 +40,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runloom.llm.common import parts_for
+from runloom.llm.common import parts_for, spread
 
 WIDTH = 50
 K = 16
@@ -547,6 +547,7 @@ def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("t"))
     size = texts.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("n")).first().n
     parts = buckets = parts_for(size, part_bytes)
+    texts = spread(texts)
     documents = texts.mapInArrow(_read(parts), _BLOCKS)
     # copies of whole texts: all but those of the smallest id, as blocks for their homes
     digests = texts.where("id is not null and t is not null").select("id", F.unhex(F.sha2("t", 256)).alias("d"))
