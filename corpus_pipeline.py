@@ -20,7 +20,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by 5-word shingles at a similarity of about 0.8 or more the smallest doc_id stays."""
+    """Of documents linked by a Jaccard similarity of 0.8 or more of their 5-word shingles the smallest doc_id stays."""
     return simhash.drop_near_duplicates(docs)
 
 

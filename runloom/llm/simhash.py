@@ -20,8 +20,10 @@ don't matter.
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,8 @@ from pyspark.sql import functions as F
 from runloom.llm.common import components, cut, parts_for, spread, stored
 
 SEED = 42
+#: Share of the pairs at the similarity that segments_for() makes candidates.
+RECALL = 0.99
 
 
 def shingle_digests(text: str | None, k: int) -> np.ndarray:
@@ -91,17 +95,33 @@ def drawn_segments(bits: int, parts: int, width: int, seed: int = 7) -> list[lis
     return [sorted(draw.sample(range(bits), width)) for _ in range(parts)]
 
 
-def _entries(segments: Sequence[Sequence[int]], radius: int, blocks: int):
+def meeting_rate(bits: int, parts: int, width: int, distance: int, similarity: float) -> float:
+    """Chance that two sets of this Jaccard similarity meet in a drawn segment and differ in at most distance bits."""
+    apart = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    share = [math.comb(bits, d) * apart**d * (1 - apart) ** (bits - d) for d in range(distance + 1)]
+    return sum(p * (1 - (1 - math.comb(bits - d, width) / math.comb(bits, width)) ** parts) for d, p in enumerate(share))
+
+
+def segments_for(n: int, bits: int, distance: int, similarity: float, recall: float = RECALL) -> list[list[int]]:
+    """Drawn segments for n fingerprints: a value has a few hundred of them at most, and there are as many segments as the recall takes."""
+    width = min(40, max(14, math.ceil(math.log2(max(2, n))) - 9))
+    parts = next((m for m in range(1, 1 << 15) if meeting_rate(bits, m, width, distance, similarity) >= recall), None)
+    if parts is None:
+        raise ValueError("segments_for: this distance can't give the recall")
+    return drawn_segments(bits, parts, width)
+
+
+def _entries(segments: Sequence[Sequence[int]], radius: int, blocks: int, further: Sequence[str] = ()):
     """For each fingerprint its keys: in every segment the value and the ball's values."""
     if radius not in (0, 1):
         raise ValueError("radius: 0 or 1")
-    names = ["key", "rep", *(f"f{i}" for i in range(blocks))]
+    names = ["key", "rep", *(f"f{i}" for i in range(blocks)), *further]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
-                part = [batch.column(i).to_numpy(zero_copy_only=False)[at : at + 4096] for i in range(blocks + 1)]
-                words = [p.view(np.uint64) for p in part[1:]]
+                part = [batch.column(i).to_numpy(zero_copy_only=False)[at : at + 4096] for i in range(len(names) - 1)]
+                words = [p.view(np.uint64) for p in part[1 : blocks + 1]]
                 keys, who = [], []
                 for s, bits in enumerate(segments):
                     value = np.zeros(len(part[0]), np.uint64)
@@ -137,6 +157,35 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[far], nodes[parent[far]]
 
 
+def _near(key: np.ndarray, f: Sequence[np.ndarray], distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the pairs of a key, in its sorted order, that differ in at most distance bits."""
+    left, d = np.arange(len(key) - 1), 1
+    while len(left := left[left < len(key) - d]):
+        left = left[key[left] == key[left + d]]
+        near = left[sum(np.bitwise_count(x[left] ^ x[left + d]).astype(np.int64) for x in f) <= distance]
+        if len(near):
+            yield near, near + d
+        d += 1
+
+
+def _across(blocks: int, distance: int):
+    """All near pairs of a key whose labels differ."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = pa.Table.from_batches(batches) if (batches := list(batches)) else None
+        if got is None or not got.num_rows:
+            return
+        key, rep, *f, label = (got.column(i).to_numpy() for i in range(blocks + 3))
+        order = np.argsort(key, kind="stable")
+        key, rep, label, f = key[order], rep[order], label[order], [x[order].view(np.uint64) for x in f]
+        for i, j in _near(key, f, distance):
+            apart = label[i] != label[j]
+            a, b = rep[i[apart]], rep[j[apart]]
+            yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return rows
+
+
 def _verified(blocks: int, distance: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = pa.Table.from_batches(batches) if (batches := list(batches)) else None
@@ -146,19 +195,13 @@ def _verified(blocks: int, distance: int):
         order = np.argsort(key, kind="stable")
         key, rep, f = key[order], rep[order], [x[order].view(np.uint64) for x in f]
         a, b, held = [], [], 0
-        left, d = np.arange(len(key) - 1), 1
-        while len(left := left[left < len(key) - d]):
-            left = left[key[left] == key[left + d]]
-            apart = sum(np.bitwise_count(x[left] ^ x[left + d]).astype(np.int64) for x in f)
-            near = left[apart <= distance]
-            if len(near):
-                a.append(rep[near])
-                b.append(rep[near + d])
-                held += len(near)
+        for i, j in _near(key, f, distance):
+            a.append(rep[i])
+            b.append(rep[j])
+            held += len(i)
             if held > 2_000_000:
                 x, y = forest(np.concatenate(a), np.concatenate(b))
                 a, b, held = [x], [y], len(x)
-            d += 1
         if a:
             x, y = forest(np.concatenate(a), np.concatenate(b))
             yield pa.record_batch([pa.array(x), pa.array(y)], names=["a", "b"])
@@ -166,34 +209,109 @@ def _verified(blocks: int, distance: int):
     return rows
 
 
-def linked(prints: DataFrame, blocks: int, segments: Sequence[Sequence[int]], radius: int, distance: int, per_part: int = 1_000_000) -> DataFrame:
-    """(id, f0, ..., component) for rows (id, f0, ...): components of distance or less between fingerprints."""
-    names = [f"f{i}" for i in range(blocks)]
-    prints = stored(prints)
-    distinct = cut(prints.groupBy(*names).agg(F.min("id").alias("rep")).select("rep", *names))
-    n = distinct.count()
+def _met(distinct: DataFrame, n: int, blocks: int, segments: Sequence[Sequence[int]], radius: int, distance: int, per_part: int, labelled: bool = False) -> DataFrame:
+    """Edges (a, b) between n distinct fingerprints that meet within the distance: a forest of each key, or all pairs of different labels."""
+    further = ["label"] * labelled
+    names = [*(f"f{i}" for i in range(blocks)), *further]
     keys = n * sum(1 + radius * len(s) / 2 for s in segments)
-    entries = distinct.where("rep is not null").mapInArrow(_entries(segments, radius, blocks), "key bigint, rep bigint, " + ", ".join(f"{x} bigint" for x in names))
-    parts = parts_for(keys, per_part, int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    edges = cut(entries.repartition(parts, "key").mapInArrow(_verified(blocks, distance), "a bigint, b bigint"))
-    found = components(edges)
+    entries = distinct.where("rep is not null").select("rep", *names).mapInArrow(_entries(segments, radius, blocks, further), "key bigint, rep bigint, " + ", ".join(f"{x} bigint" for x in names))
+    parts = parts_for(keys, per_part, int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return entries.repartition(parts, "key").mapInArrow((_across if labelled else _verified)(blocks, distance), "a bigint, b bigint")
+
+
+def _distinct(prints: DataFrame, blocks: int) -> DataFrame:
+    names = [f"f{i}" for i in range(blocks)]
+    return cut(prints.groupBy(*names).agg(F.min("id").alias("rep")).select("rep", *names))
+
+
+def _named(prints: DataFrame, distinct: DataFrame, found: DataFrame, blocks: int) -> DataFrame:
+    names = [f"f{i}" for i in range(blocks)]
     named = distinct.join(found, distinct.rep == found.id, "left").select(*names, F.coalesce("component", "rep").alias("component"))
     # fingerprints that many rows share: the rows' side is the one that adaptive execution splits
     return prints.join(named, names).select("id", *names, "component")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, distance: int = 22, blocks: int = 2, segments: Sequence[Sequence[int]] | None = None) -> DataFrame:
-    """(id, f0, f1, component) for shingles of k words and a Jaccard similarity of about 0.8 or more.
+def linked(prints: DataFrame, blocks: int, segments: Sequence[Sequence[int]], radius: int, distance: int, per_part: int = 1_000_000) -> DataFrame:
+    """(id, f0, ..., component) for rows (id, f0, ...): components of distance or less between fingerprints."""
+    prints = stored(prints)
+    distinct = _distinct(prints, blocks)
+    edges = cut(_met(distinct, distinct.count(), blocks, segments, radius, distance, per_part))
+    return _named(prints, distinct, components(edges), blocks)
+
+
+@lru_cache(maxsize=256)
+def _shingle_set(text: str | None, k: int) -> np.ndarray:
+    return np.unique(shingle_digests(text, k).view(">u8").ravel())
+
+
+def _compared(k: int, similarity: float):
+    """(a, b, same): whether the shingles of two texts have at least this Jaccard similarity."""
 
-    128 bits; 16 drawn segments of at least 20 bits, wider for a larger
-    corpus (two bits over the logarithm of its size), each with its ball of
-    radius 1. A Jaccard similarity of 0.8 is a cosine of 0.89 and a distance
-    of 19 of 128 bits on average, with a deviation of 4.
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            same = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                x, y = _shingle_set(x, k), _shingle_set(y, k)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                same.append(both >= (len(x) + len(y) - both) * similarity - 1e-9)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(same, pa.bool_())], names=["a", "b", "same"])
+
+    return rows
+
+
+def _labelled(edges: DataFrame, label: DataFrame) -> DataFrame:
+    """Edges whose ends have different labels (id, component); without one an id is its own."""
+    left, right = (label.select(F.col("id").alias(x), F.col("component").alias(f"{x}_in")) for x in "ab")
+    return edges.join(left, "a", "left").join(right, "b", "left").where("coalesce(a_in, a) <> coalesce(b_in, b)").select("a", "b")
+
+
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, distance: int = 32, blocks: int = 2, segments: Sequence[Sequence[int]] | None = None, similarity: float = 0.8, per_part: int = 1_000_000
+) -> DataFrame:
+    """(id, f0, f1, component): components of pairs whose sets of k-word shingles have this Jaccard similarity or more.
+
+    SimHash only names candidates: a similarity of 0.8 is a cosine of 0.89 and
+    a distance of 19 of 128 bits on average, with a deviation of 4, so 32 bits
+    lose one pair in a thousand. Segments widen with the corpus and their
+    number follows, so that a pair at the similarity is a candidate with the
+    probability RECALL at any size.
+
+    Candidates are confirmed by the exact similarity of their texts. First
+    each fingerprint is held against the smallest of its candidate component,
+    then the forest's edges between what is still apart. Where a component is
+    still in several parts, all pairs that met across the parts are compared.
+    Rows of equal fingerprint are copies.
     """
     if segments is None:
-        width = max(20, int(np.ceil(np.log2(max(2, docs.count())))) + 2)
-        segments = drawn_segments(64 * blocks, 16, min(width, 40))
-    return linked(fingerprints(docs, k, blocks, id_col, text_col), blocks, segments, 1, distance)
+        segments = segments_for(docs.count(), 64 * blocks, distance, similarity)
+    prints = stored(fingerprints(docs, k, blocks, id_col, text_col))
+    distinct = _distinct(prints, blocks)
+    edges = cut(_met(distinct, distinct.count(), blocks, segments, 0, distance, per_part).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    found = cut(components(edges))
+    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("t"))
+    texts = stored(texts.join(found.select("id"), "id", "left_semi").distinct())
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        held = pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("t").alias("y")), "b")
+        return cut(held.select("a", "b", "x", "y").mapInArrow(_compared(k, similarity), "a bigint, b bigint, same boolean"))
+
+    tested = confirmed(found.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")))
+    if tested.where("not same").isEmpty():
+        return _named(prints, distinct, found, blocks)
+    parts = cut(components(tested.where("same")))
+    more = confirmed(_labelled(edges, parts).join(tested, ["a", "b"], "left_anti"))
+    tested = tested.unionByName(more)
+    if not more.where("same").isEmpty():
+        parts = cut(components(tested.where("same")))
+    label = found.join(parts.withColumnRenamed("component", "label"), "id", "left").select("id", "component", F.coalesce("label", "id").alias("label"))
+    split = label.groupBy("component").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where("low < high and size > 2").select("component")
+    left = label.join(split, "component", "left_semi").select("id", "label")
+    left = cut(distinct.join(left, distinct.rep == left.id).drop("id"))
+    pairs = _met(left, left.count(), blocks, segments, 0, distance, per_part, labelled=True).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    more = confirmed(pairs.distinct().join(tested, ["a", "b"], "left_anti"))
+    if not more.where("same").isEmpty():
+        parts = components(tested.unionByName(more).where("same"))
+    return _named(prints, distinct, parts, blocks)
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -167,6 +167,41 @@ def test_simhash_dense_group_and_null_ids(spark):
     assert len(found) == 401
 
 
+@pytest.mark.parametrize("n", [1_000, 200_000, 12_000_000, 400_000_000])
+def test_simhash_candidates_at_any_size(n):
+    rng = np.random.default_rng(n)
+    segments = simhash.segments_for(n, 128, 32, 0.8)
+    apart = rng.random((2000, 128)) < np.arccos(1.6 / 1.8) / np.pi
+    met = np.zeros(len(apart), bool)
+    for bits in segments:
+        met |= ~apart[:, bits].any(axis=1)
+    assert (met & (apart.sum(axis=1) <= 32)).mean() > 0.98
+    assert n >> len(segments[0]) <= 512
+
+
+def test_near_duplicates_by_exact_jaccard(spark):
+    rng, rows, want, other = random.Random(5), [], set(), set()
+    for i in range(600):
+        words = ["".join(rng.choices(string.ascii_lowercase, k=6)) for _ in range(204)]
+        copy = list(words)
+        for at in range(4 if i % 2 else 6):  # each takes 5 of 200 shingles: 180 / 220 is 0.82, 170 / 230 is 0.74
+            copy[20 + 30 * at] = f"x{at}"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(copy))]
+        (want if i % 2 else other).add(2 * i + 1)
+    rows += [(5000 + j, " ".join(f"{c}{x}" for x in range(204))) for j, c in enumerate("pq")]
+    # a chain: each near the next, the ends far from each other
+    chain = [f"c{x}" for x in range(204)]
+    for j in range(5):
+        rows.append((6000 + (j * 2) % 5, " ".join(chain)))
+        for at in range(4):
+            chain[10 + 40 * j + 9 * at] += "y"
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    gone = {r[0] for r in rows} - {r.doc_id for r in simhash.drop_near_duplicates(df).collect()}
+    assert len(gone & want) >= 0.97 * len(want)
+    assert not gone & other
+    assert gone - want == {6001, 6002, 6003, 6004}
+
+
 def test_near_duplicates_keep_one_of_each_group(spark):
     rng = random.Random(8)
     out = []
