@@ -10,12 +10,14 @@ For radius 1 the ball needs only the flips from 0 to 1: of two values that
 differ in one bit, the one with the 0 reaches the other.
 
 Copies share a fingerprint and are one entry. What meets is compared in the
-partition of its key, in blocks, and leaves as a spanning forest, never as all
-pairs of a group. Components come from joins over the forest's edges.
+partition of its key and leaves as a spanning forest, never as all pairs of a
+group. A key of many fingerprints is split into blocks, each pair of blocks a
+key of its own. Components come from joins over the forest's edges.
 
 Null and empty texts have fingerprint zero and are linked like any other. Rows
-without id get the component of equal fingerprints. Repeated rows get a row each; an empty table gives no rows; further columns
-don't matter.
+without id get the component of equal fingerprints. Repeated rows and rows
+that share an id get a row each. Texts of any length are read whole, by one
+task each. An empty table gives no rows; further columns don't matter.
 """
 
 from __future__ import annotations
@@ -23,7 +25,6 @@ from __future__ import annotations
 import math
 import random
 from collections.abc import Iterator, Sequence
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,12 @@ from runloom.llm.common import components, cut, parts_for, spread, stored
 SEED = 42
 #: Share of the pairs at the similarity that segments_for() makes candidates.
 RECALL = 0.99
+#: Fingerprints of one key that a task compares; a key with more is split into blocks.
+PER_KEY = 4096
+#: The most keys that are split.
+HOT_KEYS = 100_000
+#: Texts, and shingles of texts, that a block of the exact comparison holds.
+BLOCK_ROWS, BLOCK_DIGESTS = 1024, 2_000_000
 
 
 def shingle_digests(text: str | None, k: int) -> np.ndarray:
@@ -61,29 +68,40 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(31))).astype(">u8").view(np.uint8).reshape(-1, 8)
 
 
-def fingerprint(text: str | None, k: int, blocks: int = 1) -> list[int]:
-    """Signed 64-bit numbers; a bit is 1 if set in over half the shingles' digests."""
+def fingerprint(text: str | None, k: int, blocks: int = 1, split_ties: bool = False) -> list[int]:
+    """Signed 64-bit numbers; a bit is 1 if set in over half the shingles' digests.
+
+    split_ties: where half of them have the bit, the smallest digest decides,
+    so that unrelated texts of few shingles differ in half their bits.
+    """
     h, out = shingle_digests(text, k), []
+    first = int(h.view(">u8").argmin()) if split_ties and len(h) else None
     for _ in range(blocks):
         ones = np.zeros(64, np.int64)
         for at in range(0, len(h), 1 << 16):
             ones += np.unpackbits(h[at : at + (1 << 16)], axis=1).sum(axis=0, dtype=np.int64)
+        if first is not None:
+            ones += (2 * ones == len(h)) & (np.unpackbits(h[first]) > 0)
         out.append(int(np.packbits(2 * ones > len(h)).view(">i8")[0]))
         h = _mixed(h) if len(out) < blocks else h
     return out
 
 
-def fingerprints(docs: DataFrame, k: int, blocks: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, f0, f1, ...) of every row."""
+def fingerprints(docs: DataFrame, k: int, blocks: int = 1, id_col: str = "doc_id", text_col: str = "text", split_ties: bool = False) -> DataFrame:
+    """(id, copy, f0, f1, ...) of every row; copy is a hash of the text, -1 for a null text's."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(t.as_py(), k, blocks) for t in batch.column(1)]
+            found = [fingerprint(t.as_py(), k, blocks, split_ties) for t in batch.column(1)]
             columns = [pa.array([f[i] for f in found], pa.int64()) for i in range(blocks)]
-            yield pa.record_batch([batch.column(0), *columns], names=["id", *(f"f{i}" for i in range(blocks))])
+            yield pa.record_batch([batch.column(0), batch.column(2), *columns], names=["id", "copy", *(f"f{i}" for i in range(blocks))])
+
+    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("t"), _copy(F.col(text_col)).alias("copy"))
+    return spread(texts).mapInArrow(rows, "id bigint, copy bigint, " + ", ".join(f"f{i} bigint" for i in range(blocks)))
+
 
-    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("t"))
-    return spread(texts).mapInArrow(rows, "id bigint, " + ", ".join(f"f{i} bigint" for i in range(blocks)))
+def _copy(text: F.Column) -> F.Column:
+    return F.when(text.isNull(), F.lit(-1).cast("bigint")).otherwise(F.xxhash64(text, F.octet_length(text)))
 
 
 def even_segments(bits: int, parts: int) -> list[list[int]]:
@@ -111,31 +129,96 @@ def segments_for(n: int, bits: int, distance: int, similarity: float, recall: fl
     return drawn_segments(bits, parts, width)
 
 
-def _entries(segments: Sequence[Sequence[int]], radius: int, blocks: int, further: Sequence[str] = ()):
-    """For each fingerprint its keys: in every segment the value and the ball's values."""
+def _keys(words: Sequence[np.ndarray], s: int, bits: Sequence[int], radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of fingerprints in segment s, the ball's included, and which fingerprint has each."""
+    value = np.zeros(len(words[0]), np.uint64)
+    for j, b in enumerate(bits):
+        value |= ((words[b // 64] >> np.uint64(b % 64)) & np.uint64(1)) << np.uint64(j)
+    base = np.uint64(s << 48)
+    keys, who = [base | value], [np.arange(len(value))]
+    for j in range(len(bits) if radius else 0):
+        low = np.flatnonzero(value >> np.uint64(j) & np.uint64(1) == 0)
+        keys.append(base | value[low] | np.uint64(1 << j))
+        who.append(low)
+    return np.concatenate(keys), np.concatenate(who)
+
+
+def _hash(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(29))
+
+
+def _frequent(segments: Sequence[Sequence[int]], radius: int, blocks: int, least: int):
+    """(key, n): keys that a partition has at least `least` times."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [[b.column(i + 1).to_numpy(zero_copy_only=False).view(np.uint64) for i in range(blocks)] for b in batches]
+        words = [np.concatenate([g[i] for g in got]) for i in range(blocks)] if got else []
+        for s, bits in enumerate(segments if got else ()):
+            key, n = np.unique(_keys(words, s, bits, radius)[0], return_counts=True)
+            key, n = key[n >= least], n[n >= least]
+            if len(key):
+                yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], names=["key", "n"])
+
+    return rows
+
+
+def _hot_keys(distinct: DataFrame, segments: Sequence[Sequence[int]], radius: int, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of over PER_KEY fingerprints, sorted, and the number of blocks for each.
+
+    A key that many fingerprints have is frequent in some partition. A count
+    too low by what infrequent partitions hold makes blocks larger, no more.
+    At most HOT_KEYS keys, the largest, are split (16 bytes for each go along
+    with every task).
+    """
+    parts = distinct.rdd.getNumPartitions()
+    least = max(2, -(-PER_KEY // max(1, parts)))
+    found = distinct.select("rep", *(f"f{i}" for i in range(blocks))).mapInArrow(_frequent(segments, radius, blocks, least), "key bigint, n bigint")
+    hot = found.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > PER_KEY // 2).orderBy(F.desc("n"), "key").limit(HOT_KEYS).collect()
+    key = np.array([r.key for r in hot], np.int64).view(np.uint64)
+    many = np.array([-(-(r.n + least) // PER_KEY) for r in hot], np.int64)
+    order = np.argsort(key)
+    return key[order], many[order]
+
+
+def _entries(segments: Sequence[Sequence[int]], radius: int, blocks: int, hot: tuple[np.ndarray, np.ndarray]):
+    """For each fingerprint its keys: in every segment the value and the ball's values.
+
+    A hot key is one key for each pair of its blocks: side is 1 or 2 for the
+    two blocks of a pair and 0 where all are compared.
+    """
     if radius not in (0, 1):
         raise ValueError("radius: 0 or 1")
-    names = ["key", "rep", *(f"f{i}" for i in range(blocks)), *further]
+    names = ["key", "side", "rep", *(f"f{i}" for i in range(blocks))]
+    hot_key, hot_blocks = hot
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
-                part = [batch.column(i).to_numpy(zero_copy_only=False)[at : at + 4096] for i in range(len(names) - 1)]
-                words = [p.view(np.uint64) for p in part[1 : blocks + 1]]
-                keys, who = [], []
-                for s, bits in enumerate(segments):
-                    value = np.zeros(len(part[0]), np.uint64)
-                    for j, b in enumerate(bits):
-                        value |= ((words[b // 64] >> np.uint64(b % 64)) & np.uint64(1)) << np.uint64(j)
-                    base = np.uint64(s << 48)
-                    keys.append(base | value)
-                    who.append(np.arange(len(value)))
-                    for j in range(len(bits) if radius else 0):
-                        low = np.flatnonzero(value >> np.uint64(j) & np.uint64(1) == 0)
-                        keys.append(base | value[low] | np.uint64(1 << j))
-                        who.append(low)
-                key, who_ = np.concatenate(keys).view(np.int64), np.concatenate(who)
-                yield pa.record_batch([pa.array(key), *(pa.array(p[who_]) for p in part)], names=names)
+                part = [batch.column(i).to_numpy(zero_copy_only=False)[at : at + 4096] for i in range(blocks + 1)]
+                words = [p.view(np.uint64) for p in part[1:]]
+                for s in range(0, len(segments), 16):
+                    found = [_keys(words, i, segments[i], radius) for i in range(s, min(s + 16, len(segments)))]
+                    key, who = (np.concatenate([f[c] for f in found]) for c in (0, 1))
+                    key, side, who = _dealt(key, part[0].view(np.uint64)[who], who)
+                    yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(side), *(pa.array(p[who]) for p in part)], names=names)
+
+    def _dealt(key: np.ndarray, rep: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        side = np.zeros(len(key), np.int8)
+        if not len(hot_key):
+            return key, side, who
+        at = np.minimum(np.searchsorted(hot_key, key), len(hot_key) - 1)
+        many = np.where(hot_key[at] == key, hot_blocks[at], 1)
+        split = np.flatnonzero(many > 1)
+        if not len(split):
+            return key, side, who
+        n = many[split]
+        own = np.repeat((_hash(rep[split]) >> np.uint64(33)).astype(np.int64) % n, n)
+        other = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        pair = (np.minimum(own, other) * np.repeat(n, n) + np.maximum(own, other)).astype(np.uint64)
+        rest = many == 1
+        new = _hash(np.repeat(key[split], n) + _hash(pair + np.uint64(1)))
+        return np.concatenate((key[rest], new)), np.concatenate((side[rest], np.where(own == other, 0, np.where(own < other, 1, 2)).astype(np.int8))), np.concatenate((who[rest], np.repeat(who[split], n)))
 
     return rows
 
@@ -157,45 +240,28 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[far], nodes[parent[far]]
 
 
-def _near(key: np.ndarray, f: Sequence[np.ndarray], distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _near(key: np.ndarray, side: np.ndarray, f: Sequence[np.ndarray], distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places of the pairs of a key, in its sorted order, that differ in at most distance bits."""
     left, d = np.arange(len(key) - 1), 1
     while len(left := left[left < len(key) - d]):
         left = left[key[left] == key[left + d]]
         near = left[sum(np.bitwise_count(x[left] ^ x[left + d]).astype(np.int64) for x in f) <= distance]
+        near = near[(side[near] != side[near + d]) | (side[near] == 0)]
         if len(near):
             yield near, near + d
         d += 1
 
 
-def _across(blocks: int, distance: int):
-    """All near pairs of a key whose labels differ."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = pa.Table.from_batches(batches) if (batches := list(batches)) else None
-        if got is None or not got.num_rows:
-            return
-        key, rep, *f, label = (got.column(i).to_numpy() for i in range(blocks + 3))
-        order = np.argsort(key, kind="stable")
-        key, rep, label, f = key[order], rep[order], label[order], [x[order].view(np.uint64) for x in f]
-        for i, j in _near(key, f, distance):
-            apart = label[i] != label[j]
-            a, b = rep[i[apart]], rep[j[apart]]
-            yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-    return rows
-
-
 def _verified(blocks: int, distance: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = pa.Table.from_batches(batches) if (batches := list(batches)) else None
         if got is None or not got.num_rows:
             return
-        key, rep, *f = (got.column(i).to_numpy() for i in range(blocks + 2))
+        key, side, rep, *f = (got.column(i).to_numpy() for i in range(blocks + 3))
         order = np.argsort(key, kind="stable")
-        key, rep, f = key[order], rep[order], [x[order].view(np.uint64) for x in f]
+        key, side, rep, f = key[order], side[order], rep[order], [x[order].view(np.uint64) for x in f]
         a, b, held = [], [], 0
-        for i, j in _near(key, f, distance):
+        for i, j in _near(key, side, f, distance):
             a.append(rep[i])
             b.append(rep[j])
             held += len(i)
@@ -209,14 +275,15 @@ def _verified(blocks: int, distance: int):
     return rows
 
 
-def _met(distinct: DataFrame, n: int, blocks: int, segments: Sequence[Sequence[int]], radius: int, distance: int, per_part: int, labelled: bool = False) -> DataFrame:
-    """Edges (a, b) between n distinct fingerprints that meet within the distance: a forest of each key, or all pairs of different labels."""
-    further = ["label"] * labelled
-    names = [*(f"f{i}" for i in range(blocks)), *further]
+def _met(distinct: DataFrame, n: int, blocks: int, segments: Sequence[Sequence[int]], radius: int, distance: int, per_part: int) -> DataFrame:
+    """Edges (a, b) between n distinct fingerprints that meet within the distance: a forest of each task's keys."""
+    known = distinct.where("rep is not null")
+    names = [f"f{i}" for i in range(blocks)]
+    hot = _hot_keys(known, segments, radius, blocks)
     keys = n * sum(1 + radius * len(s) / 2 for s in segments)
-    entries = distinct.where("rep is not null").select("rep", *names).mapInArrow(_entries(segments, radius, blocks, further), "key bigint, rep bigint, " + ", ".join(f"{x} bigint" for x in names))
+    entries = known.select("rep", *names).mapInArrow(_entries(segments, radius, blocks, hot), "key bigint, side tinyint, rep bigint, " + ", ".join(f"{x} bigint" for x in names))
     parts = parts_for(keys, per_part, int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return entries.repartition(parts, "key").mapInArrow((_across if labelled else _verified)(blocks, distance), "a bigint, b bigint")
+    return entries.repartition(parts, "key").mapInArrow(_verified(blocks, distance), "a bigint, b bigint")
 
 
 def _distinct(prints: DataFrame, blocks: int) -> DataFrame:
@@ -228,7 +295,7 @@ def _named(prints: DataFrame, distinct: DataFrame, found: DataFrame, blocks: int
     names = [f"f{i}" for i in range(blocks)]
     named = distinct.join(found, distinct.rep == found.id, "left").select(*names, F.coalesce("component", "rep").alias("component"))
     # fingerprints that many rows share: the rows' side is the one that adaptive execution splits
-    return prints.join(named, names).select("id", *names, "component")
+    return prints.join(named, names).select("id", *(["copy"] if "copy" in prints.columns else []), *names, "component")
 
 
 def linked(prints: DataFrame, blocks: int, segments: Sequence[Sequence[int]], radius: int, distance: int, per_part: int = 1_000_000) -> DataFrame:
@@ -239,86 +306,154 @@ def linked(prints: DataFrame, blocks: int, segments: Sequence[Sequence[int]], ra
     return _named(prints, distinct, components(edges), blocks)
 
 
-@lru_cache(maxsize=256)
-def _shingle_set(text: str | None, k: int) -> np.ndarray:
-    return np.unique(shingle_digests(text, k).view(">u8").ravel())
+def _set_rows(k: int):
+    """(component, id, n, digests): the distinct shingles of each text, sorted, as bytes."""
 
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                sets = [np.unique(shingle_digests(t.as_py(), k).view(">u8").astype("<u8").ravel()) for t in part.column(2)]
+                yield pa.record_batch([part.column(0), part.column(1), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["component", "id", "n", "digests"])
+
+    return rows
 
-def _compared(k: int, similarity: float):
-    """(a, b, same): whether the shingles of two texts have at least this Jaccard similarity."""
+
+def similar_pairs(sets: Sequence[np.ndarray], similarity: float, first: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs of sets with this Jaccard similarity or more; with first, of one of the first so many with one of the others.
+
+    Shingles that many sets have are columns of a matrix that is multiplied by
+    itself, chunk by chunk; the pairs of the others are counted one by one.
+    """
+    n = len(sets)
+    sizes = np.array([len(x) for x in sets])
+    value, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(n), sizes)
+    top = n if first is None else first
+    low = 0 if first is None else first
+    both = np.zeros((top, n - low), np.float32)
+    dense = np.flatnonzero(count > 48)
+    place = np.full(len(value), -1)
+    place[dense] = np.arange(len(dense))
+    at = place[column]
+    order = np.argsort(at, kind="stable")
+    at, who = at[order], owner[order]
+    for beg in range(0, len(dense), 2048):
+        cut_ = slice(*np.searchsorted(at, (beg, beg + 2048)))
+        x = np.zeros((n, min(2048, len(dense) - beg)), np.float32)
+        x[who[cut_], at[cut_] - beg] = 1
+        both += x[:top] @ x[low:].T
+    few = (count[column] > 1) & (place[column] < 0)
+    order = np.argsort(column[few], kind="stable")  # owners stay in order within a column
+    c, o = column[few][order], owner[few][order]
+    left, d = np.arange(len(c)), 1
+    while len(left := left[left < len(c) - d]):
+        left = left[c[left] == c[left + d]]
+        i, j = o[left], o[left + d]
+        keep = (i < top) & (j >= low)
+        both += np.bincount(i[keep] * (n - low) + j[keep] - low, minlength=both.size).reshape(both.shape)
+        d += 1
+    union = sizes[:top, None] + sizes[None, low:] - both
+    i, j = np.nonzero(both >= union * similarity - 1e-6)
+    j = j + low
+    return i[i < j], j[i < j]
+
+
+def _alike(similarity: float):
+    """Forest edges of similar texts, group by group of sorted rows (component, lo, hi, own, id, digests)."""
+
+    def judged(held: list[tuple[int, int, bytes]], lo: int, hi: int) -> pa.RecordBatch:
+        held.sort(key=lambda h: h[0] != lo)
+        ids = np.array([h[1] for h in held])
+        i, j = similar_pairs([np.frombuffer(h[2], "<u8") for h in held], similarity, None if lo == hi else sum(h[0] == lo for h in held))
+        a, b = forest(ids[i], ids[j]) if len(i) else (ids[:0], ids[:0])
+        return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held = None, []
         for batch in batches:
-            same = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = _shingle_set(x, k), _shingle_set(y, k)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                same.append(both >= (len(x) + len(y) - both) * similarity - 1e-9)
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(same, pa.bool_())], names=["a", "b", "same"])
+            for component, lo, hi, own, i, digests in zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True):
+                if group != (component, lo, hi):
+                    if len(held) > 1:
+                        yield judged(held, *group[1:])
+                    group, held = (component, lo, hi), []
+                held.append((own, i, digests))
+        if len(held) > 1:
+            yield judged(held, *group[1:])
 
     return rows
 
 
-def _labelled(edges: DataFrame, label: DataFrame) -> DataFrame:
-    """Edges whose ends have different labels (id, component); without one an id is its own."""
-    left, right = (label.select(F.col("id").alias(x), F.col("component").alias(f"{x}_in")) for x in "ab")
-    return edges.join(left, "a", "left").join(right, "b", "left").where("coalesce(a_in, a) <> coalesce(b_in, b)").select("a", "b")
+def _confirmed(docs: DataFrame, found: DataFrame, k: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """(a, b): a forest of the pairs within each candidate component whose texts have the similarity.
+
+    A component is cut into blocks of bounded rows and bytes, and every pair
+    of blocks is one group, so no task holds more than two blocks at a time.
+    """
+    texts = docs.select(F.col(id_col).cast("bigint").alias("_id"), _copy(F.col(text_col)).alias("_copy"), F.col(text_col).alias("t"))
+    ours = F.col("_id").eqNullSafe(F.col("id")) & (F.col("_copy") == F.col("copy"))
+    texts = texts.join(found, ours).dropDuplicates(["rep"]).select("component", "rep", "t")
+    sets = stored(texts.mapInArrow(_set_rows(k), "component bigint, id bigint, n bigint, digests binary"))
+    sizes = sets.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("n") / BLOCK_DIGESTS)).cast("int").alias("many"))
+    own = F.pmod(F.xxhash64("id"), F.col("many")).cast("int")
+    dealt = sets.join(cut(sizes), "component").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("many") - 1)))
+    dealt = dealt.select("component", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "digests")
+    grouped = dealt.repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi")
+    return grouped.mapInArrow(_alike(similarity), "a bigint, b bigint")
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, distance: int = 32, blocks: int = 2, segments: Sequence[Sequence[int]] | None = None, similarity: float = 0.8, per_part: int = 1_000_000
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, distance: int = 54, blocks: int = 4, segments: Sequence[Sequence[int]] | None = None, similarity: float = 0.8, per_part: int = 1_000_000
 ) -> DataFrame:
-    """(id, f0, f1, component): components of pairs whose sets of k-word shingles have this Jaccard similarity or more.
+    """(id, copy, f0, ..., component): components of pairs whose sets of k-word shingles have this Jaccard similarity or more.
 
     SimHash only names candidates: a similarity of 0.8 is a cosine of 0.89 and
-    a distance of 19 of 128 bits on average, with a deviation of 4, so 32 bits
-    lose one pair in a thousand. Segments widen with the corpus and their
-    number follows, so that a pair at the similarity is a candidate with the
+    a distance of 39 of 256 bits on average, with a deviation of 5.7, so 54
+    bits lose one pair in two hundred, while unrelated texts (128 bits, 8) are
+    linked at no corpus size. Segments widen with the corpus and their number
+    follows, so that a pair at the similarity is a candidate with the
     probability RECALL at any size.
 
-    Candidates are confirmed by the exact similarity of their texts. First
-    each fingerprint is held against the smallest of its candidate component,
-    then the forest's edges between what is still apart. Where a component is
-    still in several parts, all pairs that met across the parts are compared.
-    Rows of equal fingerprint are copies.
+    The texts of each component of candidates are then held against each other
+    by the exact similarity. Rows of equal fingerprint are copies.
     """
     if segments is None:
         segments = segments_for(docs.count(), 64 * blocks, distance, similarity)
-    prints = stored(fingerprints(docs, k, blocks, id_col, text_col))
-    distinct = _distinct(prints, blocks)
-    edges = cut(_met(distinct, distinct.count(), blocks, segments, 0, distance, per_part).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    found = cut(components(edges))
-    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("t"))
-    texts = stored(texts.join(found.select("id"), "id", "left_semi").distinct())
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        held = pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("t").alias("y")), "b")
-        return cut(held.select("a", "b", "x", "y").mapInArrow(_compared(k, similarity), "a bigint, b bigint, same boolean"))
-
-    tested = confirmed(found.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")))
-    if tested.where("not same").isEmpty():
-        return _named(prints, distinct, found, blocks)
-    parts = cut(components(tested.where("same")))
-    more = confirmed(_labelled(edges, parts).join(tested, ["a", "b"], "left_anti"))
-    tested = tested.unionByName(more)
-    if not more.where("same").isEmpty():
-        parts = cut(components(tested.where("same")))
-    label = found.join(parts.withColumnRenamed("component", "label"), "id", "left").select("id", "component", F.coalesce("label", "id").alias("label"))
-    split = label.groupBy("component").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where("low < high and size > 2").select("component")
-    left = label.join(split, "component", "left_semi").select("id", "label")
-    left = cut(distinct.join(left, distinct.rep == left.id).drop("id"))
-    pairs = _met(left, left.count(), blocks, segments, 0, distance, per_part, labelled=True).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    more = confirmed(pairs.distinct().join(tested, ["a", "b"], "left_anti"))
-    if not more.where("same").isEmpty():
-        parts = components(tested.unionByName(more).where("same"))
-    return _named(prints, distinct, parts, blocks)
+    prints = stored(fingerprints(docs, k, blocks, id_col, text_col, split_ties=True))
+    names = [f"f{i}" for i in range(blocks)]
+    # what stands for a fingerprint: a number of its own, as ids may repeat; of which row its text is taken
+    rep = F.xxhash64(*names).alias("rep")
+    distinct = cut(prints.groupBy(*names).agg(F.min(F.struct("id", "copy")).alias("row")).select(rep, "row", *names))
+    edges = cut(_met(distinct, distinct.count(), blocks, segments, 0, distance, per_part))
+    found = cut(_rows_of(components(edges), distinct))
+    parts = components(_confirmed(docs, found, k, similarity, id_col, text_col))
+    return _named(prints, distinct.drop("row"), parts, blocks)
+
+
+def _rows_of(parts: DataFrame, distinct: DataFrame) -> DataFrame:
+    """(component, rep, id, copy) of the fingerprints in components (id, component)."""
+    return parts.select(F.col("id").alias("rep"), "component").join(distinct.select("rep", "row.id", "row.copy"), "rep").select("component", "rep", "id", "copy")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents without those that have a near copy with a smaller id linked to them."""
-    found = near_duplicates(docs, id_col, text_col, **options)
-    gone = cut(found.where("id <> component").select(F.col("id").alias("_gone")).distinct())
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    """One document of each component: that of the smallest id (nulls last), of these the smallest text hash.
+
+    Decisions are by id and text, so rows that share an id are judged each;
+    of repeated rows one stays.
+    """
+    found = stored(near_duplicates(docs, id_col, text_col, **options).select("id", "copy", "component"))
+    rank = F.struct(F.col("id").isNull().alias("last"), "id", "copy")
+    first = found.groupBy("component").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1")
+    judged = found.join(first.drop("n"), "component").select("id", "copy", (rank == F.col("first")).alias("stays"))
+    keys = judged.groupBy("id", "copy").agg(F.bool_or("stays").alias("stays"), F.count("*").alias("n")).where("not stays or n > 1")
+    keys = cut(keys.select(F.col("id").alias("_id"), F.col("copy").alias("_copy"), F.col("stays").alias("_stays")))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("bigint").alias("id"), _copy(F.col(text_col)).alias("copy"))
+    ours = F.col("id").eqNullSafe(F.col("_id")) & (F.col("copy") == F.col("_copy"))
+    rest = rows.join(keys, ours, "left_anti").select("row.*")
+    again = keys.where("_stays")
+    if again.isEmpty():
+        return rest
+    return rest.unionByName(rows.join(again, ours).dropDuplicates(["_id", "_copy"]).select("row.*"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

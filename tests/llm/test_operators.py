@@ -167,18 +167,83 @@ def test_simhash_dense_group_and_null_ids(spark):
     assert len(found) == 401
 
 
+def test_simhash_splits_hot_keys(spark, monkeypatch):
+    rng = random.Random(6)
+    prints = {rng.getrandbits(32) for _ in range(300)} | {rng.getrandbits(64) for _ in range(50)}
+    prints |= {p ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for p in prints}
+    signed = [p - (1 << 64) if p >> 63 else p for p in sorted(prints)]
+    df = spark.createDataFrame(list(enumerate(signed)), "id long, f0 long")
+    monkeypatch.setattr(simhash, "PER_KEY", 40)
+    segments = simhash.even_segments(64, 2)
+    hot, many = simhash._hot_keys(df.withColumnRenamed("id", "rep"), segments, 1, 1)
+    assert many.max() > 4 and (np.diff(hot.astype(float)) >= 0).all()
+    got = {r.id: r.component for r in simhash.linked(df, 1, segments, 1, 3).collect()}
+    prints = sorted(prints)
+    assert got == brute_components(range(len(prints)), [(a, b) for a in range(len(prints)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 3])
+
+
+def test_fingerprints_of_few_shingles_are_far_apart():
+    rng = random.Random(1)
+    prints = [simhash.fingerprint(" ".join(rng.choices(string.ascii_lowercase, k=6)), 5, 4, split_ties=True) for _ in range(200)]
+    apart = [sum((x ^ y).bit_count() if (x ^ y) >= 0 else 64 - (~(x ^ y)).bit_count() for x, y in zip(a, b, strict=True)) for i, a in enumerate(prints) for b in prints[:i]]
+    assert 120 < np.mean(apart) < 136
+
+
 @pytest.mark.parametrize("n", [1_000, 200_000, 12_000_000, 400_000_000])
 def test_simhash_candidates_at_any_size(n):
     rng = np.random.default_rng(n)
-    segments = simhash.segments_for(n, 128, 32, 0.8)
-    apart = rng.random((2000, 128)) < np.arccos(1.6 / 1.8) / np.pi
+    segments = simhash.segments_for(n, 256, 54, 0.8)
+    apart = rng.random((2000, 256)) < np.arccos(1.6 / 1.8) / np.pi
     met = np.zeros(len(apart), bool)
     for bits in segments:
         met |= ~apart[:, bits].any(axis=1)
-    assert (met & (apart.sum(axis=1) <= 32)).mean() > 0.98
+    assert (met & (apart.sum(axis=1) <= 54)).mean() > 0.98
     assert n >> len(segments[0]) <= 512
 
 
+@pytest.mark.parametrize("first", [None, 70])
+def test_similar_pairs_match_brute_force(first):
+    rng = np.random.default_rng(4)
+    base = [np.unique(rng.integers(0, 5000, 80)) for _ in range(6)]
+    sets = [np.unique(np.concatenate((rng.permutation(base[i % 6])[rng.integers(0, 20) :], rng.integers(5000, 90000, rng.integers(0, 12))))).astype(np.uint64) for i in range(180)] + [np.zeros(0, np.uint64)] * 2
+    want = {(i, j) for j in range(len(sets)) for i in range(j) if (first is None or i < first <= j) and len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))}
+    assert {*zip(*(x.tolist() for x in simhash.similar_pairs(sets, 0.8, first)), strict=True)} == want and len(want) > 50
+
+
+def test_near_duplicates_in_blocks(spark, monkeypatch):
+    rng = random.Random(2)
+    words = ["".join(rng.choices(string.ascii_lowercase, k=6)) for _ in range(204)]
+    data = []
+    for i in range(120):
+        w = list(words)
+        for at in rng.sample(range(200), i % 4):
+            w[at] += str(i)
+        data.append((i, " ".join(w)))
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    whole = {r.doc_id for r in simhash.drop_near_duplicates(df).collect()}
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(simhash, "PER_KEY", 10)
+    assert {r.doc_id for r in simhash.drop_near_duplicates(df).collect()} == whole == {0}
+
+
+def test_near_duplicates_with_repeated_ids_and_rows(spark):
+    rng = random.Random(12)
+    texts_ = [" ".join("".join(rng.choices(string.ascii_lowercase, k=6)) for _ in range(60)) for _ in range(6)]
+    long = " ".join("".join(rng.choices(string.ascii_lowercase, k=5)) for _ in range(60_000))
+    data = [
+        (1, texts_[0], "a"), (1, texts_[1], "b"), (2, texts_[0], "c"), (2, texts_[2], "d"),  # rows of one id are judged each
+        (3, texts_[3], "e"), (3, texts_[3], "e"), (3, texts_[3], "f"),  # repeated rows: one stays
+        (None, texts_[4], "g"), (None, texts_[4] + " tail", "h"), (None, texts_[5], "i"), (9, texts_[5], "j"),
+        (20, None, "k"), (21, "", "l"), (30, long, "m"), (31, long + " z", "n"),
+    ]
+    df = spark.createDataFrame(data, "doc_id long, text string, _copy string").selectExpr("*", "1 as id", "2 as rep", "3 as component")
+    out = simhash.drop_near_duplicates(df)
+    assert out.columns == df.columns
+    kept = sorted(r._copy for r in out.collect())
+    assert len(kept) == 8 and {"a", "b", "d", "j", "k", "m"} <= set(kept)
+    assert len({"e", "f"} & set(kept)) == 1 and len({"g", "h"} & set(kept)) == 1
+
+
 def test_near_duplicates_by_exact_jaccard(spark):
     rng, rows, want, other = random.Random(5), [], set(), set()
     for i in range(600):
