@@ -4,22 +4,25 @@ A document is its tokens and an end token. Only documents longer than a
 sequence are cut; all their pieces but the first are full sequences. What is
 left to pack is known by its length, so the search works on the histogram of
 lengths (as many entries as a sequence has tokens, at any corpus size): it
-takes the largest piece left, lists the undominated fillings of the room
+takes the largest piece left, enumerates the undominated fillings of the room
 beside it, largest sum first, and applies the chosen filling as often as the
-counts allow. Branches whose waste exceeds what a better solution may waste
-are pruned. The incumbent at the start is the best-fit decreasing solution.
+counts allow, then less often. Branches whose waste exceeds what a better
+solution may waste are pruned. The incumbent at the start is the best-fit
+decreasing solution. Nothing but the number of nodes ends the search early.
 
 Pieces of a length are numbered in buckets by a hash, so a length that a third
 of the documents has is numbered by many tasks; the plan says for each number
 which sequence and offset it gets.
 
-Null and empty texts are documents of the end token alone. Repeated rows are
-packed each. An empty table gives no rows. Further columns don't matter.
+Null and empty texts are documents of the end token alone. Texts of any length
+are encoded whole. Repeated rows are packed each. An empty table gives no rows.
+Further columns don't matter.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -34,7 +37,7 @@ from runloom.llm.common import parts_for, spread, stored
 LENGTH = 1024
 END = 2
 #: Nodes that the search may open before it returns the best solution so far.
-NODES = 20_000
+NODES = 2_000
 
 _encoders: dict[str, object] = {}
 
@@ -44,11 +47,13 @@ def encoder(path: str):
 
     A byte-level BPE whose ids follow the order of its merges is run by
     tiktoken with the same ranks, which gives the same ids several times
-    faster; any other file by tokenizers itself. Strings of special tokens are
-    ordinary text.
+    faster; any other file by tokenizers itself, and so are texts that hold an
+    added token's string or a long run without a change between white space
+    and other characters, which tiktoken can't take.
     """
     if path not in _encoders:
-        _encoders[path] = _ranked(path) or _plain(path)
+        fast, plain = _ranked(path), _plain(path)
+        _encoders[path] = (lambda text: (plain if fast[1].search(text) else fast[0])(text)) if fast else plain
     return _encoders[path]
 
 
@@ -56,11 +61,14 @@ def _plain(path: str):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
 
 
+LONG_RUN = 1000
+
+
 def _ranked(path: str):
+    """The fast encoder and a pattern of what it must not be given; None if the file isn't of that kind."""
     import tiktoken
 
     with open(path, encoding="utf-8") as f:
@@ -78,7 +86,8 @@ def _ranked(path: str):
     if order != sorted(order) or len(ranks) != len(merged) + 256:
         return None
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # fixed value: the pattern of byte-level pre-tokenizers
-    return tiktoken.Encoding("ranked", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    other = "|".join([rf"\s{{{LONG_RUN}}}", rf"\S{{{LONG_RUN}}}", *(re.escape(t["content"]) for t in spec.get("added_tokens", []))])
+    return tiktoken.Encoding("ranked", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary, re.compile(other)
 
 
 def default_tokenizer() -> str:
@@ -155,143 +164,182 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int) -> list[tuple[Pat
     return [(p, n) for patterns in rooms.values() for p, n in patterns.items()]
 
 
-def _bits(present: np.ndarray) -> int:
-    return int.from_bytes(np.packbits(present, bitorder="little").tobytes(), "little")
-
-
-def fillings(counts: np.ndarray, room: int, most: int = 8) -> list[tuple[int, ...]]:
-    """Undominated fillings of a room by up to three pieces, largest sum first.
+class Fillings:
+    """Undominated fillings of a room by pieces, as often as `left` has them: largest sum first, then fewest and largest pieces.
 
-    A filling is dominated if another one holds, for each of its pieces or
-    groups of pieces, a single piece at least as large. So one piece that fits
-    exactly dominates all; pairs need a sum over the best single piece, triples
-    one over the best pair. The lengths there are form a bit set, and those
-    that complete a sum are the set met with its mirror image, shifted.
+    A filling is dominated if some pieces of it could be exchanged for one
+    larger piece that is left over, or for one of their sum, and it would still
+    fit; also if a piece that is left over fits beside it. A dominated filling
+    comes after what dominates it, so leaving it out loses no best solution.
     """
-    sizes = _bits(counts[: room + 1] > 0)
-    if not sizes:
-        return [()]
-    mirror = _bits(counts[room::-1] > 0)  # bit room - s for length s
-    single = sizes.bit_length() - 1
-    out: list[tuple[int, ...]] = [(single,)]
-    for total in range(room, single, -1):
-        left = sizes & (mirror >> (room - total))  # s with total - s there too
-        while left and len(out) <= most:
-            a = left.bit_length() - 1
-            b = total - a
-            if b > a or b == 0:
-                break
-            if a != b or counts[a] > 1:
-                out.append((a, b))
-            left ^= 1 << a
-        if len(out) > most:
-            break
-    best = max(map(sum, out))
-    if best < room:
-        three = _triple(counts, sizes, mirror, room, best)
-        if three:
-            out.append(three)
-    return sorted(out, key=lambda f: (-sum(f), len(f), tuple(-x for x in f)))[:most]
-
-
-def _triple(counts: np.ndarray, sizes: int, mirror: int, room: int, best: int) -> tuple[int, ...] | None:
-    """The triple of largest sum over best, of these the one with the largest pieces."""
-    for total in range(room, best, -1):
-        rest = sizes
-        while rest:
-            a = rest.bit_length() - 1
+
+    def __init__(self, left: list[int]):
+        self.left = left
+        self.sizes = sum(1 << s for s, n in enumerate(left) if n)
+        self.width = len(left)
+        self.mirror = sum(1 << self.width - s for s, n in enumerate(left) if n)
+        self.made: dict[int, list[int]] = {}
+
+    def take(self, size: int, n: int) -> None:
+        self.left[size] -= n
+        if (self.left[size] > 0) != (self.sizes >> size & 1):
+            self.sizes ^= 1 << size
+            self.mirror ^= 1 << self.width - size
+
+    def largest(self) -> int:
+        return self.sizes.bit_length() - 1
+
+    def _sums(self, k: int) -> int:
+        """Bit set of the sums of k pieces of the lengths there are."""
+        known = self.made.setdefault(self.sizes, [1])
+        while len(known) <= k:
+            rest, new, mask = self.sizes, 0, (1 << self.width) - 1
+            while rest:
+                low = rest & -rest
+                new |= known[-1] << (low.bit_length() - 1)
+                rest ^= low
+            known.append(new & mask)
+        if len(self.made) > 64:
+            self.made = {self.sizes: known}
+        return known[k]
+
+    def _some(self, total: int, k: int) -> bool:
+        """Whether k pieces of the lengths there are have this sum."""
+        if k == 2:  # lengths s with total - s there too
+            return self.sizes & (self.mirror >> (self.width - total)) != 0
+        return (self.sizes if k == 1 else self._sums(k)) >> total & 1 == 1
+
+    def _of(self, total: int, k: int, top: int, after: tuple[int, ...] = ()) -> Iterator[tuple[int, ...]]:
+        """All fillings of k pieces of at most top with this sum that come after the given one, largest pieces first."""
+        left = self.left
+        if k == 1:
+            if total <= top and left[total] and (not after or total < after[0]):
+                yield (total,)
+            return
+        rest = self.sizes & ((2 << min(top, total - k + 1, *after[:1])) - 1)
+        least = -(-total // k)
+        while (a := rest.bit_length() - 1) >= least and a > 0:
             rest ^= 1 << a
-            if 3 * a < total:
-                break
-            pairs = sizes & (mirror >> (room - total + a)) & ((2 << a) - 1) if total > a else 0
-            while pairs:
-                b = pairs.bit_length() - 1
-                c = total - a - b
-                if c > b or c == 0:
+            if left[a] and self._some(total - a, k - 1):
+                left[a] -= 1
+                for more in self._of(total - a, k - 1, a, after[1:] if after and a == after[0] else ()):
+                    left[a] += 1
+                    yield (a, *more)
+                    left[a] -= 1
+                left[a] += 1
+
+    def _dominated(self, filling: tuple[int, ...], spare: int) -> bool:
+        over = self.sizes
+        for x in set(filling):
+            if self.left[x] == filling.count(x):
+                over &= ~(1 << x)
+        if not over:
+            return False
+        if over & ((2 << spare) - 2):
+            return True
+        sums = {(0, 0)}  # (how many of up to two pieces, their sum); of three or more, likewise
+        for x in filling[:12]:
+            sums |= {(min(2, n + 1), t + x) for n, t in sums}
+        return any(n and over >> (t + (n < 2)) & ((1 << (spare + (n > 1))) - 1) for n, t in sums)
+
+    def within(self, room: int, least: int, after: tuple[int, ...] | None = None) -> Iterator[tuple[int, ...]]:
+        """Fillings of sum least or more that come after the given one."""
+        top = room if after is None else sum(after)
+        if room - least >= room and (after is None or after) and not self.sizes & ((2 << room) - 2):
+            yield ()
+            return
+        for total in range(top, max(0, least - 1), -1):
+            for k in range(1, total + 1):
+                if k > 1 and not self.sizes or k * ((self.sizes & -self.sizes).bit_length() - 1) > total:
                     break
-                if counts[a] >= 1 + (a == b) + (a == c) and counts[b] >= 1 + (b == c):
-                    return a, b, c
-                pairs ^= 1 << b
-    return None
-
-
-def completions(left: np.ndarray, size: int, room: int) -> list[tuple[int, ...]]:
-    """Fillings beside a piece of this size: the largest pieces first while more than three of them fit, then fillings()."""
-    base: list[int] = [size]
-    left[size] -= 1
-    while len(there := np.flatnonzero(left[: room + 1])) and room > 3 * there[-1]:
-        base.append(int(there[-1]))
-        left[base[-1]] -= 1
-        room -= base[-1]
-    found = [(*base[1:], *f) for f in fillings(left, room)]
-    for x in base:
-        left[x] += 1
-    return found
+                if after is not None and total == top and k < len(after) or k != 3 and not self._some(total, k):
+                    continue
+                same = after is not None and total == top and k == len(after)
+                for filling in self._of(total, k, total, after if same else ()):
+                    if not self._dominated(filling, room - total):
+                        yield filling
 
 
 @dataclass
 class _Step:
     size: int
-    options: list[tuple[int, ...]]
+    options: Iterator[tuple[int, ...]]
     taken: tuple[int, ...] = ()
     times: int = 0
-    waste: int = 0
+    spare: int = 0  # room left in each
 
 
-def bin_completion(counts: dict[int, int], capacity: int, nodes: int = NODES) -> list[tuple[Pattern, int]]:
-    """Patterns and how many sequences have each; as few sequences as the search finds."""
+def bin_completion(counts: dict[int, int], capacity: int, nodes: int | None = NODES) -> list[tuple[Pattern, int]]:
+    """Patterns and how many sequences have each; as few sequences as the search finds, the fewest there can be with nodes=None.
+
+    The fillings beside pieces of one length are taken in falling order, each
+    as often as the counts allow at first, then less often.
+    """
     total = sum(s * n for s, n in counts.items())
     bound = -(-total // capacity)
     best = best_fit_decreasing(counts, capacity)
     fewest = sum(n for _, n in best)
-    left = np.zeros(capacity + 1, np.int64)
+    left = [0] * (capacity + 1)
     for s, n in counts.items():
         left[s] = n
+    there = Fillings(left)
     stack: list[_Step] = []
     opened = waste = used = 0
-    while fewest > bound and opened < nodes:
-        sizes = np.flatnonzero(left)
-        allowed = (fewest - 1) * capacity - total
-        if len(sizes) and waste <= allowed:
-            stack.append(_Step(size := int(sizes[-1]), completions(left, size, capacity - size)))
-        elif not len(sizes) and used < fewest:
+
+    def apply(step: _Step, sign: int) -> None:
+        nonlocal waste, used
+        for x in (step.size, *step.taken):
+            there.take(x, sign * step.times)
+        used += sign * step.times
+        waste += sign * step.times * step.spare
+
+    while fewest > bound and (nodes is None or opened < nodes):
+        allowed = (fewest - 1) * capacity - total - waste
+        if there.sizes and allowed >= 0:
+            size = there.largest()
+            after = stack[-1].taken if stack and stack[-1].size == size else None
+            stack.append(_Step(size, _beside(there, size, capacity - size, capacity - size - allowed, after)))
+        elif not there.sizes and used < fewest:
             best, fewest = [(_pattern(s.size, s.taken), s.times) for s in stack], used
             continue
-        # next option of the deepest step that has one
-        while stack:
+        while stack:  # the next option of the deepest step that has one
             step = stack[-1]
-            if step.times:
-                for x in (step.size, *step.taken):
-                    left[x] += step.times
-                used -= step.times
-                waste -= step.waste
-                step.times = 0
-            while step.options:
-                step.taken = step.options.pop(0)
-                need: dict[int, int] = {}
-                for x in (step.size, *step.taken):
-                    need[x] = need.get(x, 0) + 1
-                times = min(int(left[x]) // k for x, k in need.items())
-                step.waste = times * (capacity - step.size - sum(step.taken))
-                if times and waste + step.waste <= (fewest - 1) * capacity - total:
-                    step.times = times
-                    break
-                if times > 1 and not step.waste // times > (fewest - 1) * capacity - total - waste:
-                    step.times, step.waste = 1, step.waste // times
-                    break
             opened += 1
             if step.times:
-                for x in (step.size, *step.taken):
-                    left[x] -= step.times
-                used += step.times
-                waste += step.waste
+                apply(step, -1)
+                step.times -= 1
+            allowed = (fewest - 1) * capacity - total - waste
+            if not step.times:
+                found = next(step.options, None)
+                if found is None:
+                    stack.pop()
+                    continue
+                step.taken, step.spare = found, capacity - step.size - sum(found)
+                step.times = min(left[x] // k for x, k in _pattern(step.size, found))
+                if step.spare:
+                    step.times = min(step.times, max(0, allowed) // step.spare)
+            if step.times and step.times * step.spare <= allowed:
+                apply(step, 1)
                 break
-            stack.pop()
+            step.times = 0
         if not stack:
             break
     return best
 
 
+def _beside(there: Fillings, size: int, room: int, least: int, after: tuple[int, ...] | None) -> Iterator[tuple[int, ...]]:
+    """Fillings beside one piece of this length, which is out while the next one is looked for."""
+    there.take(size, 1)
+    found = there.within(room, least, after)
+    while True:
+        filling = next(found, None)
+        there.take(size, -1)
+        if filling is None:
+            return
+        yield filling
+        there.take(size, 1)
+
+
 def _pattern(size: int, taken: tuple[int, ...]) -> Pattern:
     need: dict[int, int] = {}
     for x in (size, *taken):
@@ -322,7 +370,7 @@ class Plan:
         return self.base[i] + nth // self.each[i], self.offset[i] + nth % self.each[i] * size
 
 
-def pack(pieces: DataFrame, capacity: int = LENGTH, nodes: int = NODES) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = LENGTH, nodes: int | None = NODES) -> DataFrame:
     """The rows of pieces (id, piece, length, ...) with sequence_id and offset. Reads pieces twice: pass a stored frame."""
     spark = pieces.sparkSession
     counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
@@ -347,7 +395,7 @@ def pack(pieces: DataFrame, capacity: int = LENGTH, nodes: int = NODES) -> DataF
     return numbered.mapInArrow(rows, f"{schema}, sequence_id bigint, offset bigint")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, nodes: int = NODES) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, nodes: int | None = NODES) -> DataFrame:
     """id_col, piece, start, length, ids_crc32, sequence_id, offset[, ids] of every piece."""
     pieces = stored(token_pieces(docs, tokenizer or default_tokenizer(), length, END, id_col, text_col, with_ids))
     return pack(pieces, length, nodes).withColumnsRenamed({"id": id_col, "crc32": "ids_crc32"})

@@ -378,13 +378,16 @@ def test_packing_roundtrip(spark, docs):
     assert n <= -(-total // 1024) + 1
 
 
-def test_ranked_encoder_gives_the_tokenizers_ids():
+def test_encoder_gives_the_tokenizers_ids():
+    from tokenizers import Tokenizer
+
     path = packing.default_tokenizer()
     assert packing._ranked(path)
-    fast, plain = packing.encoder(path), packing._plain(path)
+    fast, plain = packing.encoder(path), Tokenizer.from_file(path)
     rng = random.Random(2)
-    for t in [*filter(None, texts()), "<|endoftext|> it's we'll\u00a0x \t\n\n 12345 ☃☃ e\u0301", "".join(chr(rng.randrange(1, 0x3000)) for _ in range(3000)), "a" * 5000]:
-        assert fast(t) == plain(t)
+    odd = ["hello <|endoftext|> world", "it's we'll\u00a0x \t\n\n 12345 ☃☃ e\u0301", "".join(chr(rng.randrange(1, 0x3000)) for _ in range(3000)), "a" * 50_000, " " * 300_000, "\n " * 200_000, " " * 999 + "b" * 999 + "\t" * 999, "x y " * 50_000]
+    for t in [*filter(None, texts()), *odd]:
+        assert fast(t) == plain.encode(t, add_special_tokens=False).ids
 
 
 def fewest(sizes, capacity):
@@ -421,6 +424,41 @@ def test_bin_completion_against_exhaustive_search(seed):
     assert sum(n for _, n in packing.bin_completion(dict(counts), 100)) == fewest(sizes, 100)
 
 
+def test_bin_completion_is_exact_without_a_limit():
+    assert sum(n for _, n in packing.bin_completion({27: 1, 26: 1, 22: 1, 20: 1, 19: 1, 18: 1, 16: 2, 12: 1, 11: 1, 10: 1}, 100, None)) == 2
+    assert sum(n for _, n in packing.bin_completion({924: 50, 904: 50, 40: 150, 25: 200}, 1024)) == 100
+    for seed in range(1500):
+        rng = random.Random(seed)
+        low, high = rng.choice([(10, 30), (5, 60), (10, 90), (1, 40)])
+        sizes = sorted((rng.randint(low, high) for _ in range(rng.randint(6, 11))), reverse=True)
+        solution = packing.bin_completion(dict(collections.Counter(sizes)), 100, None)
+        used = collections.Counter()
+        for pattern, times in solution:
+            assert sum(s * k for s, k in pattern) <= 100
+            used.update({s: k * times for s, k in pattern})
+        assert used == collections.Counter(sizes)
+        assert sum(n for _, n in solution) == fewest(sizes, 100), sizes
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_fillings_against_all_subsets(seed):
+    rng = random.Random(seed)
+    left, room = [0] * 41, rng.randint(5, 40)
+    for _ in range(9):
+        left[rng.randint(1, 20)] += 1
+    pieces = [s for s, n in enumerate(left) for _ in range(n)]
+    every = {tuple(sorted((x for i, x in enumerate(pieces) if mask >> i & 1), reverse=True)) for mask in range(1 << 9)}
+    fit = sorted((f for f in every if sum(f) <= room), key=lambda f: (-sum(f), len(f), tuple(-x for x in f)))
+    got = list(packing.Fillings(left).within(room, 0))
+    assert got == [f for f in fit if f in set(got)] and got[:1] == fit[:1]
+
+    def replaced(f):  # by one larger piece, or by one of the sum of several
+        over = collections.Counter(pieces) - collections.Counter(f)
+        return any(sum(f) - sum(t) + c <= room and (c > sum(t) or len(t) > 1 and c == sum(t)) for m in range(1 << len(f)) for t in [[x for i, x in enumerate(f) if m >> i & 1]] for c in over)
+
+    assert got == [f for f in fit if not replaced(f)]
+
+
 def test_packing_empty(nothing):
     assert packing.pack_documents(nothing).count() == 0
 
