@@ -466,29 +466,70 @@ def test_packing_empty(nothing):
 # ---- 5
 
 
+def brute_units(data):
+    """Per row of (id, text): (text, n_removed), units found by splitting alone."""
+    every = collections.defaultdict(set)
+    found = []
+    for i, t in data:
+        units, at = [], 0
+        for line in (t or "").split("\n"):
+            end = min(at + len(line) + 1, len(t or ""))
+            parts = re.split(r"(?<=[.!?]) ", line)
+            cuts = [at]
+            for part in parts:
+                cuts.append(min(cuts[-1] + len(part) + 1, end))
+            plain = [b" ".join(part.encode().lower().split()) for part in parts]
+            if any(plain):
+                units.append((at, end, b" ".join(line.encode().lower().split())))
+            if sum(map(bool, plain)) > 1:
+                units += [(b, e, u) for b, e, u in zip(cuts, cuts[1:], plain, strict=False) if len(u) >= 40]
+            at = end
+        found.append(units)
+        if i is not None:
+            for b, _, u in units:
+                every[u].add((i, t, b))
+    first = {u: min(places, key=lambda p: (p[0], hash_of(p[1]), p[2])) for u, places in every.items()}
+    out = []
+    for (i, t), units in zip(data, found, strict=True):
+        gone = [(b, e) for b, e, u in units if i is not None and first[u] != (i, t, b)]
+        wide = [c for c in set(gone) if not any(c != d and d[0] <= c[0] and c[1] <= d[1] for d in gone)]
+        cover = {p for b, e in wide for p in range(b, e)}
+        out.append((None if t is None else "".join(c for p, c in enumerate(t) if p not in cover), len(wide)))
+    return out
+
+
+def hash_of(text):
+    h = xxhash.xxh64_intdigest(text.encode(), 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
 def test_substring_dedup_matches_brute_force(docs):
-    seen, want = set(), {}
-    for i, t in enumerate(texts()):
-        if t is None:
-            want[i] = (None, 0)
-            continue
-        kept, gone = [], 0
-        for beg, end in substring_dedup.split_units(t):
-            words = t[beg:end].encode().lower().split()
-            if len(words) >= 6 and tuple(words) in seen:
-                gone += 1
-            else:
-                kept.append(t[beg:end])
-            if len(words) >= 6:
-                seen.add(tuple(words))
-        want[i] = ("".join(kept), gone)
+    extra = texts()
+    want = brute_units(list(enumerate(extra)))
     got = rows(substring_dedup.dedup_substrings(docs), "doc_id")
-    assert {i: (r.text, r.n_removed) for i, r in got.items()} == want
-    for i, t in enumerate(texts()):
+    assert [(got[i].text, got[i].n_removed) for i in range(len(extra))] == want
+    assert sum(n for _, n in want) > 50
+    for i, t in enumerate(extra):
         spans = [tuple(map(int, s.split(":"))) for s in got[i].removed_spans.split(",") if s]
         assert sum(e - b for b, e in spans) == got[i].removed_chars == len(t or "") - len(got[i].text or "")
 
 
+def test_substring_dedup_of_repeated_ids_and_rows_long_lines_and_other_scripts(spark):
+    rng = random.Random(4)
+    chinese = "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(60))
+    long = " ".join(sentence(rng, 9) for _ in range(20_000))  # one line of over a million characters
+    data = [
+        (1, "One two three four five six seven. tail one two three four five six.\n"), (2, "One two three four five six seven. tail one two three four five six.\n"),
+        (2, "Completely other words that must all stay where they are now.\nAll rights reserved."), (2, "Completely other words that must all stay where they are now.\nAll rights reserved."),
+        (3, "All rights reserved.\n\n \nx"), (None, "All rights reserved."), (None, None), (4, chinese), (5, f"{chinese}\nnew"), (6, ". ! ? . \n. ! ? . \n"), (7, "\r\n\x0b\u2028a\u0085b\n"), (8, long), (9, long[: len(long) // 2] + " end"),
+    ]
+    df = spark.createDataFrame([(*d, "x", 7, 8) for d in data], "doc_id long, text string, id string, copy int, beg int")
+    got = substring_dedup.dedup_substrings(df).collect()
+    assert sorted(map(str, ((r.doc_id, r.text, r.n_removed) for r in got))) == sorted(map(str, ((d[0], *w) for d, w in zip(data, brute_units(data), strict=True))))
+    by_text = {r.text for r in got if r.doc_id == 2}
+    assert by_text == {"", "Completely other words that must all stay where they are now.\nAll rights reserved."}
+
+
 def test_substring_dedup_empty(nothing):
     assert substring_dedup.dedup_substrings(nothing).count() == 0
 
