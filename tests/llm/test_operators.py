@@ -633,12 +633,55 @@ def test_embedding_links_and_recall(spark):
     assert [got[n + j].kept for j in range(10)] == [True] * 7 + [False, True, False]
 
 
+def brute_links(data, threshold=0.93):
+    """n_links and component of every row of (id, vector, label)."""
+    x = np.array([d[1] for d in data], np.float64)
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    label = np.array([d[2] for d in data])
+    links, pairs = np.zeros(len(data), np.int64), []
+    for i in range(0, len(data), 1000):
+        near = (x[i : i + 1000] @ x.T >= threshold) & (label[i : i + 1000, None] == label[None, :])
+        links[i : i + 1000] = near.sum(axis=1) - 1
+        first = near.argmax(axis=1)
+        pairs += [(i + r, int(f)) for r, f in enumerate(first)]
+        p, q = np.nonzero(near[:, ::37])
+        pairs += list(zip((p + i).tolist(), (37 * q).tolist(), strict=True))
+    return links, pairs
+
+
 def test_embedding_windows_cross_blocks(spark):
     rng = np.random.default_rng(1)
     base = rng.standard_normal(8)
     df = spark.createDataFrame([(i, [float(x) for x in base + 0.01 * rng.standard_normal(8)], 1) for i in range(90)], "vec_id long, embedding array<double>, label int")
     got = embedding_dedup.dedup_embeddings(df, block=16, reach=8, passes=3).collect()
     assert {r.component_id for r in got} == {0} and all(r.n_links >= 8 for r in got)
+    whole = embedding_dedup.dedup_embeddings(df, block=16, reach=8, passes=3, dense=8).collect()
+    assert {(r.component_id, r.n_links) for r in whole} == {(0, 89)}
+
+
+def test_embedding_repeated_rows_and_ids(spark):
+    v, near, far = [1.0, 0.0, 0.0], [1.0, 0.01, 0.0], [0.0, 0.0, 1.0]
+    data = [(1, v, 1, "a"), (1, v, 1, "b"), (2, near, 1, "c"), (2, far, 1, "d"), (3, far, 2, "e"), (None, far, 1, "f")]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>, label int, entry string").selectExpr("*", "1 as rank", "2 as id")
+    got = sorted(map(str, (tuple(r) for r in embedding_dedup.dedup_embeddings(df).collect())))
+    assert got == sorted(map(str, [(1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (2, 1, 2, True), (3, 0, 3, True), (None, 1, 2, None)]))
+
+
+def test_embedding_recall_on_a_large_label_with_dense_groups(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.standard_normal((3, 32))
+    vectors = [rng.standard_normal((11_000, 32))]
+    vectors += [c + 0.12 * rng.standard_normal((n, 32)) for c, n in zip(centres, (7000, 1500, 500), strict=True)]
+    vectors = rng.permutation(np.concatenate(vectors)).astype(np.float32)
+    data = [(i, v.tolist(), 5) for i, v in enumerate(vectors)]
+    got = rows(embedding_dedup.dedup_embeddings(spark.createDataFrame(data, "vec_id long, embedding array<float>, label int")), "vec_id")
+    links, pairs = brute_links(data)
+    found = np.array([got[i].n_links for i in range(len(data))])
+    assert links.max() > 6144 and (found <= links).all()
+    assert found.sum() >= 0.97 * links.sum()
+    assert (found >= 0.9 * links).mean() > 0.97
+    parts = brute_components(range(len(data)), pairs)
+    assert np.mean([got[i].component_id == parts[i] for i in range(len(data))]) > 0.98
 
 
 def test_embedding_empty(spark):
