@@ -2,9 +2,11 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import string
+import time
 import zlib
 
 import numpy as np
@@ -754,16 +756,116 @@ def test_secret_patterns_match_brute_force(spark):
         assert set(filter(None, base.split(","))) <= set(got[i].spans.split(","))
 
 
+def brute_battery(token):
+    """(combined deviate, number of symbols, whether randomness stands) of a token; None without an encoding."""
+    bare = token.rstrip("=")
+    digit, lower, upper = (bool(re.search(c, token)) for c in ("[0-9]", "[a-z]", "[A-Z]"))
+    mixed = digit and (lower or upper)
+    if mixed and re.fullmatch("[0-9a-f]+|[0-9A-F]+", token):
+        code, body = "hex", bare.lower()
+    elif mixed and re.fullmatch("[A-Z2-7]+=*", token):
+        code, body = "base32", bare
+    elif mixed and re.fullmatch("[0-9a-z]+|[0-9A-Z]+", token):
+        code, body = "base36", bare.lower()
+    elif re.fullmatch("[A-Za-z0-9+/_-]+={0,2}", token) and (mixed or lower and upper):
+        code, body = "base64", bare.replace("-", "+").replace("_", "/")
+    else:
+        return None
+    if len(body) < 20:
+        return None
+    alphabet = secret_scan.ENCODINGS[code]
+    x = [alphabet.index(c) for c in body]
+    n, k, mean = len(x), len(alphabet), sum(x) / len(x)
+    chi2 = sum((x.count(v) - n / k) ** 2 for v in range(k)) * k / n
+    spread = 2 / 9 / (k - 1)
+    chi = ((max(chi2, 0) / (k - 1)) ** (1 / 3) - 1 + spread) / spread**0.5
+    high = [v >= k / 2 for v in x]
+    n1 = sum(high)
+    if 0 < n1 < n:
+        mu = 2 * n1 * (n - n1) / n + 1
+        runs = (1 + sum(p != q for p, q in zip(high, high[1:], strict=False)) - mu) / max((mu - 1) * (mu - 2) / (n - 1), 1e-9) ** 0.5
+    else:
+        runs = 99
+    size = sum((v - mean) ** 2 for v in x)
+    serial = (sum((p - mean) * (q - mean) for p, q in zip(x, x[1:], strict=False)) / size + 1 / n) * n**0.5 if size else 99
+    kind = lambda c: 0 if c in string.digits else 1 if c in string.ascii_lowercase else 2 if c in string.ascii_uppercase else 3
+    share = collections.Counter(map(kind, alphabet))
+    p = 1 - sum((m / k) ** 2 for m in share.values())
+    classes = (sum(kind(c) != kind(d) for c, d in zip(body, body[1:], strict=False)) - (n - 1) * p) / ((n - 1) * p * (1 - p)) ** 0.5
+    found = (chi, runs, serial, classes)
+    weights = secret_scan.discriminants()[code, max(m for m in secret_scan.NODES if m <= n)]
+    combined = sum(w * min(max(v, -12), 12) for w, v in zip(weights, found, strict=False)) + weights[4]
+    one, two = secret_scan._deviate(secret_scan.ALPHA / 4), secret_scan._deviate(secret_scan.ALPHA / 8)
+    return combined, n, chi <= one and all(abs(v) <= two for v in found[1:])
+
+
+def brute_random_spans(texts_):
+    """Random spans of each text: every token's deviate, then Benjamini-Hochberg by class of lengths."""
+    tokens = [[(m.start(), m.end(), brute_battery(m.group())) for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", t or "")] for t in texts_]
+    floors = {}
+    for c, low in enumerate(secret_scan.LENGTHS):
+        high = [*secret_scan.LENGTHS, 10**9][c + 1]
+        z = sorted((np.floor(b[0] / 0.05) for found in tokens for _, _, b in found if b and low <= b[1] < high), reverse=True)
+        for i, v in enumerate(z):
+            if i + 1 == len(z) or z[i + 1] < v:
+                if math.erfc(v * 0.05 / 2**0.5) / 2 * len(z) / (i + 1) <= 0.01:
+                    floors[c] = v
+    out = []
+    for t, found in zip(texts_, tokens, strict=True):
+        known = [(b, e) for b, _, e in brute_secrets(t)]
+        length_class = lambda n: sum(n >= x for x in secret_scan.LENGTHS) - 1
+        out.append([(b, e) for b, e, v in found if v and v[2] and np.floor(v[0] / 0.05) >= floors.get(length_class(v[1]), 1e9) and not any(x <= b and e <= y for x, y in known)])
+    return out
+
+
+PLAIN = ["this-is-a-long-slug-with-words-2023", "someCamelCaseIdentifierName", "A_CONSTANT_WITH_UNDERSCORES_1", "aaaaaaaaaaaaaaaaaaaa1", "abababab1212121212ababab", "GetElementByIdFromDocumentRoot", "12345678901234567890123456", "internationalizationalization", "deadbeefdeadbeef00000001", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "org/apache/commons/lang3/StringUtils", "version2release10candidate3build"]
+
+
 def test_randomness_battery(spark):
     rng = random.Random(1)
-    symbols = string.ascii_letters + string.digits
-    keys = ["".join(rng.choice(symbols) for _ in range(n)) for n in (24, 32, 40, 64) for _ in range(40)]
-    plain = ["this-is-a-long-slug-with-words-2023", "someCamelCaseIdentifierName", "A_CONSTANT_WITH_UNDERSCORES_1", "aaaaaaaaaaaaaaaaaaaa1", "abababab1212121212ababab", "GetElementByIdFromDocumentRoot", "12345678901234567890123456", "internationalizationalization"]
-    df = spark.createDataFrame([(i, f"so {t} it") for i, t in enumerate([*keys, *plain])], "doc_id long, text string")
+    keys = ["".join(rng.choice(secret_scan.ENCODINGS[code]) for _ in range(n)) for code in ("base64", "base36", "base32", "hex") for n in (24, 40, 64) for _ in range(40)]
+    keys = [k.upper() if i >= 360 else k for i, k in enumerate(keys)]  # lower-case hex is a fixed pattern
+    odd = ["", None, "token=" + keys[0], f"{keys[1]}{keys[2]} x {PLAIN[0]}={keys[3]}", "AKIA" + keys[4], "é☃ " + keys[5] + "\n" + keys[6].replace("+", "-").replace("/", "_") + "=="]
+    data = [*(f"so {t} it" for t in (*keys, *PLAIN)), *odd]
+    got = rows(secret_scan.scan_secrets(spark.createDataFrame(list(enumerate(data)), "doc_id long, text string")), "doc_id")
+    want = brute_random_spans(data)
+    for i in range(len(data)):
+        assert [f"random:{b}:{e}" for b, e in want[i]] == [s for s in got[i].spans.split(",") if s.startswith("random")], data[i]
+    found = np.array([got[i].n_random for i in range(len(keys))]).reshape(4, 3, 40).mean(axis=2)
+    assert (found[0] > 0.9).all() and (found[3] > 0.9).all() and (found[:, 2] > 0.9).all() and (found[:, 1] > 0.75).all() and (found > 0.4).all()
+    assert [got[len(keys) + j].n_random for j in range(len(PLAIN))] == [0] * len(PLAIN)
+
+
+def test_secrets_of_long_texts(spark):
+    rng = random.Random(2)
+    many = "".join(f"token=abcdefg{i:07d} " for i in range(20_000))
+    key = "".join(rng.choice(secret_scan._B64) for _ in range(40))
+    data = [(1, many), (2, "x" * 2_000_000), (3, ("word " * 100_000) + key), (4, "AKIA" + "A" * 500_000)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    began = time.time()
     got = rows(secret_scan.scan_secrets(df), "doc_id")
-    assert np.mean([got[i].n_random for i in range(len(keys))]) > 0.9
-    assert [got[len(keys) + j].n_random for j in range(len(plain))] == [0] * len(plain)
-    assert got[0].spans == f"random:3:{3 + len(keys[0])}"
+    out = rows(secret_scan.redact_secrets(df), "doc_id")
+    assert time.time() - began < 90
+    assert (got[1].n_assign, got[2].spans, got[4].n_access) == (20_000, "", 1)
+    assert got[1].spans == ",".join(f"assign:{21 * i}:{21 * i + 20}" for i in range(20_000))
+    assert out[1].text == "[secret] " * 20_000 and out[2].text == data[1][1] and out[4].text == "[secret]"
+
+
+@pytest.mark.parametrize("step", [2, 128])
+def test_redaction_of_overlapping_spans(spark, monkeypatch, step):
+    monkeypatch.setattr(secret_scan, "STEP", step)
+    rng = random.Random(3)
+    text = "".join(rng.choice("ab☃😀 ") for _ in range(200))
+    spans = [sorted(rng.sample(range(201), 2)) for _ in range(9)]
+    for some in (spans[:1], spans[:4], spans, [[0, 200]], [[0, 5], [5, 9], [9, 12], [40, 41], [199, 200]]):
+        want, at = "", 0
+        for b, e in sorted(some):
+            if b >= at:
+                want += text[at:b] + "[secret]"
+            at = max(at, e)
+        df = spark.createDataFrame([(text, sorted(some))], "t string, s array<array<int>>")
+        s = secret_scan.F.transform("s", lambda x: secret_scan.F.struct(x[0].alias("b"), x[1].alias("e")))
+        assert df.select(secret_scan._marked(df.t, s, "[secret]")).first()[0] == want + text[at:], some
 
 
 def test_redaction(spark):
