@@ -8,16 +8,12 @@ import math
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; one of our own only where none is set."""
     found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
@@ -59,6 +55,37 @@ def ascii_lower(column) -> F.Column:
     return F.translate(column, UPPER, LOWER)
 
 
+def let(value: Column, f) -> Column:
+    """f(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), lambda x: f(x)), 1)
+
+
+#: Items of an array that walked() takes at once.
+STEP = 128
+
+
+def walked(items: Column, start: Column, step, emit, kind: str) -> Column:
+    """emit(state, item) of each item, an array of `kind`, where step(state, item) makes the next state.
+
+    An array that grows by one item is copied each time, so the walk is in
+    blocks: the states at their beginnings first, then each block by itself.
+    """
+    empty = F.array().cast(f"array<{kind}>")
+    block = lambda i: F.slice(items, i * STEP + 1, F.lit(STEP))
+    blocks = F.sequence(F.lit(0), F.floor(F.greatest(F.size(items) - 1, F.lit(0)) / STEP).cast("int"))
+    begun = F.aggregate(
+        blocks,
+        F.struct(start.alias("state"), F.filter(F.array(start), lambda s: F.lit(False)).alias("all")),
+        lambda acc, i: F.struct(F.aggregate(block(i), acc["state"], step).alias("state"), F.concat(acc["all"], F.array(acc["state"])).alias("all")),
+        lambda acc: acc["all"],
+    )
+
+    def within(state: Column, i: Column) -> Column:
+        return F.aggregate(block(i), F.struct(state.alias("state"), empty.alias("all")), lambda acc, x: F.struct(step(acc["state"], x).alias("state"), F.concat(acc["all"], F.array(emit(acc["state"], x))).alias("all")), lambda acc: acc["all"])
+
+    return F.flatten(F.transform(begun, within))
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of edges (a, b): rows (id, component), component the smallest id.
 

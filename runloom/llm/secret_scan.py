@@ -38,7 +38,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from runloom.llm import common
+from runloom.llm.common import let as _let
 from runloom.llm.common import stored
+from runloom.llm.common import walked as _walked
 
 #: The patterns.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -64,31 +67,6 @@ HEX_WORDS = "dead beef cafe babe face feed fade deaf added facade decade bead ac
 _SPANS = "array<struct<b:int,e:int>>"
 
 
-STEP = 128
-
-
-def _walked(items: Column, start: Column, step, emit, kind: str) -> Column:
-    """emit(state, item) of each item, an array of `kind`, where step(state, item) makes the next state.
-
-    An array that grows by one item is copied each time, so the walk is in
-    blocks: the states at their beginnings first, then each block by itself.
-    """
-    empty = F.array().cast(f"array<{kind}>")
-    block = lambda i: F.slice(items, i * STEP + 1, F.lit(STEP))
-    blocks = F.sequence(F.lit(0), F.floor(F.greatest(F.size(items) - 1, F.lit(0)) / STEP).cast("int"))
-    begun = F.aggregate(
-        blocks,
-        F.struct(start.alias("state"), F.filter(F.array(start), lambda s: F.lit(False)).alias("all")),
-        lambda acc, i: F.struct(F.aggregate(block(i), acc["state"], step).alias("state"), F.concat(acc["all"], F.array(acc["state"])).alias("all")),
-        lambda acc: acc["all"],
-    )
-
-    def within(state: Column, i: Column) -> Column:
-        return F.aggregate(block(i), F.struct(state.alias("state"), empty.alias("all")), lambda acc, x: F.struct(step(acc["state"], x).alias("state"), F.concat(acc["all"], F.array(emit(acc["state"], x))).alias("all")), lambda acc: acc["all"])
-
-    return F.flatten(F.transform(begun, within))
-
-
 def _spans(text: Column, pattern: str, keep=None, group: int = 0) -> Column:
     """Code-point spans of leftmost non-overlapping matches; keep judges a match by its group."""
     gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
@@ -141,11 +119,6 @@ def encoding(token: Column) -> Column:
     )
 
 
-def _let(value: Column, f) -> Column:
-    """f(value), with value computed once."""
-    return F.element_at(F.transform(F.array(value), lambda x: f(x)), 1)
-
-
 def _pairs(v: Column) -> Column:
     return F.zip_with(F.slice(v, F.lit(1), F.size(v) - 1), F.slice(v, F.lit(2), F.size(v) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
 
@@ -389,8 +362,8 @@ def _marked(text: Column, spans: Column, mark: str) -> Column:
     A place in a text is found by reading up to it, so the text before and
     between spans is cut out of the stretch that a block of spans covers.
     """
-    block = lambda i: F.slice(spans, i * STEP + 1, F.lit(STEP))
-    blocks = F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / STEP).cast("int"))
+    block = lambda i: F.slice(spans, i * common.STEP + 1, F.lit(common.STEP))
+    blocks = F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / common.STEP).cast("int"))
     reach = lambda items, at: F.aggregate(items, at, lambda r, s: F.greatest(r, s["e"]))
     begun = F.aggregate(blocks, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")), lambda acc, i: F.struct(reach(block(i), acc["at"]).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all")), lambda acc: acc["all"])
 

@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import types as T
 
-from runloom.llm import decontam, embedding_dedup, language_id, license_scan, packing, secret_scan, simhash, substring_dedup, suffix_dedup, url_filter
+from runloom.llm import common, decontam, embedding_dedup, language_id, license_scan, packing, secret_scan, simhash, substring_dedup, suffix_dedup, url_filter
 
 DOCS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("id", T.StringType()), T.StructField("key", T.StringType())])
 WORDS = [a + b for a in ("ka", "lo", "mi", "ter", "sun", "dra") for b in ("na", "vel", "is", "tor", "um")]
@@ -719,6 +719,118 @@ def test_licences(spark):
     assert all(re.search(license_scan.CUES, t) for ts in license_scan.TEMPLATES.values() for t in ts)
 
 
+#: Public licence notices as files carry them.
+NOTICES = {
+    "mit": """MIT License
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.""",
+    "bsd": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED.""",
+    "isc": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.""",
+    "gpl": """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.""",
+    "lgpl": """ * under the terms of the GNU Lesser General Public License as published
+ * by the Free Software Foundation; either version 2.1 of the License""",
+    "apache": """// Unless required by applicable law or agreed to in writing, software
+// distributed under the License is distributed on an "AS IS" BASIS,
+// WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.""",
+}
+#: Written by hand, not from the templates: (text, families).
+INDEPENDENT = [
+    ("SPDX-License-Identifier: MIT", "mit"), ("// SPDX-License-Identifier: Apache-2.0", "apache"), ("# SPDX-License-Identifier: GPL-2.0-or-later", "gpl"), ("SPDX-License-Identifier: BSD-3-Clause", "bsd"), ("SPDX-License-Identifier: MPL-2.0", "mpl"),
+    ("This project is distributed under the MIT license, see the file LICENSE.", "mit"), ("The code is available under the MIT License.", "mit"), ("Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.", "bsd"),
+    ("This library is released under the BSD license (3 clauses).", "bsd"), ("It is distributed under the GNU General Public License, version 2.", "gpl"), ("The tools are licensed under the Apache License, Version 2.0 (the \"License\").", "apache"), ("You may not use this file except in compliance with the License.", "apache"),
+    ("Except where noted, content on this site is licensed under a Creative Commons Attribution 4.0 International License.", "cc-by"), ("This text is licensed under the Creative Commons Attribution-ShareAlike 4.0 International license.", "cc-by-sa"), ("The data are licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "cc-by-nc"),
+    ("This is free and unencumbered software released into the public domain.", "cc0"), ("Dedicated to the public domain under the CC0 license by its authors.", "cc0"), ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "mpl"), ("Released under the ISC license.", "isc"), ("Licensed under the GNU Affero General Public License version 3.", "agpl"),
+    ("SPDX-License-Identifier: Zlib", ""), ("My driving license was released to me on Monday.", ""), ("The MIT press published a history of free software.", ""), ("Nobody may park here without the permission of the owner.", ""), ("The Apache trail runs through the state of Arizona.", ""), ("A public license to broadcast is granted by the general assembly.", ""),
+    ("The copyright of the photograph belongs to the museum.", ""), ("GNU tools were part of the course at the foundation.", ""), ("We redistributed the seats after the vote.", ""), ("The warranty of the machine ended in March.", ""), ("Creative people in the commons room asked for attribution.", ""), ("Source and binary stars are common in the sky, with or without planets.", ""),
+    ("The software license costs two hundred a year.", ""), ("Which of the licenses MIT, BSD and GPL is the most popular?", ""), ("The terms of the contract and the conditions of use were published by the firm.", ""), ("The mozilla of the old days was a lizard.", ""),
+]
+
+
+def brute_licences(text):
+    """(families, spans) of a text by loops over characters and words."""
+    model, text = license_scan.train(), text or ""
+
+    def units(t):
+        at = 0
+        for piece in re.split("\n", re.sub(r"([.!?]) ", "\\1\n", t)):
+            yield at, at + len(piece), piece
+            at += len(piece) + 1
+
+    def family(unit):
+        words = license_scan.words_of(unit)
+        if not re.search(license_scan.CUES, unit):
+            return None
+        found = license_scan.grams(words)
+        z = sum((model.weights[license_scan.slot(g)] for g in found), np.zeros(len(model.families))) / max(1, len(found)) ** 0.5 + model.weights[license_scan.DIMS]
+        p = license_scan._softmax(z[None] / model.temperature)[0]
+        name = model.families[p.argmax()]
+        fits = any(len(set(these) & set(words)) >= least for t in license_scan.TEMPLATES.get(name, ()) for these, least in [license_scan.wanted(t)])
+        return name if name != license_scan.UNKNOWN and p.max() >= model.threshold and fits else None
+
+    wide = re.sub(license_scan.WRAPPED, " ", text)
+    lines = [(b, e, f) for b, e, u in units(text) if (f := family(u))]
+    over = [(b, e, f) for b, e, u in units(wide) if text[b:e] != u and not any(b <= x and y <= e for x, y, _ in lines) and (f := family(u))]
+    found = sorted(lines + over)
+    return len(found), ",".join(sorted({f for _, _, f in found})), ",".join(f"{f}:{b}:{e}" for b, e, f in found)
+
+
+def test_licence_notices_over_lines_and_brute_force(spark):
+    rng = random.Random(5)
+    data = [f"{sentence(rng, 8)}\n\n{notice}\n\n{sentence(rng, 9)} ç" for notice in NOTICES.values()]
+    data += [t for t, _ in INDEPENDENT] + ["\n".join(t for t, _ in INDEPENDENT), "\n\n".join(NOTICES.values()), None, "", "\n", " \n\n \n", "license", "the license\n" * 300, NOTICES["gpl"].replace("\n", "\r\n"), "Released under the\nMIT License\n\nReleased under the\n\nMIT License."]
+    df = spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(data)], "doc_id long, text string, units string, t string")
+    got = rows(license_scan.scan_licences(df), "doc_id")
+    for i, t in enumerate(data):
+        assert tuple(got[i])[1:] == brute_licences(t), t
+    for i, name in enumerate(NOTICES):
+        assert got[i].families == name
+        spans = [tuple(map(int, s.split(":")[1:])) for s in got[i].spans.split(",")]
+        assert all(data[i][b:e].count("\n") or name in ("bsd", "mit") for b, e in spans)
+
+
+def test_licence_precision_and_recall_on_independent_sentences(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(INDEPENDENT)], "doc_id long, text string")
+    got = rows(license_scan.scan_licences(df), "doc_id")
+    named = [(got[i].families, want) for i, (_, want) in enumerate(INDEPENDENT)]
+    right = sum(a == b != "" for a, b in named)
+    assert right / sum(b != "" for _, b in named) >= 0.9
+    assert right / sum(a != "" for a, _ in named) >= 0.95
+
+
+def test_licences_of_long_texts_repeated_rows_and_empty_tables(spark, nothing):
+    rng = random.Random(6)
+    long = "\n".join(f"{sentence(rng, 8)} Released under the MIT License." for _ in range(5000)) + "word " * 200_000
+    df = spark.createDataFrame([(1, long), (2, "Released under the ISC license."), (2, "Released under the ISC license."), (None, None)], "doc_id long, text string")
+    began = time.time()
+    got = license_scan.scan_licences(df).collect()
+    assert time.time() - began < 60
+    assert sorted((r.doc_id or 0, r.n_licences) for r in got) == [(0, 0), (1, 5000), (2, 1), (2, 1)]
+    assert license_scan.scan_licences(nothing).count() == 0
+
+
 def test_licence_weights_on_the_driver_and_in_spark_agree(spark):
     model = license_scan.train()
     probes = ["released under the mit license", "he has a license", "licensed under the apache license version 2.0"]
@@ -853,7 +965,7 @@ def test_secrets_of_long_texts(spark):
 
 @pytest.mark.parametrize("step", [2, 128])
 def test_redaction_of_overlapping_spans(spark, monkeypatch, step):
-    monkeypatch.setattr(secret_scan, "STEP", step)
+    monkeypatch.setattr(common, "STEP", step)
     rng = random.Random(3)
     text = "".join(rng.choice("ab☃😀 ") for _ in range(200))
     spans = [sorted(rng.sample(range(201), 2)) for _ in range(9)]
