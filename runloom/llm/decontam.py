@@ -5,20 +5,27 @@ numbers (0 for words outside the benchmark and between documents), and the
 suffixes that start with words a test window could start with are sorted by
 their first `window` words. Every test suffix is then searched in that array
 by bisection; equal ranges are its verbatim occurrences, and runs of them on
-one diagonal its longest matches. The shard's array holds no suffix that no
-window can match, and all others, so nothing is lost.
+one diagonal are the longest matches. What a document is charged with (hit
+words, items, whether it stays) comes from its longest matches. The shard's
+array holds no suffix that no window can match, and all others, so nothing is
+lost.
+
+The test side goes to the tasks in parts of bounded size, one broadcast each;
+a task takes its documents through all of them, holding one part at a time, so
+the documents are scanned once and give one row each at any benchmark size.
 
 Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` of the text with A-Z lower-cased. A test
 item of fewer words than the window is one window itself; one without words
-matches nothing. Null texts have no words. Repeated rows are judged each; with
-a benchmark too large for one pass, rows that share an id count as one
-document. Further columns don't matter.
+matches nothing; one without id hits words but isn't listed. Null texts have
+no words. Repeated rows, and rows that share an id, are judged each; texts of
+any length are read whole; an empty benchmark hits nothing and an empty table
+gives no rows. Further columns don't matter.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,10 +36,12 @@ from pyspark.sql import functions as F
 from runloom.llm.common import spread
 
 WINDOW = 10
-SHARD_WORDS = 2_000_000
-#: The most benchmark text that goes to every task at once; beyond it the documents are scanned once for each part.
-PASS_BYTES = 32 << 20
+SHARD_WORDS = 1_000_000
+#: Bytes of benchmark text in a part; an item that is longer is a part by itself.
+PART_BYTES = 4 << 20
 SLOT_BITS = 22
+#: Pairs of a place in a shard and one in a part that are laid on diagonals at once.
+PAIRS = 2_000_000
 
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -43,37 +52,34 @@ def words_of(text: str | None) -> list[bytes]:
 
 @dataclass
 class TestSide:
-    """Test windows as sorted keys, and the items of each."""
+    """A part of the benchmark: its words as numbers, and the starts of its windows in the order of their words."""
 
     vocabulary: dict[bytes, int]
     window: int
     lead: int  # words that every window has
     slots: np.ndarray  # which hashes of `lead` words start a window
-    keys: list[tuple[int, np.ndarray]]  # by window length: sorted distinct windows
-    items: list[list[list[int]]]  # of each window
-    places: list[list[list[tuple[int, int]]]]  # of each window: (item, word)
+    items: list[int | None]
+    begs: np.ndarray  # first word of each item in ids
+    ids: np.ndarray  # all items, a 0 after each
+    starts: list[tuple[int, np.ndarray, np.ndarray]]  # by window length: starts in order, first of each distinct window
 
     @staticmethod
-    def of(items: list[tuple[int, str | None]], window: int) -> TestSide:
+    def of(items: Sequence[tuple[int | None, str | None]], window: int) -> TestSide:
         vocabulary: dict[bytes, int] = {}
-        texts = [(i, [vocabulary.setdefault(w, len(vocabulary) + 1) for w in words_of(t)]) for i, t in items]
-        found: dict[int, dict[bytes, list[tuple[int, int]]]] = {}
-        for item, ids in texts:
-            n = min(window, len(ids))
-            for at in range(len(ids) - n + 1 if n else 0):
-                key = np.array(ids[at : at + n], ">u4").tobytes()
-                found.setdefault(n, {}).setdefault(key, []).append((item, at))
-        lead = min([4, *found])
-        slots = np.zeros(1 << SLOT_BITS, bool)
-        keys, of_items, places = [], [], []
-        for n, windows in sorted(found.items()):
-            ordered = sorted(windows)
-            matrix = np.frombuffer(b"".join(ordered), ">u4").reshape(-1, n)
-            slots[_slot(matrix[:, :lead].T.astype(np.uint64))] = True
-            keys.append((n, matrix))
-            places.append([windows[k] for k in ordered])
-            of_items.append([sorted({i for i, _ in windows[k]}) for k in ordered])
-        return TestSide(vocabulary, window, lead, slots, keys, of_items, places)
+        texts = [np.array([*(vocabulary.setdefault(w, len(vocabulary) + 1) for w in words_of(t)), 0], np.uint32) for _, t in items]
+        sizes = np.array([len(t) - 1 for t in texts], np.int64)
+        begs = np.cumsum(np.concatenate(([0], sizes + 1)))
+        ids = np.concatenate([*texts, np.zeros(window, np.uint32)])
+        lead, slots, starts = min([4, *sizes[sizes > 0].tolist()]), np.zeros(1 << SLOT_BITS, bool), []
+        for n in sorted(set(np.minimum(sizes[sizes > 0], window).tolist())):
+            own = np.flatnonzero(np.minimum(sizes, window) == n)
+            at = np.concatenate([np.arange(begs[i], begs[i] + sizes[i] - n + 1) for i in own])
+            slots[_slot(ids[at[:, None] + np.arange(lead)].T.astype(np.uint64))] = True
+            keys = _as_keys(ids[at[:, None] + np.arange(n)], n, 0)
+            order = np.argsort(keys, kind="stable")
+            firsts = np.flatnonzero(np.concatenate(([True], keys[order][1:] != keys[order][:-1])))
+            starts.append((n, at[order], firsts))
+        return TestSide(vocabulary, window, lead, slots, [i for i, _ in items], begs, ids, starts)
 
 
 def _slot(columns: np.ndarray) -> np.ndarray:
@@ -111,151 +117,195 @@ class SuffixArray:
         return left, right
 
 
-def shard_matches(ids: np.ndarray, test: TestSide) -> Iterator[tuple[int, int, int, np.ndarray]]:
-    """(window length, index of its group, index of the window, word positions) for every window that occurs."""
-    array = SuffixArray(ids, test)
-    for g, (n, windows) in enumerate(test.keys):
-        left, right = array.ranges(windows, test.window)
-        for w in np.flatnonzero(right > left):
-            yield n, g, int(w), array.starts[left[w] : right[w]]
+def _spread_out(count: np.ndarray) -> np.ndarray:
+    """0, 1, ... within each of so many."""
+    return np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
 
 
-def _shards(texts: list[str | None], vocabulary: dict[bytes, int]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
-    """(rows, first word of each, numbers) with a 0 after each document."""
-    rows, begs, parts, at = [], [], [], 0
-    get = vocabulary.get
+def _occurrences(ids: np.ndarray, test: TestSide) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(window length, places in the shard, places in the part) of windows that occur, at most about PAIRS at a time."""
+    array = SuffixArray(ids, test)
+    for n, starts, firsts in test.starts:
+        ends = np.append(firsts[1:], len(starts))
+        for at in range(0, len(firsts), 1 << 17):
+            own = slice(at, at + (1 << 17))
+            left, right = array.ranges(test.ids[starts[firsts[own]][:, None] + np.arange(n)], test.window)
+            hit = np.flatnonzero(right > left)
+            here, there = right[hit] - left[hit], ends[own][hit] - firsts[own][hit]
+            for beg, end in _chunks(here * there, PAIRS):
+                i = hit[beg:end]
+                a, b = here[beg:end], there[beg:end]
+                nth = _spread_out(a * b)
+                many = np.repeat(b, a * b)
+                p = array.starts[np.repeat(left[i], a * b) + nth // many]
+                q = starts[np.repeat(firsts[own][i], a * b) + nth % many]
+                yield n, p, q
+
+
+def _chunks(cost: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges whose cost is at most `most`, or single ones."""
+    beg, total = 0, 0
+    for i, c in enumerate(cost.tolist()):
+        if total and total + c > most:
+            yield beg, i
+            beg, total = i, 0
+        total += c
+    if total:
+        yield beg, len(cost)
+
+
+def longest_matches(ids: np.ndarray, test: TestSide) -> np.ndarray:
+    """(place in the shard, place in the part, words) of every longest match: runs of occurrences on one diagonal."""
+    runs = np.zeros((0, 3), np.int64)
+    for n, p, q in _occurrences(ids, test):
+        runs = _merged(np.concatenate((runs, np.stack((p, q, np.full(len(p), n)), axis=1))))
+    return runs
+
+
+def _merged(runs: np.ndarray) -> np.ndarray:
+    """Runs on one diagonal that overlap or touch by a word, as one."""
+    runs = runs[np.lexsort((runs[:, 0], runs[:, 0] - runs[:, 1]))]
+    lag, end = runs[:, 0] - runs[:, 1], runs[:, 0] + runs[:, 2]
+    group = np.cumsum(np.concatenate(([0], lag[1:] != lag[:-1])))
+    span = int(end.max(initial=0)) + 2
+    reach = np.maximum.accumulate(end + group * span)
+    first = np.concatenate(([True], (runs[1:, 0] + group[1:] * span) >= reach[:-1]))[: len(runs)]
+    begs = np.flatnonzero(first)
+    last = np.append(begs[1:], len(runs)) - 1
+    return np.stack((runs[begs, 0], runs[begs, 1], reach[last] - group[last] * span - runs[begs, 0]), axis=1)
+
+
+def _shards(texts: Sequence[str | None]) -> Iterator[tuple[list[int], list[list[bytes]]]]:
+    """(rows, their words) of about SHARD_WORDS words."""
+    rows, held, size = [], [], 0
     for i, text in enumerate(texts):
-        words = words_of(text)
         rows.append(i)
-        begs.append(at)
-        parts.append(np.fromiter((get(w, 0) for w in words), np.uint32, len(words)))
-        parts.append(np.zeros(1, np.uint32))
-        at += len(words) + 1
-        if at >= SHARD_WORDS:
-            yield rows, np.array([*begs, at]), np.concatenate(parts)
-            rows, begs, parts, at = [], [], [], 0
+        held.append(words_of(text))
+        size += len(held[-1]) + 1
+        if size >= SHARD_WORDS:
+            yield rows, held
+            rows, held, size = [], [], 0
     if rows:
-        yield rows, np.array([*begs, at]), np.concatenate(parts)
-
-
-def scan(texts: list[str | None], test: TestSide) -> tuple[list[int], list[np.ndarray], list[set[int]]]:
-    """For each text: number of words, positions of hit words, items with windows that occur."""
-    n_words, hits, items = [0] * len(texts), [np.zeros(0, np.int64)] * len(texts), [set() for _ in texts]
-    for rows, begs, ids in _shards(texts, test.vocabulary):
-        cover = np.zeros(len(ids) + 1, np.int64)
-        for n, g, w, at in shard_matches(ids, test):
-            np.add.at(cover, at, 1)
-            np.add.at(cover, at + n, -1)
-            for d in np.unique(np.searchsorted(begs, at, "right") - 1):
-                items[rows[d]].update(test.items[g][w])
+        yield rows, held
+
+
+def _numbers(words: list[list[bytes]], vocabulary: dict[bytes, int]) -> np.ndarray:
+    """All words as numbers, a 0 after each document."""
+    get, n = vocabulary.get, sum(map(len, words)) + len(words)
+    return np.fromiter((x for w in words for x in (*(get(v, 0) for v in w), 0)), np.uint32, n)
+
+
+def _parts(tests: Sequence) -> Iterator[TestSide]:
+    """The parts one after the other; of several only one is held."""
+    for test in tests:
+        yield test.value
+        if len(tests) > 1:
+            test.__dict__.pop("_value", None)  # a worker would keep it
+
+
+def matched(texts: Sequence[str | None], tests: Sequence) -> Iterator[tuple[list[int], np.ndarray, list[tuple[list[int | None], np.ndarray, np.ndarray]]]]:
+    """(rows, first word of each, [(items, words in them, longest matches)]) of every shard."""
+    for rows, words in _shards(texts):
+        begs = np.cumsum([0, *(len(w) + 1 for w in words)])
+        found = []
+        for test in _parts(tests):
+            runs = longest_matches(_numbers(words, test.vocabulary), test)
+            if len(runs):
+                item = np.searchsorted(test.begs, runs[:, 1], "right") - 1
+                found.append(([test.items[i] for i in item.tolist()], runs[:, 1] - test.begs[item], runs))
+        yield rows, begs, found
+
+
+def scan(texts: Sequence[str | None], tests: Sequence) -> tuple[list[int], list[np.ndarray], list[set[int]], list[int]]:
+    """For each text: number of words, positions of hit words, items that occur, words of its longest match."""
+    n_words, hits, items, longest = [0] * len(texts), [np.zeros(0, np.int64)] * len(texts), [set() for _ in texts], [0] * len(texts)
+    for rows, begs, found in matched(texts, tests):
+        cover = np.zeros(int(begs[-1]) + 1, np.int64)
+        for names, _, runs in found:
+            np.add.at(cover, runs[:, 0], 1)
+            np.add.at(cover, runs[:, 0] + runs[:, 2], -1)
+            for d, item, n in {*zip((np.searchsorted(begs, runs[:, 0], "right") - 1).tolist(), names, runs[:, 2].tolist(), strict=True)}:
+                longest[rows[d]] = max(longest[rows[d]], n)
+                if item is not None:
+                    items[rows[d]].add(item)
         hit = np.flatnonzero(np.cumsum(cover) > 0)
         cuts = np.searchsorted(hit, begs)
         for d, row in enumerate(rows):
             n_words[row] = int(begs[d + 1] - begs[d] - 1)
             hits[row] = hit[cuts[d] : cuts[d + 1]] - begs[d]
-    return n_words, hits, items
-
-
-def _passes(benchmark: DataFrame, item_col: str, text_col: str, pass_bytes: int) -> list[DataFrame]:
-    items = benchmark.select(F.col(item_col).cast("bigint").alias("item"), F.col(text_col).alias("t")).where("t is not null and item is not null")
-    size = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("n")).first().n
-    n = -(-size // pass_bytes) or 1
-    return [items.where(F.pmod(F.xxhash64("item"), F.lit(n)) == i) for i in range(n)] if n > 1 else [items]
-
-
-def _test_side(spark: SparkSession, items: DataFrame, window: int):
-    return spark.sparkContext.broadcast(TestSide.of([(r.item, r.t) for r in items.toLocalIterator()], window))
+    return n_words, hits, items, longest
+
+
+def _broadcast(benchmark: DataFrame, item_col: str, text_col: str, window: int, part_bytes: int) -> list:
+    """The test side in parts, each built by itself."""
+    sc, out, held, size = benchmark.sparkSession.sparkContext, [], [], 0
+    rows = benchmark.select(F.col(item_col).cast("bigint").alias("item"), F.col(text_col).alias("t")).where("t is not null")
+    for r in rows.toLocalIterator():
+        held.append((r.item, r.t))
+        size += len(r.t.encode())
+        if size >= part_bytes:
+            out.append(sc.broadcast(TestSide.of(held, window)))
+            held, size = [], 0
+    if held:
+        out.append(sc.broadcast(TestSide.of(held, window)))
+    return out
 
 
-def annotated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", window: int = WINDOW, pass_bytes: int = PASS_BYTES) -> list[DataFrame]:
-    """For each part of the benchmark: (row struct, n_words, hits, items); one part unless it is larger than pass_bytes."""
-    schema = "n_words bigint, hits array<bigint>, items array<bigint>"
-    out = []
-    for part in _passes(benchmark, item_col, "text", pass_bytes):
-        test = _test_side(docs.sparkSession, part, window)
+def annotated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", window: int = WINDOW, part_bytes: int = PART_BYTES) -> DataFrame:
+    """(row struct, n_words, hits, items, longest) of every row."""
+    tests = _broadcast(benchmark, item_col, "text", window, part_bytes)
 
-        def rows(batches: Iterator[pa.RecordBatch], test=test) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for at in range(0, batch.num_rows, 2000):
-                    piece = batch.slice(at, 2000)
-                    n_words, hits, items = scan(piece.column(1).to_pylist(), test.value)
-                    yield pa.record_batch(
-                        [piece.column(0), pa.array(n_words, pa.int64()), pa.array([h.tolist() for h in hits], pa.list_(pa.int64())), pa.array([sorted(i) for i in items], pa.list_(pa.int64()))],
-                        names=["row", "n_words", "hits", "items"],
-                    )
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                piece = batch.slice(at, 2000)
+                n_words, hits, items, longest = scan(piece.column(1).to_pylist(), tests)
+                columns = [pa.array(n_words, pa.int64()), pa.array([h.tolist() for h in hits], pa.list_(pa.int64())), pa.array([sorted(i) for i in items], pa.list_(pa.int64())), pa.array(longest, pa.int64())]
+                yield pa.record_batch([piece.column(0), *columns], names=["row", "n_words", "hits", "items", "longest"])
 
-        source = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("t"))
-        out.append(spread(source).mapInArrow(rows, f"row {source.schema['row'].dataType.simpleString()}, {schema}"))
-    return out
+    source = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("t"))
+    return spread(source).mapInArrow(rows, f"row {source.schema['row'].dataType.simpleString()}, n_words bigint, hits array<bigint>, items array<bigint>, longest bigint")
 
 
 def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """id_col, n_words, n_hit, n_items, items_sha256, contaminated."""
-    slim = docs.select(F.col(id_col), F.col(text_col))
-    parts = [p.select(F.col(f"row.{id_col}").alias(id_col), "n_words", "hits", "items") for p in annotated(slim, benchmark, text_col, **options)]
-    found = parts[0]
-    if len(parts) > 1:
-        for p in parts[1:]:
-            found = found.unionByName(p)
-        found = found.groupBy(id_col).agg(F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"), F.flatten(F.collect_list("items")).alias("items"))
+    """id_col, n_words, n_hit, n_items, items_sha256, contaminated, longest (words of the longest match)."""
+    found = annotated(docs.select(F.col(id_col), F.col(text_col)), benchmark, text_col, **options)
     names = F.array_sort(F.transform("items", lambda i: i.cast("string")))
     return found.select(
-        id_col,
+        F.col(f"row.{id_col}").alias(id_col),
         "n_words",
         F.size("hits").cast("bigint").alias("n_hit"),
         F.size("items").cast("bigint").alias("n_items"),
         F.sha2(F.array_join(names, ","), 256).alias("items_sha256"),
         (F.size("hits") > 0).alias("contaminated"),
+        "longest",
     )
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = WINDOW, pass_bytes: int = PASS_BYTES) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = WINDOW, part_bytes: int = PART_BYTES) -> DataFrame:
     """Longest verbatim matches and their places: (id, item, doc_word, item_word, n_words)."""
-    out = None
-    for part in _passes(benchmark, item_col, "text", pass_bytes):
-        test = _test_side(docs.sparkSession, part, window)
-
-        def rows(batches: Iterator[pa.RecordBatch], test=test) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                ids, found = batch.column(0).to_pylist(), []
-                for shard_rows, begs, numbers in _shards(batch.column(1).to_pylist(), test.value.vocabulary):
-                    runs: dict[tuple[int, int, int], list[tuple[int, int]]] = {}
-                    for n, g, w, at in shard_matches(numbers, test.value):
-                        docs_at = np.searchsorted(begs, at, "right") - 1
-                        for d, p in zip(docs_at.tolist(), (at - begs[docs_at]).tolist(), strict=True):
-                            for item, q in test.value.places[g][w]:
-                                runs.setdefault((d, item, p - q), []).append((p, n))
-                    for (d, item, lag), spans in runs.items():
-                        beg = end = None
-                        for p, n in [*sorted(spans), (None, None)]:
-                            if beg is not None and (p is None or p > end - n + 1):
-                                found.append((ids[shard_rows[d]], item, beg, beg - lag, end - beg))
-                                beg = None
-                            if p is not None:
-                                beg, end = (p if beg is None else beg), p + n
-                names = ["id", "item", "doc_word", "item_word", "n_words"]
-                yield pa.record_batch([pa.array([f[i] for f in found], pa.int64()) for i in range(5)], names=names)
-
-        texts = docs.select(F.col(id_col).cast("bigint"), F.col(text_col))
-        found = spread(texts).mapInArrow(rows, "id bigint, item bigint, doc_word bigint, item_word bigint, n_words bigint")
-        out = found if out is None else out.unionByName(found)
-    return out
+    tests = _broadcast(benchmark, item_col, "text", window, part_bytes)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_pylist()
+            for own, begs, found in matched(batch.column(1).to_pylist(), tests):
+                for names, item_word, runs in found:
+                    d = np.searchsorted(begs, runs[:, 0], "right") - 1
+                    columns = [[ids[own[i]] for i in d.tolist()], names, runs[:, 0] - begs[d], item_word, runs[:, 2]]
+                    yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=["id", "item", "doc_word", "item_word", "n_words"])
+
+    texts = docs.select(F.col(id_col).cast("bigint"), F.col(text_col))
+    return spread(texts).mapInArrow(rows, "id bigint, item bigint, doc_word bigint, item_word bigint, n_words bigint")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents without a hit, with their columns."""
-    parts = annotated(docs, benchmark, text_col, **options)
-    if len(parts) == 1:
-        return parts[0].where(F.size("hits") == 0).select("row.*")
-    hit = None
-    for p in parts:
-        p = p.where(F.size("hits") > 0).select(F.col(f"row.{id_col}").alias("_hit"))
-        hit = p if hit is None else hit.unionByName(p)
-    return docs.join(hit.distinct(), F.col(id_col) == F.col("_hit"), "left_anti")
+    """The documents without a match, with their columns."""
+    return annotated(docs, benchmark, text_col, **options).where("longest = 0").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return report(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("longest")
 
 
 SQL = r"""

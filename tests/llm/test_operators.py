@@ -321,17 +321,36 @@ def items():
     return [(2, t[4][:120]), (10, t[6]), (11, None), (12, "..."), (13, "ünïcödé ç"), (14, "Ab"), (15, t[4][:120]), (16, "nothing like it at all")]
 
 
-@pytest.mark.parametrize("pass_bytes", [1 << 20, 300])
-def test_decontamination_matches_brute_force(spark, docs, items, pass_bytes):
-    bench = spark.createDataFrame(items, "item_id long, text string")
-    got = rows(decontam.report(docs, bench, pass_bytes=pass_bytes), "doc_id")
+@pytest.mark.parametrize("part_bytes", [1 << 20, 300, 1])
+def test_decontamination_matches_brute_force(spark, docs, items, part_bytes):
+    bench = spark.createDataFrame([(*i, "x") for i in items], "item_id long, text string, vocabulary string")
+    got = rows(decontam.report(docs, bench, part_bytes=part_bytes), "doc_id")
     want = brute_leaks(texts(), items)
-    assert {i: tuple(got[i])[1:] for i in got} == want
-    kept = {r.doc_id for r in decontam.decontaminate(docs, bench, pass_bytes=pass_bytes).collect()}
+    assert {i: tuple(got[i])[1:6] for i in got} == want
+    kept = {r.doc_id for r in decontam.decontaminate(docs, bench, part_bytes=part_bytes).collect()}
     assert kept == {i for i, w in want.items() if not w[4]}
     assert decontam.decontaminate(docs, bench).columns == docs.columns
 
 
+@pytest.mark.parametrize("part_bytes", [1 << 20, 1])
+def test_decontamination_of_repeated_ids_null_items_and_long_texts(spark, part_bytes):
+    passage = " ".join(f"w{i}" for i in range(12))
+    long = " ".join(f"v{i % 5000}" for i in range(300_000))
+    data = [(1, passage), (1, "clean words"), (1, "clean words"), (2, "x " + passage + " " + passage), (None, passage), (None, "clean"), (3, long), (4, "la " * 3000)]
+    items_ = [(7, passage), (None, "v1 v2 v3"), (None, None), (9, "la " * 40), (8, "clean")]
+    df = spark.createDataFrame([(*d, "y") for d in data], "doc_id long, text string, row string")
+    bench = spark.createDataFrame(items_, "item_id long, text string")
+    got = decontam.report(df, bench, part_bytes=part_bytes)
+    want = brute_leaks([t for i, t in data if i != 3], [x for x in items_ if x[0] is not None and x[1]])
+    rest = sorted(map(str, (tuple(r)[1:6] for r in got.collect() if r.doc_id != 3)))
+    assert rest == sorted(map(str, want.values()))
+    three = got.where("doc_id = 3").first()
+    assert (three.n_words, three.n_hit, three.n_items, three.contaminated) == (300_000, 180, 0, True)
+    kept = decontam.decontaminate(df, bench, part_bytes=part_bytes)
+    assert kept.columns == df.columns and kept.count() == 0
+    assert sorted(r.text for r in decontam.decontaminate(df, bench.where("item_id = 7"), part_bytes=part_bytes).collect()) == sorted([t for t in (long, "la " * 3000, "clean words", "clean words", "clean")])
+
+
 def test_longest_matches(spark):
     text = "start " + " ".join(f"w{i}" for i in range(40)) + " end"
     df = spark.createDataFrame([(1, text), (2, "w0 w1")], "doc_id long, text string")
