@@ -4,11 +4,18 @@ The cascade's first level holds the listed keys. The second holds the keys of
 the corpus's whole key universe that the first lets through though they are
 not listed, the third the listed keys that the second lets through, and so on
 until a level lets none through. For every key of the universe the answer is
-exact, and no join is needed: each level is a bounded literal.
+exact, and no join is needed: each level is a literal.
+
+The first level has as many bits a key as let about as many keys of the
+universe through as are listed, so all levels together take about
+1.44 log2(universe / listed) + 13 bits a listed key, whatever the universe's
+size. A list whose level would pass MAX_BITS is refused with an error.
 
 Only DataFrame functions are used. Null urls and urls without "://" have an
-empty host and path, fit no rule and are not listed. Repeated rows are judged
-each; an empty table gives no rows; further columns of the input don't matter.
+empty host and path, fit no rule and are not listed. Of a host only as many
+labels are looked at as the longest listed key has, so hosts and urls of any
+length take time in proportion. Repeated rows are judged each; an empty table
+gives no rows; further columns of the input don't matter.
 """
 
 from __future__ import annotations
@@ -21,7 +28,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runloom.llm.common import ascii_lower, cut
+from runloom.llm.common import ascii_lower, cut, let
 
 
 @dataclass(frozen=True)
@@ -34,34 +41,47 @@ class Level:
     salt: int
 
     def holds(self, key: Column) -> Column:
-        words = F.from_json(F.lit(self.words), "array<bigint>")
-        found = None
-        for j in range(self.hashes):
-            at = _position(key, self.salt, j, self.bits)
-            bit = F.getbit(F.element_at(words, F.shiftright(at, 6).cast("int") + 1), at.bitwiseAND(F.lit(63)).cast("int")) == 1
-            found = bit if found is None else found & bit
-        return found
+        def all_set(words: Column) -> Column:
+            found = None
+            for j in range(self.hashes):
+                at = _position(key, self.salt, j, self.bits)
+                bit = F.getbit(F.element_at(words, F.shiftright(at, 6).cast("int") + 1), at.bitwiseAND(F.lit(63)).cast("int")) == 1
+                found = bit if found is None else found & bit
+            return found
+
+        return let(F.from_json(F.lit(self.words), "array<bigint>"), all_set)
 
 
 def _position(key: Column, salt: int, j: int, bits: int) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(salt), F.lit(j)), F.lit(bits).cast("bigint"))
 
 
-def suffixes(host: Column) -> Column:
-    """The host and its parent domains, each a key."""
-    labels = F.split(host, r"\.", -1)
-    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+def suffixes(host: Column, most: int) -> Column:
+    """The host and its parent domains of at most so many labels, each a key."""
+
+    def ends(labels: Column) -> Column:
+        n = F.size(labels)
+        return F.transform(F.sequence(F.greatest(n - (most - 1), F.lit(1)), n), lambda i: F.array_join(F.slice(labels, i, n), "."))
+
+    return let(F.split(host, r"\.", -1), ends)
 
 
-def key_universe(hosts: DataFrame) -> DataFrame:
+def most_labels(listed: DataFrame) -> int:
+    return listed.agg(F.max(F.size(F.split("key", r"\.", -1))).alias("n")).first().n or 1
+
+
+def key_universe(hosts: DataFrame, most: int) -> DataFrame:
     """Distinct keys of the column host. Hosts are made distinct first, so a hot host is one row."""
-    return hosts.select("host").where("host <> ''").distinct().select(F.explode(suffixes(F.col("host"))).alias("key")).distinct()
+    return hosts.select("host").where("host <> ''").distinct().select(F.explode(suffixes(F.col("host"), most)).alias("key")).distinct()
+
+
+MAX_BITS = 1 << 28
 
 
-def _level(keys: DataFrame, n: int, salt: int, bits_per_key: float, max_bits: int) -> Level | None:
+def _level(keys: DataFrame, n: int, salt: int, bits_per_key: float) -> Level:
     bits = 64 * max(1, math.ceil(n * bits_per_key / 64))
-    if bits > max_bits:
-        return None
+    if bits > MAX_BITS:
+        raise ValueError(f"a filter level of {bits} bits: the list is too long for a cascade of literals")
     hashes = max(1, round(bits / n * math.log(2)))
     at = F.explode(F.array(*[_position(F.col("key"), salt, j, bits) for j in range(hashes)]))
     rows = (
@@ -76,22 +96,20 @@ def _level(keys: DataFrame, n: int, salt: int, bits_per_key: float, max_bits: in
     return Level(json.dumps(words), bits, hashes, salt)
 
 
-def build_cascade(universe: DataFrame, listed: DataFrame, bits_per_key: float = 6.0, max_bits: int = 1 << 24) -> list[Level] | None:
-    """Levels for exact membership in listed over universe, or None if a level would exceed max_bits.
+def build_cascade(universe: DataFrame, listed: DataFrame, bits_per_key: float = 6.0) -> list[Level]:
+    """Levels for exact membership in listed over universe, frames of a column key.
 
-    universe and listed have a column key. The false positives of the first
-    level are as many as about a twentieth of the universe, so the second level
-    can be larger than the first; each later one is a fraction of the one
-    before.
+    The first level has bits_per_key or more, as its number of false positives
+    wants; of each later one about a twentieth of the keys before are left.
     """
-    inside, outside = listed.select("key").where("key is not null").distinct(), universe.join(listed.select("key"), "key", "left_anti")
+    inside, outside = listed.select("key").where("key is not null").distinct(), cut(universe.join(listed.select("key"), "key", "left_anti"))
     turn, other, levels = inside, outside, []
+    ratio = max(2.0, outside.count() / max(1, inside.count()))
+    each = max(bits_per_key, math.log2(ratio) / math.log(2))
     while (n := turn.count()) and len(levels) < 64:
-        level = _level(turn, n, len(levels) + 1, bits_per_key, max_bits)
-        if level is None:
-            return None
-        levels.append(level)
-        turn, other = cut(other.where(level.holds(F.col("key")))), turn
+        levels.append(_level(turn, n, len(levels) + 1, each))
+        turn, other = cut(other.where(levels[-1].holds(F.col("key")))), turn
+        each = bits_per_key
     return levels
 
 
@@ -122,26 +140,20 @@ def matching_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]])
     return (none, none) if rule is None else (rule, verdict)
 
 
-def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], blocked: Sequence[str] | DataFrame, url: str = "url", keep: Sequence[str] = ("page_id",), max_bits: int = 1 << 24) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], blocked: Sequence[str] | DataFrame, url: str = "url", keep: Sequence[str] = ("page_id",)) -> DataFrame:
     """keep..., host, path, rule, verdict, listed.
 
     blocked: domains, as a list or a frame with a column key; a host is listed
-    if it or a parent domain is. Past max_bits for a level (2 MB by default,
-    the bound of what each task gets) membership comes from a shuffled
-    semi-join of distinct hosts instead.
+    if it or a parent domain is.
     """
     spark = pages.sparkSession
     host, path = host_and_path(F.col(url))
     judged = pages.select(*keep, host.alias("host"), path.alias("path"))
-    listed = _keys(spark, blocked)
-    levels = build_cascade(cut(key_universe(judged)), listed, max_bits=max_bits)
-    if levels is None:
-        hit = judged.select("host").where("host <> ''").distinct().select("host", F.explode(suffixes(F.col("host"))).alias("key")).join(listed, "key", "left_semi").select("host", F.lit(True).alias("listed")).distinct()
-        judged = judged.join(hit, "host", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
-    elif levels:
-        judged = judged.withColumn("listed", (F.col("host") != "") & F.exists(suffixes(F.col("host")), lambda s: in_cascade(s, levels)))
-    else:
-        judged = judged.withColumn("listed", F.lit(False))
+    listed = cut(_keys(spark, blocked))
+    most = most_labels(listed)
+    levels = build_cascade(cut(key_universe(judged, most)), listed)
+    hit = F.exists(suffixes(F.col("host"), most), lambda s: in_cascade(s, levels)) if levels else F.lit(False)
+    judged = judged.withColumn("listed", (F.col("host") != "") & hit)
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
     return judged.select(*keep, "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"), "listed")
 

@@ -75,17 +75,38 @@ def test_cascade_is_exact_over_its_universe(spark, bits):
     rng = random.Random(4)
     hosts = sorted({f"h{rng.randint(0, 9999)}.d{rng.randint(0, 300)}.com" for _ in range(1500)})
     listed = {h for h in hosts if rng.random() < 0.1} | {"d7.com"}
-    universe = url_filter.key_universe(spark.createDataFrame([(h,) for h in hosts], "host string"))
+    universe = url_filter.key_universe(spark.createDataFrame([(h,) for h in hosts], "host string"), 3)
     levels = url_filter.build_cascade(universe, spark.createDataFrame([(x,) for x in listed], "key string"), bits)
     assert len(levels) > 1
     got = universe.select("key", url_filter.in_cascade(universe.key, levels).alias("hit")).collect()
     assert {r.key for r in got if r.hit} == {r.key for r in got} & listed
 
 
-def test_url_filter_without_room_for_a_filter(spark):
+def test_cascade_grows_with_the_list_and_not_with_the_universe(spark):
+    listed = spark.range(200).selectExpr("concat('bad', id, '.com') as key")
+    sizes = []
+    for n in (2_000, 200_000):
+        levels = url_filter.build_cascade(spark.range(n).selectExpr("concat('h', id, '.org') as key").union(listed), listed)
+        sizes.append(sum(level.bits for level in levels))
+    assert sizes[1] < 3 * sizes[0] and sizes[1] < 200 * 40
+
+
+def test_url_filter_refuses_a_list_past_its_bound(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "MAX_BITS", 64)
     pages = spark.createDataFrame([(i, u) for i, u in enumerate(URLS)], "page_id long, url string")
-    small = url_filter.judge_urls(pages, url_filter.RULES, url_filter.BLOCKED, max_bits=0)
-    assert sorted(map(str, small.select("page_id", "verdict", "rule").collect())) == sorted(map(str, url_filter.judge_urls(pages, url_filter.RULES, url_filter.BLOCKED).select("page_id", "verdict", "rule").collect()))
+    with pytest.raises(ValueError, match="too long"):
+        url_filter.judge_urls(pages, url_filter.RULES, [f"x{i}.com" for i in range(100)])
+
+
+def test_url_filter_of_very_long_and_repeated_urls(spark):
+    long = ["http://" + "a." * 100_000 + "spam-farm.example.com/fr/" + "x" * 100_000, "http://" + "b" * 500_000, "http://" + "." * 300_000, "http://a.com/" + "://" * 100_000]
+    data = [(i % 3, u) for i, u in enumerate([*long, *URLS, *URLS])]
+    pages = spark.createDataFrame(data, "page_id long, url string").selectExpr("*", "'h' as key", "1 as listed")
+    began = time.time()
+    got = url_filter.judge_urls(pages, url_filter.RULES, url_filter.BLOCKED).collect()
+    assert time.time() - began < 60
+    want = [(i, *judge(u, url_filter.RULES, url_filter.BLOCKED)) for i, u in data]
+    assert sorted(map(str, ((r.page_id, r.host, r.path, r.rule, r.verdict) for r in got))) == sorted(map(str, want))
 
 
 def test_url_filter_empty(spark):
