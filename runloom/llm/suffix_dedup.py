@@ -19,14 +19,20 @@ offsets, so
    differ, by radix passes (`_repeated`), and returns removed ranges;
 4. documents and ranges meet by document (`_finish`).
 
+An anchor of very many documents would be one task's work. Such hot anchors
+are found first (`hot_anchors`) and told to all tasks. Nobody is asked about
+them; a task settles their windows among its own documents and sends those
+that are left, those of the smallest id, to the bucket of the window's own hash.
+
 Copies of a whole document are settled by digest and don't enter step 2. Rows
 move as compressed blocks, a block for each pair of tasks. Nothing is dropped,
 capped or sampled: anchors and the bounds on the bytes around them decide only
 what cannot be equal.
 
 Null text is an empty text. A row without id is returned whole. Rows with equal
-ids don't remove from each other. An empty table gives no rows; further columns
-don't matter.
+ids don't remove from each other; repeated rows are returned each. Texts of any
+length are taken whole, by one task. An empty table gives no rows; further
+columns don't matter.
 """
 
 from __future__ import annotations
@@ -40,12 +46,14 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runloom.llm.common import parts_for, spread
+from runloom.llm.common import cut, parts_for, spread
 
 WIDTH = 50
 K = 16
 #: Bytes of text for each task of steps 2 and 4, and for each bucket of steps 1 and 3.
 PART_BYTES = 12 << 20
+#: Anchors in so many documents are hot, or in a millionth part of all anchors' documents, if that is more.
+HOT_DOCUMENTS = 4096
 _CHUNK = 1 << 18
 _U = np.uint64
 _ODD = 0x9E3779B97F4A7C15
@@ -175,7 +183,7 @@ def _blocks(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
 
 
 _BLOCKS = "to int, kind int, block binary"
-_DOC, _COPIES, _ANCHORS, _CONTEXTS, _RANGES = range(5)
+_DOC, _COPIES, _ANCHORS, _CONTEXTS, _RANGES, _WINDOWS = range(6)
 _RANGE = ("<i8", "<i8", "<i8", "<i8")  # id, row, begin, end
 
 
@@ -198,7 +206,8 @@ def _read(parts: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            homes = _home(np.array([i or 0 for i in ids], np.int64), parts).tolist()
+            # a row without id asks nobody and is told nothing: any task will do
+            homes = _home(np.array([n if i is None else i for n, i in enumerate(ids)], np.int64), parts).tolist()
             held: dict[int, list[tuple[int | None, bytes]]] = {}
             sizes: dict[int, int] = {}
             out = []
@@ -229,8 +238,60 @@ def _documents(block: bytes) -> Iterator[tuple[int | None, bytes]]:
         at += size
 
 
-def _send_anchors(buckets: int, width: int, k: int):
-    """Step 1: (hash, id) of every document's distinct anchors, to the hash's bucket."""
+def _document_anchors(batch: pa.RecordBatch, width: int, k: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(id, distinct hashes) of each document with an id."""
+    for beg in range(0, batch.num_rows, 500):
+        known = [(i, t.as_py().encode()) for i, t in zip(batch.column(0)[beg : beg + 500].to_pylist(), batch.column(1)[beg : beg + 500], strict=True) if i is not None and t.is_valid]
+        for n, _, h in anchors([t for _, t in known], width, k):
+            yield known[n][0], np.unique(h & _LOW48)
+
+
+def _frequent(least: int, width: int, k: int):
+    """(h, n): anchors that `least` documents of a partition have, n of them; (-1, n): all its documents' anchors."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, held, size = 0, [], 0
+        counts: tuple[np.ndarray, np.ndarray] = (np.zeros(0, _U), np.zeros(0, np.int64))
+
+        def folded() -> tuple[np.ndarray, np.ndarray]:
+            h, at = np.unique(np.concatenate((counts[0], *held)), return_inverse=True)
+            weight = np.concatenate((counts[1], np.ones(size, np.int64)))
+            return h, np.bincount(at, weight, len(h)).astype(np.int64)
+
+        for batch in batches:
+            for _, h in _document_anchors(batch, width, k):
+                held.append(h)
+                size += len(h)
+                total += len(h)
+                if size > 4_000_000:
+                    counts, held, size = folded(), [], 0
+        h, n = folded()
+        h, n = h[n >= least], n[n >= least]
+        yield pa.record_batch([pa.array(np.append(h.astype(np.int64), -1)), pa.array(np.append(n, total))], names=["h", "n"])
+
+    return rows
+
+
+def hot_anchors(texts: DataFrame, width: int, k: int) -> np.ndarray:
+    """Sorted hashes of the hot anchors, two million at most.
+
+    An anchor in `most` documents is in its share of them in some partition,
+    so only locally frequent ones are counted.
+    """
+    least = max(2, -(-HOT_DOCUMENTS // max(1, 2 * texts.rdd.getNumPartitions())))
+    counted = cut(texts.mapInArrow(_frequent(least, width, k), "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")))
+    total = counted.where("h = -1").agg(F.max("n").alias("n")).first().n or 0
+    most = max(HOT_DOCUMENTS, total // 1_000_000)
+    hot = counted.where((F.col("h") >= 0) & (F.col("n") > most // 2)).select("h").collect()  # 2 * total / most at most
+    return np.sort(np.array([r.h for r in hot], np.int64).astype(_U))
+
+
+def _in_sorted(values: np.ndarray, among: np.ndarray) -> np.ndarray:
+    return among[np.minimum(np.searchsorted(among, values), len(among) - 1)] == values if len(among) else np.zeros(len(values), bool)
+
+
+def _send_anchors(buckets: int, width: int, k: int, hot):
+    """Step 1: (hash, id) of every document's distinct anchors that aren't hot, to the hash's bucket."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, ids, held = [], [], 0
@@ -241,13 +302,11 @@ def _send_anchors(buckets: int, width: int, k: int):
             return _blocks([(b, _ANCHORS, _packed(x.reshape(-1).reshape(-1, 6), y)) for b, (x, y) in _by_bucket(h % _U(buckets), split, i)])
 
         for batch in batches:
-            for beg in range(0, batch.num_rows, 500):
-                known = [(i, t.as_py().encode()) for i, t in zip(batch.column(0)[beg : beg + 500].to_pylist(), batch.column(1)[beg : beg + 500], strict=True) if i is not None and t.is_valid]
-                for n, _, h in anchors([t for _, t in known], width, k):
-                    h = np.unique(h & _LOW48)
-                    hashes.append(h)
-                    ids.append(np.full(len(h), known[n][0], "<i8"))
-                    held += len(h)
+            for i, h in _document_anchors(batch, width, k):
+                h = h[~_in_sorted(h, hot.value)]
+                hashes.append(h)
+                ids.append(np.full(len(h), i, "<i8"))
+                held += len(h)
                 if held > 1_000_000:
                     yield flush()
                     hashes, ids, held = [], [], 0
@@ -302,9 +361,8 @@ def _anchor_hash(context: np.ndarray, side: int, k: int) -> np.ndarray:
     return _mixed((_BYTE[context[:, side : side + k]] * _POWERS[:k]).sum(axis=1, dtype=_U)) & _LOW48
 
 
-def _contexts(buckets: int, parts: int, width: int, k: int):
-    """Step 2: contexts of shared anchors to the buckets, and ranges that are settled here."""
-    side = width - k
+def _contexts(buckets: int, parts: int, width: int, k: int, hot):
+    """Step 2: contexts of shared anchors, and windows of hot ones, to the buckets; ranges that are settled here."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for blocks in _gathered(batches).values():
@@ -321,21 +379,21 @@ def _contexts(buckets: int, parts: int, width: int, k: int):
                     if i is None or len(data) < width or (i, key := _row_key(data)) in copies:
                         continue
                     wanted = hashes[np.searchsorted(owners, i, "left") : np.searchsorted(owners, i, "right")]
-                    if len(wanted):
+                    if len(wanted) or len(hot.value):
                         docs.append((i, key, data, wanted))
                 if docs:
-                    sent.append(_document_contexts(docs, width, k))
+                    sent.append(_document_contexts(docs, width, k, hot.value))
                     held += len(sent[-1][0])
                     if held > 300_000:
-                        yield _settle(sent, buckets, parts, width, k)
+                        yield _settle(sent, buckets, parts, width, k, hot.value)
                         sent, held = [], 0
             if held:
-                yield _settle(sent, buckets, parts, width, k)
+                yield _settle(sent, buckets, parts, width, k, hot.value)
 
     return rows
 
 
-def _document_contexts(docs: list[tuple[int, int, bytes, np.ndarray]], width: int, k: int) -> list[np.ndarray]:
+def _document_contexts(docs: list[tuple[int, int, bytes, np.ndarray]], width: int, k: int, hot: np.ndarray) -> list[np.ndarray]:
     """Hashes, ids, row keys, places, bytes before and after, contexts of the wanted anchors of documents (id, key, text, wanted)."""
     side = width - k
     gap = bytes(2 * width)  # between texts that are laid out in one buffer
@@ -348,10 +406,9 @@ def _document_contexts(docs: list[tuple[int, int, bytes, np.ndarray]], width: in
     wanted = np.concatenate([np.sort(d[3]) for d in docs])
     firsts = np.cumsum([0, *(len(d[3]) for d in docs)])
     cuts = np.searchsorted(owner, np.arange(len(docs) + 1))
-    mine = np.zeros(len(at), bool)
+    mine = _in_sorted(low48, hot)
     for n in range(len(docs)):
-        own, have = wanted[firsts[n] : firsts[n + 1]], low48[cuts[n] : cuts[n + 1]]
-        mine[cuts[n] : cuts[n + 1]] = own[np.minimum(np.searchsorted(own, have), len(own) - 1)] == have
+        mine[cuts[n] : cuts[n + 1]] |= _in_sorted(low48[cuts[n] : cuts[n + 1]], wanted[firsts[n] : firsts[n + 1]])
     pick = np.flatnonzero(mine)
     beg, size = bases[owner[pick]], np.array([len(d[2]) for d in docs])[owner[pick]]
     low, high = window_ranges(at, h, pick, beg, beg + size, width, k)
@@ -364,13 +421,28 @@ def _document_contexts(docs: list[tuple[int, int, bytes, np.ndarray]], width: in
     return [low48[pick], ids, keys, (where - beg).astype("<i8"), before.astype(np.uint8), after.astype(np.uint8), context]
 
 
-def _settle(sent: list[list[np.ndarray]], buckets: int, parts: int, width: int, k: int) -> pa.RecordBatch:
+def _settle(sent: list[list[np.ndarray]], buckets: int, parts: int, width: int, k: int, hot: np.ndarray) -> pa.RecordBatch:
     h, ids, key, at, before, after, context = (np.concatenate([s[c] for s in sent]) for c in range(7))
     covered = _above_smallest(h, ids, before, after, context)
     out = _range_blocks(ids[covered], key[covered], at[covered] - before[covered], at[covered] + k + after[covered], parts, width)
-    rest = ~covered
-    for b, cols in _by_bucket(h[rest] % _U(buckets), *(c[rest] for c in (ids, key, at, before, after, context))):
+    rest, often = ~covered, _in_sorted(h, hot)
+    for b, cols in _by_bucket(h[rest & ~often] % _U(buckets), *(c[rest & ~often] for c in (ids, key, at, before, after, context))):
         out.append((b, _CONTEXTS, _packed(*cols)))
+    often = np.flatnonzero(rest & often)
+    if len(often):
+        w, offset, members, label = _equal_windows(often, h, before.astype(np.int64), after.astype(np.int64), context, width, k)
+        left = np.ones(len(w), bool)  # of equal windows those of the smallest id go on
+        if len(members):
+            least = _smallest(ids[w[members]], label)
+            above = members[ids[w[members]] > least]
+            left[above] = False
+            beg = at[w[above]] - (width - k) + offset[above]
+            out += _range_blocks(ids[w[above]], key[w[above]], beg, beg + width, parts, width)
+        w, offset = w[left], offset[left]
+        content = np.lib.stride_tricks.sliding_window_view(context, width, axis=1)[w, offset]
+        to = _mixed((_BYTE[content] * _POWERS[:width]).sum(axis=1, dtype=_U)) % _U(buckets)
+        for b, cols in _by_bucket(to, ids[w], key[w], at[w] - (width - k) + offset, content):
+            out.append((b, _WINDOWS, _packed(*cols)))
     return _blocks(out)
 
 
@@ -466,6 +538,16 @@ def _repeated(parts: int, width: int, k: int):
                 before, after = before.astype(np.int64), after.astype(np.int64)
                 out += _range_blocks(ids[whole], key[whole], (at - before)[whole], (at + k + after)[whole], parts, width)
                 out += _windows(np.flatnonzero(~whole), h, ids, key, at, before, after, context, parts, width, k)
+            got = [_unpacked(b, "<i8", "<i8", "<i8", f"V{width}") for b in blocks.get(_WINDOWS, [])]
+            if got:
+                ids, key, beg, content = (np.concatenate([g[c] for g in got]) for c in range(4))
+                full = np.zeros((len(ids), -(-width // 8) * 8), np.uint8)
+                full[:, :width] = content.view(np.uint8).reshape(len(ids), -1)
+                digits = full.view(">u8")
+                members, label = radix_groups(np.zeros(len(ids), np.int64), lambda m, d, x=digits: x[m, d], digits.shape[1])
+                if len(members):
+                    above = members[ids[members] > _smallest(ids[members], label)]
+                    out += _range_blocks(ids[above], key[above], beg[above], beg[above] + width, parts, width)
             yield _blocks(out)
 
     return rows
@@ -481,14 +563,24 @@ def _windows(rest: np.ndarray, h, ids, key, at, before, after, context, parts: i
         digits = np.ascontiguousarray(part[:, beg : beg + near]).view(">u8")
         members, _ = radix_groups(h[rest], lambda m, d, x=digits: x[m, d], digits.shape[1])
         live[members] = True
-    rest = rest[live]
-    low, high = side - before[rest], after[rest]  # window offsets within the text
+    w, offset, members, label = _equal_windows(rest[live], h, before, after, context, width, k)
+    if not len(members):
+        return []
+    owner = ids[w[members]]
+    members = members[owner > _smallest(owner, label)]
+    w = w[members]
+    beg = at[w] - side + offset[members]
+    return _range_blocks(ids[w], key[w], beg, beg + width, parts, width)
+
+
+def _equal_windows(rest: np.ndarray, h, before, after, context, width: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All windows of the contexts `rest` (context, offset in it), and the groups of equal ones by radix passes."""
+    low, high = width - k - before[rest], after[rest]  # window offsets within the text
     n = np.maximum(high - low + 1, 0)
     who = np.repeat(rest, n)
     offset = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
     group = h[who] * _U(256) + offset.astype(_U)
     padded = np.concatenate((context, np.zeros((len(context), 8), np.uint8)), axis=1)
-    passes = -(-width // 8)
 
     def digit(m: np.ndarray, d: int) -> np.ndarray:
         found = padded[who[m][:, None], offset[m][:, None] + np.arange(8 * d, 8 * d + 8)]
@@ -496,14 +588,7 @@ def _windows(rest: np.ndarray, h, ids, key, at, before, after, context, parts: i
             found[:, width - 8 * d :] = 0
         return np.ascontiguousarray(found).view(">u8").ravel()
 
-    members, label = radix_groups(group, digit, passes)
-    if not len(members):
-        return []
-    owner = ids[who[members]]
-    members = members[owner > _smallest(owner, label)]
-    w = who[members]
-    beg = at[w] - side + offset[members]
-    return _range_blocks(ids[w], key[w], beg, beg + width, parts, width)
+    return who, offset, *radix_groups(group, digit, -(-width // 8))
 
 
 def _finish(width: int, with_kept: bool):
@@ -551,10 +636,12 @@ def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     documents = texts.mapInArrow(_read(parts), _BLOCKS)
     # copies of whole texts: all but those of the smallest id, as blocks for their homes
     digests = texts.where("id is not null and t is not null").select("id", F.unhex(F.sha2("t", 256)).alias("d"))
-    first = digests.groupBy("d").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("d", "first")
+    # stored, so that the join splits a digest of very many documents
+    first = cut(digests.groupBy("d").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("d", "first"))
+    hot = docs.sparkSession.sparkContext.broadcast(hot_anchors(texts, width, k))  # two million numbers at most
     copies = digests.join(first, "d").where("id > first").select("id", "d").mapInArrow(_copy_blocks(parts), _BLOCKS)
-    shared = texts.mapInArrow(_send_anchors(buckets, width, k), _BLOCKS).repartition(buckets, "to").mapInArrow(_shared(parts), _BLOCKS)
-    contexts = documents.unionByName(copies).unionByName(shared).repartition(parts, "to").mapInArrow(_contexts(buckets, parts, width, k), _BLOCKS)
+    shared = texts.mapInArrow(_send_anchors(buckets, width, k, hot), _BLOCKS).repartition(buckets, "to").mapInArrow(_shared(parts), _BLOCKS)
+    contexts = documents.unionByName(copies).unionByName(shared).repartition(parts, "to").mapInArrow(_contexts(buckets, parts, width, k, hot), _BLOCKS)
     ranges = contexts.repartition(buckets, "to").mapInArrow(_repeated(parts, width, k), _BLOCKS)
     home = F.when(F.col("to") < 0, -1 - F.col("to")).otherwise(F.col("to")).cast("int").alias("to")
     meet = documents.unionByName(copies).unionByName(ranges.select(home, "kind", "block")).repartition(parts, "to")

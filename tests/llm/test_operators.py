@@ -620,6 +620,25 @@ def test_suffix_dedup_on_few_symbols(spark):
     assert {i: tuple(r)[1:5] for i, r in got.items()} == brute_suffix(pairs, 50)
 
 
+@pytest.mark.parametrize("part_bytes", [12 << 20, 3000])
+def test_suffix_dedup_with_hot_anchors(spark, monkeypatch, part_bytes):
+    rng = random.Random(16)
+    random_text = lambda n: "".join(rng.choice("abcdefgh \n") for _ in range(n))
+    passage, other = random_text(260), random_text(90)
+    pairs = []
+    for i in range(150):
+        parts = [random_text(rng.randint(0, 80))]
+        for _ in range(rng.randint(0, 3)):
+            a = rng.choice((0, 0, rng.randint(0, 100)))
+            parts += [passage[a : a + rng.choice((260, 120, 60))] if rng.random() < 0.8 else other, random_text(rng.randint(0, 60))]
+        pairs.append((i * 7 % 150, "".join(parts)))
+    df = spark.createDataFrame(pairs, "doc_id long, text string")
+    monkeypatch.setattr(suffix_dedup, "HOT_DOCUMENTS", 40)
+    assert len(suffix_dedup.hot_anchors(df, 50, 16)) > 5
+    got = rows(suffix_dedup.dedup_suffixes(df, part_bytes=part_bytes), "doc_id")
+    assert {i: tuple(r)[1:5] for i, r in got.items()} == brute_suffix(pairs, 50)
+
+
 def test_suffix_dedup_long_text_and_pieces(spark, monkeypatch):
     rng = random.Random(7)
     long = "".join(rng.choice("abcdefgh ") for _ in range(9000))
