@@ -5,9 +5,10 @@ letters with other characters as one blank), scaled by the square root and to
 unit length. A linear support vector machine for each family, one against the
 rest, picks the family; one for each pair of its languages votes on the
 language. All are trained here, by L2-regularised squared hinge loss, on a
-bounded sample of labelled documents: at most PER_LANGUAGE for each language,
-drawn by a hash of the id, whatever the corpus's size. Every text is judged
-whole.
+bounded sample of labelled documents: at most PER_LANGUAGE for each language
+and MOST_VECTORS in all, drawn by a hash of the id, whatever the corpus's size.
+Of more than MOST_LANGUAGES values of the language column those with the most
+documents are learned. Every text is judged whole, however long it is.
 
 Languages of no listed family form families of their own. The score is the
 logistic of the family's margin times the mean logistic of the language's
@@ -56,6 +57,9 @@ FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in code
 
 DIMS = 1 << 12
 PER_LANGUAGE = 500
+MOST_LANGUAGES = 200
+#: Training documents of all languages together: 16 kB each on the driver, and half as many again while they are drawn.
+MOST_VECTORS = 12_000
 UNKNOWN = "und"
 
 
@@ -169,15 +173,15 @@ def held_out(id_column) -> F.Column:
 def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int) -> tuple[np.ndarray, list[str]]:
     """Features and languages of at most per_language documents of each language, those of the smallest hashes."""
     labelled = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).where(F.col("l").isNotNull() & F.col("t").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id")))
-    counts = {r.l: r.n for r in labelled.groupBy("l").agg(F.count("*").alias("n")).collect()}  # a row for each language
+    counts = labelled.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(MOST_LANGUAGES).collect()
     if not counts:
         return np.zeros((0, DIMS)), []
+    per_language = min(per_language, MOST_VECTORS // len(counts))
     order = F.pmod(F.xxhash64("id", F.lit("language")), F.lit(1 << 40))
-    share = F.lit(0)
-    for lang, n in counts.items():
-        # half as many again as wanted; the exact bound is set below
-        share = F.when(F.col("l") == lang, int(min(1.0, 1.5 * per_language / n) * (1 << 40))).otherwise(share)
-    drawn = labelled.where(order < share).select("l", order.alias("o"), "t")
+    # half as many again as wanted; the exact bound is set below
+    shares = docs.sparkSession.createDataFrame([(r.l, int(min(1.0, 1.5 * per_language / r.n) * (1 << 40))) for r in counts], "l string, share bigint")
+    labelled = labelled.join(F.broadcast(shares), "l")
+    drawn = labelled.where(order < F.col("share")).select("l", order.alias("o"), "t")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

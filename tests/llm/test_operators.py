@@ -1089,6 +1089,21 @@ def test_language_learns_from_training_rows_only(spark):
     assert sorted(map(str, first)) == sorted(map(str, second))
 
 
+def test_language_with_many_values_long_texts_and_clashing_names(spark, monkeypatch):
+    data = language_rows(400)
+    dirty = [(10_000 + i, "zz qq ww", f"dirty{i}") for i in range(300)]
+    long = " ".join("der und ung schen nicht ein keit ist" for _ in range(60_000))
+    df = spark.createDataFrame([*data, *dirty, (20_000, long, None), (20_000, long, None)], "doc_id long, text string, lang string").selectExpr("*", "'x' as lang_pred", "1.0 as score", "'t' as t", "0 as held_out")
+    monkeypatch.setattr(language_id, "MOST_LANGUAGES", 5)
+    monkeypatch.setattr(language_id, "MOST_VECTORS", 100)
+    x, langs = language_id.sample(df, "doc_id", "text", "lang", 500)
+    assert len(x) <= 100 and set(langs) == set(STEMS)
+    got = language_id.identify(df).collect()
+    assert {r.lang_pred for r in got} <= set(STEMS) and [r.lang_pred for r in got if r.doc_id == 20_000] == ["de", "de"]
+    kept = language_id.keep_identified(df)
+    assert kept.columns == df.columns and kept.where("doc_id = 20000").count() == 2
+
+
 def test_language_without_labels(spark, nothing):
     df = spark.createDataFrame([(1, "the and", None)], "doc_id long, text string, lang string")
     assert [r.lang_pred for r in language_id.identify(df).collect()] == ["und"]
