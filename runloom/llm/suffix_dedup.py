@@ -187,8 +187,26 @@ _DOC, _COPIES, _ANCHORS, _CONTEXTS, _RANGES, _WINDOWS = range(6)
 _RANGE = ("<i8", "<i8", "<i8", "<i8")  # id, row, begin, end
 
 
-def _home(ids: np.ndarray, parts: int) -> np.ndarray:
-    return ((ids.astype(np.int64).view(_U) * _U(_ODD)) >> _U(33)) % _U(parts)
+def partition_marks(n: int) -> np.ndarray:
+    """For each of n partitions a number that hash partitioning puts there: homes and buckets are as many, one in each."""
+    marks, beg = np.full(n, -1, np.int64), 0
+    while (marks < 0).any():
+        x = np.arange(beg, beg + 8 * n, dtype=np.uint32)
+        beg += 8 * n
+        h = x * np.uint32(0xCC9E2D51)  # MurmurHash3 of one 32-bit number
+        h = ((h << np.uint32(15)) | (h >> np.uint32(17))) * np.uint32(0x1B873593) ^ np.uint32(42)
+        h = ((h << np.uint32(13)) | (h >> np.uint32(19))) * np.uint32(5) + np.uint32(0xE6546B64) ^ np.uint32(4)
+        for shift, by in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+            h = (h ^ (h >> np.uint32(shift))) * np.uint32(by)
+        place = (h ^ (h >> np.uint32(16))).astype(np.int32).astype(np.int64) % n
+        found, first = np.unique(place, return_index=True)
+        new = marks[found] < 0
+        marks[found[new]] = x[first[new]]
+    return marks
+
+
+def _home(ids: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    return marks[((ids.astype(np.int64).view(_U) * _U(_ODD)) >> _U(33)) % _U(len(marks))]
 
 
 def _row_key(data: bytes) -> int:
@@ -200,14 +218,14 @@ def _copies(blocks: dict[int, list[bytes]]) -> set[tuple[int, int]]:
     return {row for b in blocks.get(_COPIES, []) for row in zip(*(c.tolist() for c in _unpacked(b, "<i8", "<i8")), strict=True)}
 
 
-def _read(parts: int):
+def _read(marks: np.ndarray):
     """Documents as blocks of many, by home task."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_pylist()
             # a row without id asks nobody and is told nothing: any task will do
-            homes = _home(np.array([n if i is None else i for n, i in enumerate(ids)], np.int64), parts).tolist()
+            homes = _home(np.array([n if i is None else i for n, i in enumerate(ids)], np.int64), marks).tolist()
             held: dict[int, list[tuple[int | None, bytes]]] = {}
             sizes: dict[int, int] = {}
             out = []
@@ -290,7 +308,7 @@ def _in_sorted(values: np.ndarray, among: np.ndarray) -> np.ndarray:
     return among[np.minimum(np.searchsorted(among, values), len(among) - 1)] == values if len(among) else np.zeros(len(values), bool)
 
 
-def _send_anchors(buckets: int, width: int, k: int, hot):
+def _send_anchors(marks: np.ndarray, width: int, k: int, hot):
     """Step 1: (hash, id) of every document's distinct anchors that aren't hot, to the hash's bucket."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,7 +317,7 @@ def _send_anchors(buckets: int, width: int, k: int, hot):
         def flush() -> pa.RecordBatch:
             h, i = np.concatenate(hashes), np.concatenate(ids)
             split = h.view(np.uint8).reshape(-1, 8)[:, :6]  # the low 48 bits
-            return _blocks([(b, _ANCHORS, _packed(x.reshape(-1).reshape(-1, 6), y)) for b, (x, y) in _by_bucket(h % _U(buckets), split, i)])
+            return _blocks([(b, _ANCHORS, _packed(x.reshape(-1).reshape(-1, 6), y)) for b, (x, y) in _by_bucket(marks[h % _U(len(marks))], split, i)])
 
         for batch in batches:
             for i, h in _document_anchors(batch, width, k):
@@ -325,7 +343,7 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> dict[int, dict[int, list[byt
     return found
 
 
-def _shared(parts: int):
+def _shared(marks: np.ndarray):
     """Anchors that documents of different ids have, to each of these documents' home."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,7 +360,7 @@ def _shared(parts: int):
             keep = np.repeat(many, np.diff(np.append(begs, len(h))))
             h, ids = h[keep], ids[keep]
             order = np.argsort(ids, kind="stable")
-            yield _blocks([(home, _ANCHORS, _packed(x, y)) for home, (x, y) in _by_bucket(_home(ids[order], parts), h[order], ids[order])])
+            yield _blocks([(home, _ANCHORS, _packed(x, y)) for home, (x, y) in _by_bucket(_home(ids[order], marks), h[order], ids[order])])
 
     return rows
 
@@ -361,7 +379,7 @@ def _anchor_hash(context: np.ndarray, side: int, k: int) -> np.ndarray:
     return _mixed((_BYTE[context[:, side : side + k]] * _POWERS[:k]).sum(axis=1, dtype=_U)) & _LOW48
 
 
-def _contexts(buckets: int, parts: int, width: int, k: int, hot):
+def _contexts(marks: np.ndarray, width: int, k: int, hot):
     """Step 2: contexts of shared anchors, and windows of hot ones, to the buckets; ranges that are settled here."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -385,10 +403,10 @@ def _contexts(buckets: int, parts: int, width: int, k: int, hot):
                     sent.append(_document_contexts(docs, width, k, hot.value))
                     held += len(sent[-1][0])
                     if held > 300_000:
-                        yield _settle(sent, buckets, parts, width, k, hot.value)
+                        yield _settle(sent, marks, width, k, hot.value)
                         sent, held = [], 0
             if held:
-                yield _settle(sent, buckets, parts, width, k, hot.value)
+                yield _settle(sent, marks, width, k, hot.value)
 
     return rows
 
@@ -421,12 +439,12 @@ def _document_contexts(docs: list[tuple[int, int, bytes, np.ndarray]], width: in
     return [low48[pick], ids, keys, (where - beg).astype("<i8"), before.astype(np.uint8), after.astype(np.uint8), context]
 
 
-def _settle(sent: list[list[np.ndarray]], buckets: int, parts: int, width: int, k: int, hot: np.ndarray) -> pa.RecordBatch:
+def _settle(sent: list[list[np.ndarray]], marks: np.ndarray, width: int, k: int, hot: np.ndarray) -> pa.RecordBatch:
     h, ids, key, at, before, after, context = (np.concatenate([s[c] for s in sent]) for c in range(7))
     covered = _above_smallest(h, ids, before, after, context)
-    out = _range_blocks(ids[covered], key[covered], at[covered] - before[covered], at[covered] + k + after[covered], parts, width)
+    out = _range_blocks(ids[covered], key[covered], at[covered] - before[covered], at[covered] + k + after[covered], marks, width)
     rest, often = ~covered, _in_sorted(h, hot)
-    for b, cols in _by_bucket(h[rest & ~often] % _U(buckets), *(c[rest & ~often] for c in (ids, key, at, before, after, context))):
+    for b, cols in _by_bucket(marks[h[rest & ~often] % _U(len(marks))], *(c[rest & ~often] for c in (ids, key, at, before, after, context))):
         out.append((b, _CONTEXTS, _packed(*cols)))
     often = np.flatnonzero(rest & often)
     if len(often):
@@ -437,16 +455,16 @@ def _settle(sent: list[list[np.ndarray]], buckets: int, parts: int, width: int,
             above = members[ids[w[members]] > least]
             left[above] = False
             beg = at[w[above]] - (width - k) + offset[above]
-            out += _range_blocks(ids[w[above]], key[w[above]], beg, beg + width, parts, width)
+            out += _range_blocks(ids[w[above]], key[w[above]], beg, beg + width, marks, width)
         w, offset = w[left], offset[left]
         content = np.lib.stride_tricks.sliding_window_view(context, width, axis=1)[w, offset]
-        to = _mixed((_BYTE[content] * _POWERS[:width]).sum(axis=1, dtype=_U)) % _U(buckets)
+        to = marks[_mixed((_BYTE[content] * _POWERS[:width]).sum(axis=1, dtype=_U)) % _U(len(marks))]
         for b, cols in _by_bucket(to, ids[w], key[w], at[w] - (width - k) + offset, content):
             out.append((b, _WINDOWS, _packed(*cols)))
     return _blocks(out)
 
 
-def _range_blocks(ids: np.ndarray, key: np.ndarray, beg: np.ndarray, end: np.ndarray, parts: int, width: int) -> list[tuple[int, int, bytes]]:
+def _range_blocks(ids: np.ndarray, key: np.ndarray, beg: np.ndarray, end: np.ndarray, marks: np.ndarray, width: int) -> list[tuple[int, int, bytes]]:
     """Ranges of width or more, merged within a row, as blocks for the rows' homes; `to` is coded as -1 - home."""
     keep = end - beg >= width
     ids, key, beg, end = ids[keep], key[keep], beg[keep].astype(np.int64), end[keep].astype(np.int64)
@@ -461,7 +479,7 @@ def _range_blocks(ids: np.ndarray, key: np.ndarray, beg: np.ndarray, end: np.nda
     begs = np.flatnonzero(first)
     last = np.append(begs[1:], len(ids)) - 1
     merged = (ids[begs], key[begs], beg[begs], reach[last] - row[last] * span)
-    return [(-1 - home, _RANGES, _packed(*cols)) for home, cols in _by_bucket(_home(merged[0], parts).astype(np.int64), *merged)]
+    return [(-1 - home, _RANGES, _packed(*cols)) for home, cols in _by_bucket(_home(merged[0], marks), *merged)]
 
 
 def radix_groups(group: np.ndarray, digit, passes: int) -> tuple[np.ndarray, np.ndarray]:
@@ -521,7 +539,7 @@ def _above_smallest(h: np.ndarray, ids: np.ndarray, before: np.ndarray, after: n
     return out
 
 
-def _repeated(parts: int, width: int, k: int):
+def _repeated(marks: np.ndarray, width: int, k: int):
     """Step 3: ranges of the windows that start in a document with a smaller id."""
     side = width - k
     kinds = ("<i8", "<i8", "<i8", "u1", "u1", f"V{2 * side + k}")
@@ -536,8 +554,8 @@ def _repeated(parts: int, width: int, k: int):
                 h = _anchor_hash(context, side, k)
                 whole = _above_smallest(h, ids, before, after, context)
                 before, after = before.astype(np.int64), after.astype(np.int64)
-                out += _range_blocks(ids[whole], key[whole], (at - before)[whole], (at + k + after)[whole], parts, width)
-                out += _windows(np.flatnonzero(~whole), h, ids, key, at, before, after, context, parts, width, k)
+                out += _range_blocks(ids[whole], key[whole], (at - before)[whole], (at + k + after)[whole], marks, width)
+                out += _windows(np.flatnonzero(~whole), h, ids, key, at, before, after, context, marks, width, k)
             got = [_unpacked(b, "<i8", "<i8", "<i8", f"V{width}") for b in blocks.get(_WINDOWS, [])]
             if got:
                 ids, key, beg, content = (np.concatenate([g[c] for g in got]) for c in range(4))
@@ -547,13 +565,13 @@ def _repeated(parts: int, width: int, k: int):
                 members, label = radix_groups(np.zeros(len(ids), np.int64), lambda m, d, x=digits: x[m, d], digits.shape[1])
                 if len(members):
                     above = members[ids[members] > _smallest(ids[members], label)]
-                    out += _range_blocks(ids[above], key[above], beg[above], beg[above] + width, parts, width)
+                    out += _range_blocks(ids[above], key[above], beg[above], beg[above] + width, marks, width)
             yield _blocks(out)
 
     return rows
 
 
-def _windows(rest: np.ndarray, h, ids, key, at, before, after, context, parts: int, width: int, k: int) -> list[tuple[int, int, bytes]]:
+def _windows(rest: np.ndarray, h, ids, key, at, before, after, context, marks: np.ndarray, width: int, k: int) -> list[tuple[int, int, bytes]]:
     """Ranges from single windows, of anchors whose contexts differ."""
     side = width - k
     near = side // 2 // 8 * 8  # an equal window has as many equal bytes at least, on one side of the anchor
@@ -570,7 +588,7 @@ def _windows(rest: np.ndarray, h, ids, key, at, before, after, context, parts: i
     members = members[owner > _smallest(owner, label)]
     w = w[members]
     beg = at[w] - side + offset[members]
-    return _range_blocks(ids[w], key[w], beg, beg + width, parts, width)
+    return _range_blocks(ids[w], key[w], beg, beg + width, marks, width)
 
 
 def _equal_windows(rest: np.ndarray, h, before, after, context, width: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -631,31 +649,32 @@ def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError("width: from 24 to 216; k: from 8 to width - 16")
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("t"))
     size = texts.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("n")).first().n
-    parts = buckets = parts_for(size, part_bytes)
+    parts = parts_for(size, part_bytes)
+    marks = partition_marks(parts)
     texts = spread(texts)
-    documents = texts.mapInArrow(_read(parts), _BLOCKS)
+    documents = texts.mapInArrow(_read(marks), _BLOCKS)
     # copies of whole texts: all but those of the smallest id, as blocks for their homes
     digests = texts.where("id is not null and t is not null").select("id", F.unhex(F.sha2("t", 256)).alias("d"))
     # stored, so that the join splits a digest of very many documents
     first = cut(digests.groupBy("d").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("d", "first"))
     hot = docs.sparkSession.sparkContext.broadcast(hot_anchors(texts, width, k))  # two million numbers at most
-    copies = digests.join(first, "d").where("id > first").select("id", "d").mapInArrow(_copy_blocks(parts), _BLOCKS)
-    shared = texts.mapInArrow(_send_anchors(buckets, width, k, hot), _BLOCKS).repartition(buckets, "to").mapInArrow(_shared(parts), _BLOCKS)
-    contexts = documents.unionByName(copies).unionByName(shared).repartition(parts, "to").mapInArrow(_contexts(buckets, parts, width, k, hot), _BLOCKS)
-    ranges = contexts.repartition(buckets, "to").mapInArrow(_repeated(parts, width, k), _BLOCKS)
+    copies = digests.join(first, "d").where("id > first").select("id", "d").mapInArrow(_copy_blocks(marks), _BLOCKS)
+    shared = texts.mapInArrow(_send_anchors(marks, width, k, hot), _BLOCKS).repartition(parts, "to").mapInArrow(_shared(marks), _BLOCKS)
+    contexts = documents.unionByName(copies).unionByName(shared).repartition(parts, "to").mapInArrow(_contexts(marks, width, k, hot), _BLOCKS)
+    ranges = contexts.repartition(parts, "to").mapInArrow(_repeated(marks, width, k), _BLOCKS)
     home = F.when(F.col("to") < 0, -1 - F.col("to")).otherwise(F.col("to")).cast("int").alias("to")
     meet = documents.unionByName(copies).unionByName(ranges.select(home, "kind", "block")).repartition(parts, "to")
     done = meet.mapInArrow(_finish(width, with_kept), "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans string, kept binary")
     return done.withColumnRenamed("id", id_col)
 
 
-def _copy_blocks(parts: int):
+def _copy_blocks(marks: np.ndarray):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype("<i8")
             if len(ids):
                 keys = np.array([int.from_bytes(d[:8], "little", signed=True) for d in batch.column(1).to_pylist()], "<i8")
-                yield _blocks([(home, _COPIES, _packed(x, y)) for home, (x, y) in _by_bucket(_home(ids, parts).astype(np.int64), ids, keys)])
+                yield _blocks([(home, _COPIES, _packed(x, y)) for home, (x, y) in _by_bucket(_home(ids, marks), ids, keys)])
 
     return rows
 

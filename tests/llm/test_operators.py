@@ -659,6 +659,13 @@ def test_suffix_dedup_equal_ids_null_ids_and_kept_bytes(spark):
     assert sorted(got, key=str) == sorted([(5, 120, 0, a.encode()), (5, 120, 0, a.encode()), (5, 90, 0, b.encode()), (None, 120, 0, a.encode()), (7, 210, 210, b"")], key=str)
 
 
+def test_each_bucket_has_a_partition(spark):
+    for n in (1, 8, 71):
+        marks = suffix_dedup.partition_marks(n).tolist()
+        df = spark.createDataFrame([(m,) for m in marks], "to int").repartition(n, "to")
+        assert [r.p for r in df.select("to", secret_scan.F.spark_partition_id().alias("p")).orderBy("p").collect()] == list(range(n))
+
+
 def test_suffix_dedup_empty(nothing):
     assert suffix_dedup.dedup_suffixes(nothing).count() == 0
 
