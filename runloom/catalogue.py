@@ -7,13 +7,14 @@ so those queries read `benchmark`, `events` or `nation`. Queries over
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runloom.operators import checks, edits, factors, points, search
-from runloom.plans import huge
+from runloom.plans import huge, stored
 from runloom.plans import relations as R
 from runloom.sources import readers
 from runloom.sources.shared import shared_folder
@@ -239,6 +240,13 @@ def pred_run_of_char(spark, sf_dir):
     return points.previous_run_of(_rows(spark, sf_dir), 101)
 
 
+@_add("pred_runs", _sql(f" SELECT a.doc_id, a.run_id, c.ch, max(b.run_id) AS pred_run FROM runs a CROSS JOIN (SELECT unnest({list(PROBES)})::INTEGER AS ch) c LEFT JOIN runs b ON b.doc_id = a.doc_id AND b.run_id < a.run_id AND b.ch = c.ch GROUP BY ALL", _RUNS))
+def pred_runs(spark, sf_dir):
+    """The previous run of each probe symbol for every run."""
+    rows = _rows(spark, sf_dir)
+    return points.previous_runs(rows, R.runs(rows).select("doc_id", _explode(*PROBES, kind="int").alias("ch"), "run_id"))
+
+
 _NEXT = " SELECT doc_id, txt_pos, lead(txt_pos) OVER (PARTITION BY doc_id ORDER BY bwt_pos) AS next_txt FROM bwt"
 
 
@@ -449,7 +457,16 @@ def run_split(spark, sf_dir):
     return edits.split_run(runs, _middle(runs).withColumn("val2", F.lit(2000).cast("bigint")))
 
 
-@_add("run_change_weight", _sql(" SELECT doc_id, run_id, ch, run_len + CASE WHEN run_id = 1 THEN 4 WHEN run_id = 2 THEN -1 ELSE 0 END AS weight, head_txt AS val FROM runs", _RUNS))
+@_add(
+    "run_change_weight",
+    _sql(
+        """, w AS (SELECT doc_id, run_id, ch, run_len + CASE WHEN run_id = 1 THEN 4 WHEN run_id = 2 THEN -1 ELSE 0 END AS weight, head_txt AS val FROM runs),
+kept AS (SELECT *, CASE WHEN ch = lag(ch) OVER o AND run_id > lag(run_id) OVER o + 1 THEN 0 ELSE 1 END AS new FROM w WHERE weight > 0 WINDOW o AS (PARTITION BY doc_id ORDER BY run_id)),
+g AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY run_id) - 1 AS grp FROM kept)
+SELECT doc_id, grp::BIGINT AS run_id, min(ch) AS ch, sum(weight)::BIGINT AS weight, arg_min(val, run_id) AS val FROM g GROUP BY doc_id, grp""",
+        _RUNS,
+    ),
+)
 def run_change_weight(spark, sf_dir):
     runs = _valued(spark, sf_dir)
     change = runs.select("doc_id").distinct().select("doc_id", F.explode(F.array(*[F.struct(F.lit(r).cast("bigint").alias("run_id"), F.lit(d).cast("bigint").alias("delta")) for r, d in ((1, 4), (2, -1))])).alias("c")).select("doc_id", "c.*")
@@ -477,7 +494,7 @@ src AS (SELECT user_id AS doc_id, string_agg(printf('%02X', code), '' ORDER BY t
 @_add("event_symbol_bwt", _sql(" SELECT doc_id, bwt_pos, txt_pos, ch FROM bwt", source=_EVENTS))
 def event_symbol_bwt(spark, sf_dir):
     """Event types of each user, coded in the order of their names, as symbols in order of time."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_type is not null")  # no symbol
     names = events.agg(F.array_sort(F.collect_set("event_type")).alias("names"))  # one row: the alphabet
     coded = events.join(F.broadcast(names)).withColumn("code", F.array_position("names", F.col("event_type")))
     return R.bwt(readers.symbol_sequences(coded, "user_id", ["ts", "event_id"], F.col("code")), "symbols")
@@ -485,17 +502,32 @@ def event_symbol_bwt(spark, sf_dir):
 
 # ---- whole documents
 
+_DOC_TEXT = "SELECT doc_id, coalesce(text, '') AS t, hex(encode(coalesce(text, ''))) AS h FROM documents"
+_DOC_CODES = f"SELECT doc_id, unnest(list_transform(range(0, length(h) // 2), lambda i: substr(h, 2 * i + 1, 2))) AS c FROM ({_DOC_TEXT})"
+
 
 @_add("documents_stats")
 def documents_stats(spark, sf_dir):
     return R.text_stats(_documents(spark, sf_dir))
 
 
+@_add("documents_alphabet", f"SELECT d.doc_id, octet_length(encode(coalesce(text, '')))::BIGINT AS n, coalesce(sigma, 0)::BIGINT AS sigma FROM documents d LEFT JOIN (SELECT doc_id, count(DISTINCT c) AS sigma FROM ({_DOC_CODES}) GROUP BY doc_id) USING (doc_id)")
+def documents_alphabet(spark, sf_dir):
+    """Lengths and alphabets by the transforms of whole documents."""
+    return R.text_stats(_documents(spark, sf_dir)).select("doc_id", "n", "sigma")
+
+
 @_add("documents_runs")
 def documents_runs(spark, sf_dir):
     return R.text_runs(_documents(spark, sf_dir))
 
 
+@_add("documents_run_symbols", f"SELECT doc_id, ('0x' || c)::INTEGER AS ch, count(*)::BIGINT AS occ FROM ({_DOC_CODES}) GROUP BY doc_id, c")
+def documents_run_symbols(spark, sf_dir):
+    """How often each symbol occurs, summed from the runs."""
+    return R.text_runs(_documents(spark, sf_dir)).groupBy("doc_id", "ch").agg(F.sum("run_len").alias("occ"))
+
+
 @_add("documents_next_position_map")
 def documents_next_position_map(spark, sf_dir):
     return R.text_next_position_map(_documents(spark, sf_dir))
@@ -508,8 +540,7 @@ def documents_rows(spark, sf_dir):
 
 @_add("documents_roundtrip", _SAME.format(id="doc_id", table="documents"))
 def documents_roundtrip(spark, sf_dir):
-    docs = _documents(spark, sf_dir)
-    return checks.roundtrip(docs, checks.invert(R.bwt(docs)))
+    return stored.check_inversion(_documents(spark, sf_dir))
 
 
 @_add("documents_lz77_summary")
@@ -517,12 +548,50 @@ def documents_lz77_summary(spark, sf_dir):
     return factors.summary(factors.factorise(_documents(spark, sf_dir)))
 
 
+@_add("documents_lz77_lengths", "SELECT doc_id, octet_length(encode(text))::BIGINT AS n FROM documents WHERE coalesce(text, '') <> ''")
+def documents_lz77_lengths(spark, sf_dir):
+    """Text lengths by the factors."""
+    return factors.summary(factors.factorise(_documents(spark, sf_dir))).select("doc_id", "n")
+
+
 @_add("documents_lz77_roundtrip", _SAME.format(id="doc_id", table="documents"))
 def documents_lz77_roundtrip(spark, sf_dir):
     docs = _documents(spark, sf_dir)
     return checks.roundtrip(docs, factors.decode(factors.factorise(docs)))
 
 
+#: None of them overlaps itself, so splitting by them finds all occurrences.
+_DOC_PATTERNS = ["on the", "the ", ". ", "ç", "zq", "That the"]
+_DOC_HITS = f"WITH pat(pat_id, p) AS (VALUES {', '.join(f"({i}, '{p}')" for i, p in enumerate(_DOC_PATTERNS))})"
+_DOC_HITS += f", parts AS (SELECT doc_id, pat_id::BIGINT AS pat_id, octet_length(encode(p)) AS plen, string_split(t, p) AS ps FROM ({_DOC_TEXT}), pat)"
+_DOC_HITS += ", placed AS (SELECT doc_id, pat_id, plen, k, n, sum(octet_length(encode(piece))) OVER (PARTITION BY doc_id, pat_id ORDER BY k) AS upto FROM (SELECT doc_id, pat_id, plen, unnest(ps) AS piece, generate_subscripts(ps, 1) AS k, len(ps) AS n FROM parts))"
+
+
+def _stored_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The run index of all documents, written and read again."""
+    path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    stored.build(_documents(spark, sf_dir)).write.parquet(path)
+    return spark.read.schema(stored.INDEX).parquet(path)
+
+
+@_add("documents_index_count", f"{_DOC_HITS} SELECT doc_id, pat_id, (len(ps) - 1)::BIGINT AS n_occ FROM parts")
+def documents_index_count(spark, sf_dir):
+    """Pattern counts on whole documents, answered from the stored runs."""
+    return stored.count(_stored_index(spark, sf_dir), [p.encode() for p in _DOC_PATTERNS])
+
+
+@_add("documents_locate", f"{_DOC_HITS} SELECT doc_id, pat_id, (upto + (k - 1) * plen)::BIGINT AS beg FROM placed WHERE k < n")
+def documents_locate(spark, sf_dir):
+    """Every occurrence on whole documents, from the stored runs and next-position map."""
+    return stored.locate(_stored_index(spark, sf_dir), [p.encode() for p in _DOC_PATTERNS]).drop("bwt_pos")
+
+
+@_add("documents_index_sizes")
+def documents_index_sizes(spark, sf_dir):
+    """Bytes of each part of the stored index."""
+    return stored.sizes(_stored_index(spark, sf_dir))
+
+
 @_add("documents_pattern_count", "SELECT doc_id, pat_id, ((length(t) - length(replace(t, p, ''))) // length(p))::BIGINT AS n_occ FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents), (VALUES (0::BIGINT, 'th'), (1, 'the '), (2, 'e'), (3, 'ç'), (4, '. '), (5, 'on the')) v(pat_id, p)")
 def documents_pattern_count(spark, sf_dir):
     return search.scan_counts(_documents(spark, sf_dir), [b"th", b"the ", b"e", "ç".encode(), b". ", b"on the"])
@@ -536,19 +605,57 @@ def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return appends.pieces_of(spark, path, spark.read.parquet(path).schema, "conv_id", "turn", "text")
 
 
+_GROWN = "src AS (SELECT conv_id AS doc_id, string_agg(hex(encode(coalesce(text, ''))), '' ORDER BY turn) AS h FROM conversations GROUP BY conv_id)"
+
+
 @_add("stream_append", "SELECT conv_id AS doc_id, sum(octet_length(encode(coalesce(text, ''))))::BIGINT AS n FROM conversations GROUP BY conv_id")
 def stream_append(spark, sf_dir):
     """Length of each conversation's index after the stream's last batch for it."""
     rows = appends.drained(appends.grow_index(_pieces(spark, sf_dir)), "update", shared_folder(spark))
-    return rows.groupBy("doc_id").agg(F.max_by("n", "batch").alias("n"))
+    return appends.latest(rows, ["doc_id"]).select("doc_id", "n")
 
 
-@_add("stream_sizes")
+@_add("stream_sizes", _sql(" SELECT em.doc_id, em.n, coalesce(r, 0)::BIGINT AS r, coalesce(sigma, 0)::BIGINT AS sigma FROM em LEFT JOIN (SELECT doc_id, count(*) AS r, count(DISTINCT ch) AS sigma FROM runs GROUP BY doc_id) USING (doc_id)", _RUNS, source=_GROWN))
 def stream_sizes(spark, sf_dir):
     rows = appends.drained(appends.grow_index(_pieces(spark, sf_dir)), "update", shared_folder(spark))
-    return rows.groupBy("doc_id").agg(F.max_by(F.struct("n", "r", "sigma"), "batch").alias("x")).select("doc_id", "x.*")
+    return appends.latest(rows, ["doc_id"]).select("doc_id", "n", "r", "sigma")
 
 
 @_add("stream_lz")
 def stream_lz(spark, sf_dir):
-    return appends.drained(appends.grow_factors(_pieces(spark, sf_dir)), "append", shared_folder(spark)).drop("batch")
+    """All factors of every conversation, the last one included. The SQL for factors is cubic, too slow here; a test holds them against the batch form."""
+    return appends.complete_factors(appends.drained(appends.grow_factors(_pieces(spark, sf_dir)), "append", shared_folder(spark)))
+
+
+@_add("stream_lz_decode", "SELECT conv_id AS doc_id, string_agg(coalesce(text, ''), '' ORDER BY turn) AS text FROM conversations GROUP BY conv_id HAVING sum(length(coalesce(text, ''))) > 0")
+def stream_lz_decode(spark, sf_dir):
+    """The conversations again, from the factors of the stream."""
+    return factors.decode(stream_lz(spark, sf_dir)).select("doc_id", F.decode("text", "UTF-8").alias("text"))
+
+
+_STREAM_PATTERNS = (b"th", b"the ", b". ", b"on the", b"zzz")
+_GROWN_HITS = f"WITH {_GROWN}, pat(pat_id, p) AS (VALUES {', '.join(f"({i}, '{p.hex().upper()}')" for i, p in enumerate(_STREAM_PATTERNS))}), hits AS (SELECT doc_id, pat_id::BIGINT AS pat_id, list_filter(range(0, greatest(length(h) // 2 - length(p) // 2 + 1, 0)), lambda i: substr(h, 2 * i + 1, length(p)) = p) AS begs FROM src, pat)"
+
+
+def _stream_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = appends.drained(appends.grow_answers(_pieces(spark, sf_dir), _STREAM_PATTERNS), "update", shared_folder(spark))
+    return appends.latest(rows, ["doc_id", "pat_id"])
+
+
+@_add("stream_count", f"{_GROWN_HITS} SELECT doc_id, pat_id, len(begs)::BIGINT AS n_occ FROM hits")
+def stream_count(spark, sf_dir):
+    """Pattern counts answered from the state of each conversation's index as it has grown."""
+    return _stream_answers(spark, sf_dir).select("doc_id", "pat_id", "n_occ")
+
+
+@_add("stream_locate", f"{_GROWN_HITS} SELECT doc_id, pat_id, unnest(begs)::BIGINT AS beg FROM hits")
+def stream_locate(spark, sf_dir):
+    return _stream_answers(spark, sf_dir).select("doc_id", "pat_id", F.explode("begs").alias("beg"))
+
+
+@_add("stream_progress")
+def stream_progress(spark, sf_dir):
+    """A row for each batch: rows read, rate, rows and bytes of state, time taken."""
+    progress: list[tuple] = []
+    appends.drained(appends.grow_index(_pieces(spark, sf_dir)), "update", shared_folder(spark), progress=progress)
+    return spark.createDataFrame(progress, appends.PROGRESS)

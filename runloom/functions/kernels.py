@@ -41,20 +41,26 @@ def prefix_order(symbols: np.ndarray) -> np.ndarray:
         step *= 2
 
 
-def backward_interval(symbols: np.ndarray, order: np.ndarray, pattern: np.ndarray) -> tuple[int, int, int]:
-    """(l, r, matched): rows whose prefix ends with the longest matching start of the pattern, and its length."""
-    n = len(symbols)
-    follow = np.append(symbols.astype(np.int64), -1)[order]
-    below = np.sort(symbols)
-    left, right, matched = 0, n + 1, 0
-    for c in pattern:
-        first = int(np.searchsorted(below, c, "left"))
-        at = follow[:right] == c
-        upto_left, upto_right = int(np.count_nonzero(at[:left])), int(np.count_nonzero(at))
-        if upto_left == upto_right:
-            break
-        left, right, matched = 1 + first + upto_left, 1 + first + upto_right, matched + 1
-    return left, right, matched
+class Intervals:
+    """Interval steps on one text's rows: each symbol's rows are kept sorted, so a step is two bisections."""
+
+    def __init__(self, symbols: np.ndarray, order: np.ndarray):
+        self.follow = np.append(symbols.astype(np.int64), -1)[order]
+        self.below = np.sort(symbols)
+        self.rows: dict[int, np.ndarray] = {}
+
+    def find(self, pattern: np.ndarray) -> tuple[int, int, int]:
+        """(l, r, matched): rows whose prefix ends with the longest matching start of the pattern, and its length."""
+        left, right, matched = 0, len(self.follow), 0
+        for c in pattern.tolist():
+            if c not in self.rows:
+                self.rows[c] = np.flatnonzero(self.follow == c)
+            upto_left, upto_right = np.searchsorted(self.rows[c], (left, right)).tolist()
+            if upto_left == upto_right:
+                break
+            first = int(np.searchsorted(self.below, c, "left"))
+            left, right, matched = 1 + first + upto_left, 1 + first + upto_right, matched + 1
+        return left, right, matched
 
 
 def invert(follow: np.ndarray, marker_row: int) -> np.ndarray:
@@ -127,6 +133,13 @@ def factorise(text: bytes) -> list[tuple[int, int, int]]:
     return out
 
 
+def copied_end(text: bytes, start: int, order: np.ndarray) -> bool:
+    """Whether text[start:] also ends before the text does, order being the text's prefix order."""
+    rows = Intervals(np.frombuffer(text, np.uint8), order)
+    left, right, matched = rows.find(np.frombuffer(text[start:], np.uint8))
+    return matched == len(text) - start and right - left > 1
+
+
 def _first_source(text: bytes, ends: list[int], row: int, s: int, length: int) -> int:
     part, found, i = text[s : s + length], -1, row - 1
     while i >= 0 and ends[i] >= length and text[ends[i] - length : ends[i]] == part:

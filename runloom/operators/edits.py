@@ -19,6 +19,12 @@ def _numbered(parts: DataFrame) -> DataFrame:
     return parts.select("doc_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy("run_id", "part")) - 1).cast("bigint").alias("run_id"), "ch", "weight", "val")
 
 
+def _fresh(runs: DataFrame, edits: DataFrame) -> DataFrame:
+    """(doc_id, run_id, part, ch, weight, val): the runs that edits at place 0 make of strings without runs."""
+    empty = edits.join(runs.select("doc_id").distinct(), "doc_id", "left_anti").where("pos = 0")
+    return empty.select("doc_id", F.lit(0).cast("bigint").alias("run_id"), F.lit(0).alias("part"), F.col("new_ch").cast("int").alias("ch"), F.col("new_weight").cast("bigint").alias("weight"), F.col("val1").cast("bigint").alias("val"))
+
+
 def _part(number: int, ch, weight, val) -> F.Column:
     return F.struct(F.lit(number).alias("part"), ch.cast("int").alias("ch"), weight.cast("bigint").alias("weight"), val.cast("bigint").alias("val"))
 
@@ -29,7 +35,8 @@ def insert_run(runs: DataFrame, edits: DataFrame) -> DataFrame:
     Inside or at the head of a run of the same symbol it joins that run; at a
     head whose previous run has the symbol it joins that one; at another head
     it is a run of its own; inside another run it splits it, and the tail gets
-    val2. pos equal to the length appends. Joined runs keep their value.
+    val2. pos equal to the length appends. Joined runs keep their value. A
+    string without runs is empty: place 0 makes its first run.
     """
     order = Window.partitionBy("doc_id").orderBy("run_id")
     beside = {"prev_ch": F.lag("ch").over(order), "next_ch": F.lead("ch").over(order), "next_start": F.lead("start").over(order)}
@@ -55,7 +62,7 @@ def insert_run(runs: DataFrame, edits: DataFrame) -> DataFrame:
         .when(head, F.array(fresh(-1), whole))
         .otherwise(F.array(left, fresh(1), right))
     )
-    return _numbered(around.select("doc_id", "run_id", F.explode(parts).alias("p")).select("doc_id", "run_id", "p.*"))
+    return _numbered(around.select("doc_id", "run_id", F.explode(parts).alias("p")).select("doc_id", "run_id", "p.*").unionByName(_fresh(runs, edits)))
 
 
 def split_run(runs: DataFrame, edits: DataFrame) -> DataFrame:
@@ -69,9 +76,18 @@ def split_run(runs: DataFrame, edits: DataFrame) -> DataFrame:
 
 
 def change_weight(runs: DataFrame, edits: DataFrame) -> DataFrame:
-    """edits(doc_id, run_id, delta), delta of either sign."""
+    """edits(doc_id, run_id, delta), delta of either sign.
+
+    A run whose weight falls to 0 or less goes. Where the runs beside what has
+    gone have one symbol they become one, with the first one's value.
+    """
     joined = runs.join(edits, ["doc_id", "run_id"], "left")
-    return joined.select("doc_id", "run_id", "ch", (F.col("weight") + F.coalesce("delta", F.lit(0))).alias("weight"), "val")
+    left = joined.select("doc_id", "run_id", "ch", (F.col("weight") + F.coalesce("delta", F.lit(0))).alias("weight"), "val").where("weight > 0")
+    order = Window.partitionBy("doc_id").orderBy("run_id")
+    joins = (F.col("ch") == F.lag("ch").over(order)) & (F.col("run_id") > F.lag("run_id").over(order) + 1)
+    marked = left.withColumn("new", F.when(joins, 0).otherwise(1))
+    grouped = marked.withColumn("g", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("bigint")).groupBy("doc_id", "g")
+    return grouped.agg(F.min("ch").alias("ch"), F.sum("weight").alias("weight"), F.min_by("val", "run_id").alias("val")).select("doc_id", (F.col("g") - 1).alias("run_id"), "ch", "weight", "val")
 
 
 def set_value(runs: DataFrame, edits: DataFrame) -> DataFrame:
@@ -83,7 +99,7 @@ def set_value(runs: DataFrame, edits: DataFrame) -> DataFrame:
 def push_back(runs: DataFrame, edits: DataFrame) -> DataFrame:
     """edits(doc_id, new_ch, new_weight, val1): joins the last run if that has the symbol, else appends one."""
     total = runs.groupBy("doc_id").agg(F.sum("weight").alias("pos"))
-    placed = edits.join(total, "doc_id").withColumn("val2", F.lit(None).cast("bigint"))
+    placed = edits.join(total, "doc_id", "left").withColumn("pos", F.coalesce("pos", F.lit(0))).withColumn("val2", F.lit(None).cast("bigint"))
     return insert_run(runs, placed)
 
 

@@ -50,10 +50,11 @@ def select_total(rows: DataFrame, questions: DataFrame) -> DataFrame:
 
 
 def run_at(rows: DataFrame, questions: DataFrame) -> DataFrame:
-    """questions(doc_id, rle_pos) with run_id and offset of the run that holds the place."""
-    starts = R.runs(rows).select("doc_id", F.col("rle_start").alias("rle_pos"), "run_id", "rle_start")
-    found = asof(questions, starts, ["doc_id"], "rle_pos", ["run_id", "rle_start"])
-    return found.withColumn("offset", F.col("rle_pos") - F.col("rle_start")).drop("rle_start")
+    """questions(doc_id, rle_pos) with run_id and offset of the run that holds the place, null past the end."""
+    starts = R.runs(rows).select("doc_id", F.col("rle_start").alias("rle_pos"), "run_id", "rle_start", "run_len")
+    found = asof(questions, starts, ["doc_id"], "rle_pos", ["run_id", "rle_start", "run_len"])
+    inside = F.col("rle_pos") < F.col("rle_start") + F.col("run_len")
+    return found.select(*questions.columns, F.when(inside, F.col("run_id")).alias("run_id"), F.when(inside, F.col("rle_pos") - F.col("rle_start")).alias("offset"))
 
 
 def run_of_rank(rows: DataFrame, questions: DataFrame) -> DataFrame:
@@ -84,6 +85,12 @@ def previous_run_of(rows: DataFrame, symbol: int) -> DataFrame:
     return R.runs(rows).select("doc_id", "run_id", F.last(F.when(F.col("ch") == symbol, F.col("run_id")), ignorenulls=True).over(before).alias("pred_run"))
 
 
+def previous_runs(rows: DataFrame, questions: DataFrame) -> DataFrame:
+    """questions(doc_id, ch, run_id) with pred_run: the last run of ch strictly before run_id, null if there is none."""
+    found = R.runs(rows).select("doc_id", "ch", "run_id", F.col("run_id").alias("pred_run"))
+    return asof(questions, found, ["doc_id", "ch"], "run_id", ["pred_run"], strict=True)
+
+
 def run_neighbours(rows: DataFrame) -> DataFrame:
     """(doc_id, run_id, run_no_in_ch, prev_run, next_run, prev_same, next_same): neighbours in text order and among runs of one symbol."""
     same = Window.partitionBy("doc_id", "ch").orderBy("run_id")

@@ -34,9 +34,9 @@ def intervals(docs: DataFrame, patterns: DataFrame) -> DataFrame:
             out = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 symbols = np.frombuffer(text.as_py(), np.uint8)
-                order = kernels.prefix_order(symbols)
+                rows_of = kernels.Intervals(symbols, kernels.prefix_order(symbols))
                 for pat, pattern in wanted:
-                    left, right, matched = kernels.backward_interval(symbols, order, np.frombuffer(pattern, np.uint8))
+                    left, right, matched = rows_of.find(np.frombuffer(pattern, np.uint8))
                     whole = matched == len(pattern)
                     out.append((doc, pat, len(pattern), matched, left if whole else None, right if whole else None, right - left if whole else 0))
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64())

@@ -11,16 +11,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from runloom.plans import relations as R
 from runloom.sources.shared import shared_folder
 
 _KEY = ["doc_id", "rank", "behind"]
 
 
+#: Bytes of a text that are one row before they become a row each.
+PIECE = 1 << 16
+
+
 def symbols(docs: DataFrame) -> DataFrame:
-    """(doc_id, txt_pos, ch): a row for each byte of (doc_id, text binary), and one with a null symbol for the end."""
-    places = docs.select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.octet_length("text"))).alias("txt_pos"))
-    byte = F.conv(F.hex(F.substring(F.col("text"), F.col("txt_pos") + 1, F.lit(1))), 16, 10).cast("int")
-    return places.select("doc_id", F.col("txt_pos").cast("bigint").alias("txt_pos"), F.when(F.col("txt_pos") < F.octet_length("text"), byte).alias("ch"))
+    """(doc_id, txt_pos, ch): a row for each byte of (doc_id, text binary), and one with a null symbol for the end.
+
+    A text is cut into pieces, which are dealt to all tasks before their bytes
+    become rows.
+    """
+    begs = F.explode(F.sequence(F.lit(0), F.octet_length("text"), F.lit(PIECE))).alias("beg")
+    pieces = docs.select("doc_id", begs, "text").select("doc_id", "beg", F.octet_length("text").alias("n"), F.substring(F.col("text"), F.col("beg") + 1, F.lit(PIECE)).alias("piece"))
+    pieces = pieces.repartition("doc_id", "beg")
+    upto = F.least(F.lit(PIECE - 1), F.col("n") - F.col("beg"))  # the end's row is in the last piece
+    places = pieces.select("doc_id", "beg", "n", "piece", F.explode(F.sequence(F.lit(0), upto)).alias("at"))
+    byte = F.conv(F.hex(F.substring(F.col("piece"), F.col("at") + 1, F.lit(1))), 16, 10).cast("int")
+    return places.select("doc_id", (F.col("beg") + F.col("at")).cast("bigint").alias("txt_pos"), F.when(F.col("beg") + F.col("at") < F.col("n"), byte).alias("ch"))
+
+
+def routed(docs: DataFrame, most_bytes: int = 64 << 20, parts: int = 8) -> DataFrame:
+    """Transform rows of all texts: those of most_bytes or less by one task each, longer ones by prefix doubling."""
+    small, large = docs.where(F.octet_length("text") <= most_bytes), docs.where(F.octet_length("text") > most_bytes)
+    rows = R.bwt(small)
+    return rows if large.isEmpty() else rows.unionByName(bwt(symbols(large), parts))
 
 
 def running_start(keys: DataFrame, order: list[str], parts: int) -> DataFrame:
@@ -31,11 +51,11 @@ def running_start(keys: DataFrame, order: list[str], parts: int) -> DataFrame:
     sums = {r["_p"]: r.s for r in placed.groupBy("_p").agg(F.sum("n").alias("s")).collect()}  # a row for each partition
     total, starts = 0, []
     for p in range(max(sums, default=-1) + 1):
-        starts.append(total)
+        starts.append((p, total))
         total += sums.get(p, 0)
-    first = F.element_at(F.array(*[F.lit(s).cast("bigint") for s in starts or [0]]), F.col("_p") + 1)
+    first = F.broadcast(keys.sparkSession.createDataFrame(starts, "_p int, _first bigint"))
     before = Window.partitionBy("_p").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
-    return placed.withColumn("start", first + F.coalesce(F.sum("n").over(before), F.lit(0))).drop("_at", "_p")
+    return placed.join(first, "_p").withColumn("start", F.col("_first") + F.coalesce(F.sum("n").over(before), F.lit(0))).drop("_at", "_p", "_first")
 
 
 def bwt(chars: DataFrame, parts: int = 8, max_rounds: int = 40) -> DataFrame:

@@ -11,6 +11,8 @@ def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir; a folder of our own only where it is unset."""
     found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: driver and executors need a folder that they share")
         found = tempfile.mkdtemp(prefix="runloom-")
         spark.sparkContext.setCheckpointDir(found)
     return found

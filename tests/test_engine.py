@@ -1,5 +1,6 @@
 """The engine on golden strings, random strings and awkward bytes, against direct definitions."""
 
+import os
 import random
 
 import numpy as np
@@ -8,10 +9,11 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from runloom.functions import kernels
+from runloom.functions import growing, kernels
+from runloom.functions.runindex import RunIndex
 from runloom.operators import checks, edits, factors, points, search
 from runloom.operators.asof import asof
-from runloom.plans import huge
+from runloom.plans import huge, stored
 from runloom.plans import relations as R
 from runloom.sources import readers
 from runloom.streaming import appends
@@ -158,7 +160,7 @@ def test_kernels_against_definitions(text):
         assert (length, ch) == ((full, text[s + full]) if s + full < len(text) else (full - 1, text[-1]))
         s += length + 1
     for pattern in (text[2:5], text[:1] + b"q", text[-3:]):
-        left, right, matched = kernels.backward_interval(symbols, order, np.frombuffer(pattern, np.uint8))
+        left, right, matched = kernels.Intervals(symbols, order).find(np.frombuffer(pattern, np.uint8))
         assert matched == max(m for m in range(len(pattern) + 1) if pattern[:m] in text)
         assert [i for i, k in enumerate(order) if text[:k].endswith(pattern[:matched])] == list(range(left, right))
 
@@ -251,9 +253,88 @@ def test_streams_equal_batch(spark, tmp_path):
     sizes = appends.drained(appends.grow_index(source()), "update", str(tmp_path))
     last = sizes.groupBy("doc_id").agg(F.max_by(F.struct("n", "r", "sigma"), "batch").alias("x")).select("doc_id", "x.*")
     assert sorted(map(tuple, last.collect())) == sorted(map(tuple, R.stats(R.bwt(docs)).select("doc_id", "n", "r", "sigma").collect()))
-    found = by_doc(appends.drained(appends.grow_factors(source()), "append", str(tmp_path)).orderBy("factor_no"), "beg", "len", "ch")
-    for d, parts in by_doc(factors.factorise(docs).orderBy("factor_no"), "beg", "len", "ch").items():
-        assert found.get(d, []) == parts[:-1]
+    assert {r.waiting for r in appends.latest(sizes, ["doc_id"]).collect()} == {0}
+    found = by_doc(appends.complete_factors(appends.drained(appends.grow_factors(source()), "append", str(tmp_path))).orderBy("factor_no"), "factor_no", "beg", "len", "ch")
+    assert found == by_doc(factors.factorise(docs).orderBy("factor_no"), "factor_no", "beg", "len", "ch")
+    patterns = [b"a", b"ab", b"bra", b"q", b""]
+    answers = appends.latest(appends.drained(appends.grow_answers(source(), patterns), "update", str(tmp_path)), ["doc_id", "pat_id"])
+    for r in answers.collect():
+        text, p = "".join(whole[r.doc_id]).encode(), patterns[r.pat_id]
+        assert r.begs == [k - len(p) for k in prefixes(text) if k >= len(p) and text[k - len(p) : k] == p] and r.n_occ == len(r.begs)
+
+
+def test_stream_reset_waiting_and_progress(spark, tmp_path):
+    batches = [[(1, 0, "abra"), (2, 0, "xy"), (3, 1, "late")], [(1, 1, "cadabra"), (2, -1, None), (2, 0, "banana")], [(1, 1, "again"), (3, 2, None)]]
+    for b, rows in enumerate(batches):
+        spark.createDataFrame(rows, "c long, s long, t string").coalesce(1).write.parquet(str(tmp_path / f"in{b}"))
+        for f in (tmp_path / f"in{b}").glob("*.parquet"):
+            (tmp_path / "all").mkdir(exist_ok=True)
+            f.rename(tmp_path / "all" / f"{b}-{f.name}")
+            os.utime(tmp_path / "all" / f"{b}-{f.name}", (1_000_000 + b, 1_000_000 + b))
+    schema, progress = spark.read.parquet(str(tmp_path / "all")).schema, []
+    pieces = appends.pieces_of(spark, str(tmp_path / "all"), schema, "c", "s", "t")
+    rows = appends.drained(appends.grow_index(pieces), "update", str(tmp_path), progress=progress)
+    last = {r.doc_id: (r.n, r.r, r.waiting) for r in appends.latest(rows, ["doc_id"]).collect()}
+    assert last == {1: (11, 7, 0), 2: (6, 3, 0), 3: (0, 0, 2)}  # text 3 waits for its first piece; a piece again is ignored
+    assert [p[1] for p in progress if p[1]] == [3, 3, 2] and progress[-1][3] == 3
+
+
+@given(st.binary(max_size=60), st.integers(0, 60), st.integers(0, 60), st.sampled_from([0, 1 / 16, 1e9]))
+@settings(max_examples=150, deadline=None)
+def test_growing_equals_batch(text, first, second, share):
+    text = bytes(b % 3 for b in text)
+    growing.SHARE, before = share, growing.SHARE
+    try:
+        index, found = growing.Growing(), []
+        for piece in (text[: min(first, second)], text[min(first, second) : max(first, second)], text[max(first, second) :]):
+            found += index.extend(piece)
+    finally:
+        growing.SHARE = before
+    assert list(index.places) == prefixes(text)
+    last = index.open_factor()
+    assert [f[1:] for f in found] + ([last[1:]] if last else []) == kernels.factorise(text)
+    assert growing.Growing.unpacked(*index.packed()) == index
+
+
+@given(st.binary(max_size=80), st.binary(max_size=3))
+@settings(max_examples=200, deadline=None)
+def test_run_index_equals_rows(text, pattern):
+    text, pattern = bytes(b % 3 for b in text), bytes(b % 4 for b in pattern)
+    index = RunIndex.unpacked(*RunIndex.of(np.frombuffer(text, np.uint8)).packed())
+    left, right, txt = index.find(pattern)
+    want = [(i, k) for i, k in enumerate(prefixes(text)) if k >= len(pattern) and text[k - len(pattern) : k] == pattern]
+    assert list(zip(range(left, right), index.places(left, right, txt).tolist(), strict=True)) == want
+
+
+def test_stored_index_and_inversion(spark, docs, bwt):
+    index = stored.build(docs)
+    got = {(r.doc_id, r.pat_id): r.n_occ for r in stored.count(index, PATTERNS).collect()}
+    places = by_doc(stored.locate(index, PATTERNS).orderBy("pat_id", "bwt_pos"), "pat_id", "bwt_pos", "beg")
+    for i, text in enumerate([*GOLDEN, *MORE]):
+        want = [(j, row, k - len(p)) for j, p in enumerate(PATTERNS) for row, k in enumerate(prefixes(text)) if k >= len(p) and text[k - len(p) : k] == p]
+        assert places.get(i, []) == want
+        assert all(got[i, j] == sum(w[0] == j for w in want) for j in range(len(PATTERNS)))
+    assert all(r.same for r in stored.check_inversion(docs).collect())
+    assert {r.doc_id: r.r for r in stored.sizes(index).collect()} == {r.doc_id: r.r for r in R.stats(bwt).collect()}
+    long = huge.routed(docs, most_bytes=6)
+    assert sorted(map(str, long.collect())) == sorted(map(str, bwt.collect()))
+
+
+def test_edits_of_empty_strings_and_emptied_runs(spark):
+    runs = spark.createDataFrame([(1, 0, 5, 2, 10), (1, 1, 6, 1, 11), (1, 2, 5, 3, 12), (1, 3, 7, 1, 13)], "doc_id bigint, run_id bigint, ch int, weight bigint, val bigint")
+    new = spark.createDataFrame([(1, 0, 9, 1, 1, 2), (2, 0, 9, 4, 1, 2), (3, 5, 9, 4, 1, 2)], "doc_id bigint, pos bigint, new_ch int, new_weight bigint, val1 bigint, val2 bigint")
+    got = by_doc(edits.insert_run(runs, new).orderBy("run_id"), "run_id", "ch", "weight", "val")
+    assert got == {1: [(0, 9, 1, 1), (1, 5, 2, 10), (2, 6, 1, 11), (3, 5, 3, 12), (4, 7, 1, 13)], 2: [(0, 9, 4, 1)]}
+    assert by_doc(edits.push_back(runs.where("doc_id = 9"), new.where("doc_id = 3").drop("pos", "val2")), "ch", "weight", "val") == {3: [(9, 4, 1)]}
+    gone = edits.change_weight(runs, spark.createDataFrame([(1, 1, -1), (1, 3, -5)], "doc_id bigint, run_id bigint, delta bigint"))
+    assert by_doc(gone, "run_id", "ch", "weight", "val") == {1: [(0, 5, 5, 10)]}
+
+
+def test_places_past_the_end_and_previous_runs(spark, bwt):
+    asked = spark.createDataFrame([(3, 0), (3, 5), (3, 6), (3, 99)], "doc_id bigint, rle_pos bigint")
+    assert {r.rle_pos: (r.run_id, r.offset) for r in points.run_at(bwt, asked).collect()} == {0: (0, 0), 5: (2, 2), 6: (None, None), 99: (None, None)}
+    asked = spark.createDataFrame([(5, ord("b"), 2), (5, ord("b"), 1), (5, ord("b"), 6), (5, ord("z"), 3)], "doc_id bigint, ch int, run_id bigint")
+    assert {(r.ch, r.run_id): r.pred_run for r in points.previous_runs(bwt, asked).collect()} == {(98, 2): 1, (98, 1): None, (98, 6): 3, (122, 3): None}
 
 
 def test_every_query_has_a_callable_and_sql_is_known(spark):
