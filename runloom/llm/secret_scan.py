@@ -131,7 +131,7 @@ ENCODINGS = {"hex": _HEX, "base32": _B32, "base36": _B36, "base64": _B64}
 
 
 def _joined_words(rng: random.Random, code: str, n: int) -> str:
-    """An ordinary identifier in the encoding's symbols, n of them."""
+    """An ordinary identifier in the encoding's symbols, n of them or more."""
     out = ""
     style = rng.randrange(5)
     while len(out) < n:
@@ -148,8 +148,7 @@ def _joined_words(rng: random.Random, code: str, n: int) -> str:
             out += number if rng.random() < 0.35 else ""
             if code == "base32":
                 out = out.translate({ord(a): b for a, b in zip("0189", "2345", strict=True)})
-    at = rng.randrange(len(out) - n + 1)
-    return out[at : at + n].translate({ord("-"): "+", ord("_"): "/"})
+    return out.translate({ord("-"): "+", ord("_"): "/"})
 
 
 TESTS = ("chi", "runs", "serial", "classes")
@@ -195,9 +194,11 @@ def discriminants(seed: int = 3) -> dict[tuple[str, int], tuple[float, ...]]:
     rng, draw = random.Random(seed), np.random.default_rng(seed)
     out = {}
     for code, alphabet in ENCODINGS.items():
+        number = np.zeros(128, np.int64)
+        number[np.frombuffer(alphabet.encode(), np.uint8)] = np.arange(len(alphabet))
+        long = [number[np.frombuffer(_joined_words(rng, code, NODES[-1] + 32).encode(), np.uint8)] for _ in range(SIMULATED)]
         for n in NODES:
-            number = {c: i for i, c in enumerate(alphabet)}
-            ordinary = np.array([[number[c] for c in _joined_words(rng, code, n)] for _ in range(SIMULATED)])
+            ordinary = np.array([x[at : at + n] for x in long for at in [rng.randrange(len(x) - n + 1)]])
             x = np.clip(deviates(ordinary, alphabet), -LIMIT, LIMIT)
             y = np.clip(deviates(draw.integers(0, len(alphabet), (SIMULATED, n)), alphabet), -LIMIT, LIMIT)
             w = np.linalg.solve(np.cov(x.T) + np.cov(y.T), y.mean(axis=0) - x.mean(axis=0))
@@ -386,15 +387,23 @@ def _marked(text: Column, spans: Column, mark: str) -> Column:
     return F.concat(F.array_join(F.transform(begun, pieces), ""), F.substring(text, last + 1, F.length(text)))
 
 
-def redact_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[secret]") -> DataFrame:
-    """The documents with every span, or run of overlapping spans, of their text replaced by the mark."""
+def redact_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[secret]", length_col: str | None = None) -> DataFrame:
+    """The documents with every span, or run of overlapping spans, of their text replaced by the mark.
+
+    length_col: a column that holds the text's length in characters and follows it where it changes.
+    """
     limit = corpus_limits(docs, text_col)
     columns = docs.columns
     rows = docs.select(F.struct(*columns).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     found = with_findings(with_base(rows, "t"), limit)
     spans = F.array_sort(F.concat(*KINDS))
     text = F.when(F.size(spans) == 0, F.col(f"row.{text_col}")).otherwise(_let(spans, lambda s: _marked(F.col("t"), s, mark)))
-    return found.select(*[text.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in columns])
+    done = found.withColumn("done", text)
+    kept = {c: F.col(f"row.`{c}`") for c in columns} | {text_col: F.col("done")}
+    if length_col in kept:
+        kind = docs.schema[length_col].dataType
+        kept[length_col] = F.when(F.size(spans) == 0, kept[length_col]).otherwise(F.length("done").cast(kind))
+    return done.select(*[kept[c].alias(c) for c in columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
