@@ -92,17 +92,18 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of edges (a, b): rows (id, component), component the smallest id.
 
     Alternates large-star and small-star steps, so the number of rounds is
-    logarithmic in the diameter. Every round is groupings with map-side minima
-    and joins that adaptive execution can split, so a hub of any degree is
-    spread. Ids without an edge to another id are not returned.
+    logarithmic in the diameter. Every round is groupings with map-side minima,
+    which are stored, and joins of stored frames, which adaptive execution can
+    split, so a hub of any degree is spread. Ids without an edge to another id
+    are not returned.
     """
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     mark = None
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+        large = cut(both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        low = cut(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(low, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = cut(small.unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
