@@ -443,7 +443,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     found = stored(near_duplicates(docs, id_col, text_col, **options).select("id", "copy", "component"))
     rank = F.struct(F.col("id").isNull().alias("last"), "id", "copy")
-    first = found.groupBy("component").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1")
+    # stored, so that the join splits a component of very many rows
+    first = cut(found.groupBy("component").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1"))
     judged = found.join(first.drop("n"), "component").select("id", "copy", (rank == F.col("first")).alias("stays"))
     keys = judged.groupBy("id", "copy").agg(F.bool_or("stays").alias("stays"), F.count("*").alias("n")).where("not stays or n > 1")
     keys = cut(keys.select(F.col("id").alias("_id"), F.col("copy").alias("_copy"), F.col("stays").alias("_stays")))
