@@ -69,24 +69,39 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 def fingerprint(text: str | None, k: int, blocks: int = 1, split_ties: bool = False) -> list[int]:
-    """Signed 64-bit numbers; a bit is 1 if set in over half the shingles' digests.
+    """Signed 64-bit numbers; a bit is 1 if set in over half the shingles' digests."""
+    return _majority(shingle_digests(text, k), blocks, split_ties)
 
-    split_ties: where half of them have the bit, the smallest digest decides,
-    so that unrelated texts of few shingles differ in half their bits.
+
+def _majority(h: np.ndarray, blocks: int, split_ties: bool) -> list[int]:
+    """The fingerprint of rows of 8 big-endian bytes.
+
+    split_ties: where half of them have a bit, one of them decides, another for
+    each bit: unrelated texts of few shingles differ in half their bits, and a
+    further shingle changes few of them, whatever its digest.
     """
-    h, out = shingle_digests(text, k), []
-    first = int(h.view(">u8").argmin()) if split_ties and len(h) else None
-    for _ in range(blocks):
+    out = []
+    for block in range(blocks):
         ones = np.zeros(64, np.int64)
         for at in range(0, len(h), 1 << 16):
             ones += np.unpackbits(h[at : at + (1 << 16)], axis=1).sum(axis=0, dtype=np.int64)
-        if first is not None:
-            ones += (2 * ones == len(h)) & (np.unpackbits(h[first]) > 0)
-        out.append(int(np.packbits(2 * ones > len(h)).view(">i8")[0]))
-        h = _mixed(h) if len(out) < blocks else h
+        bits = 2 * ones > len(h)
+        following = _mixed(h) if split_ties or block + 1 < blocks else h
+        tied = np.flatnonzero(2 * ones == len(h)) if split_ties and len(h) else []
+        for b in tied:
+            first = _turned(following, int(b)).argmin()
+            bits[b] = h[first, b // 8] >> (7 - b % 8) & 1
+        out.append(int(np.packbits(bits).view(">i8")[0]))
+        h = following
     return out
 
 
+def _turned(h: np.ndarray, by: int) -> np.ndarray:
+    """The digests as numbers whose bits are rotated."""
+    x = h.view(">u8").astype(np.uint64).ravel()
+    return x << np.uint64(by) | x >> np.uint64(64 - by) if by else x
+
+
 def fingerprints(docs: DataFrame, k: int, blocks: int = 1, id_col: str = "doc_id", text_col: str = "text", split_ties: bool = False) -> DataFrame:
     """(id, copy, f0, f1, ...) of every row; copy is a hash of the text, -1 for a null text's."""
 
@@ -100,6 +115,32 @@ def fingerprints(docs: DataFrame, k: int, blocks: int = 1, id_col: str = "doc_id
     return spread(texts).mapInArrow(rows, "id bigint, copy bigint, " + ", ".join(f"f{i} bigint" for i in range(blocks)))
 
 
+def set_fingerprints(docs: DataFrame, k: int, blocks: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, copy, rep, f0, f1, ...) of every row, of the set of its shingles: rep is a hash of the set itself.
+
+    Repeats don't count, as they don't in the similarity: a shingle that stands
+    in a text often would otherwise decide the fingerprint by itself.
+    """
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for t in batch.column(1):
+                own = _shingle_set(t.as_py(), k)
+                rep = np.frombuffer(xxhash.xxh64_digest(own.tobytes(), SEED), ">i8")[0]
+                found.append((rep, *_majority(own, blocks, split_ties=True)))
+            columns = [pa.array([f[i] for f in found], pa.int64()) for i in range(blocks + 1)]
+            yield pa.record_batch([batch.column(0), batch.column(2), *columns], names=["id", "copy", "rep", *(f"f{i}" for i in range(blocks))])
+
+    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("t"), _copy(F.col(text_col)).alias("copy"))
+    return spread(texts).mapInArrow(rows, "id bigint, copy bigint, rep bigint, " + ", ".join(f"f{i} bigint" for i in range(blocks)))
+
+
+def _shingle_set(text: str | None, k: int) -> np.ndarray:
+    """The distinct digests in order, as rows of 8 big-endian bytes."""
+    return np.unique(shingle_digests(text, k).view(">u8")).view(np.uint8).reshape(-1, 8)
+
+
 def _copy(text: F.Column) -> F.Column:
     return F.when(text.isNull(), F.lit(-1).cast("bigint")).otherwise(F.xxhash64(text, F.octet_length(text)))
 
@@ -291,19 +332,15 @@ def _distinct(prints: DataFrame, blocks: int) -> DataFrame:
     return cut(prints.groupBy(*names).agg(F.min("id").alias("rep")).select("rep", *names))
 
 
-def _named(prints: DataFrame, distinct: DataFrame, found: DataFrame, blocks: int) -> DataFrame:
-    names = [f"f{i}" for i in range(blocks)]
-    named = distinct.join(found, distinct.rep == found.id, "left").select(*names, F.coalesce("component", "rep").alias("component"))
-    # fingerprints that many rows share: the rows' side is the one that adaptive execution splits
-    return prints.join(named, names).select("id", *(["copy"] if "copy" in prints.columns else []), *names, "component")
-
-
 def linked(prints: DataFrame, blocks: int, segments: Sequence[Sequence[int]], radius: int, distance: int, per_part: int = 1_000_000) -> DataFrame:
     """(id, f0, ..., component) for rows (id, f0, ...): components of distance or less between fingerprints."""
     prints = stored(prints)
     distinct = _distinct(prints, blocks)
     edges = cut(_met(distinct, distinct.count(), blocks, segments, radius, distance, per_part))
-    return _named(prints, distinct, components(edges), blocks)
+    found, names = components(edges), [f"f{i}" for i in range(blocks)]
+    named = distinct.join(found, distinct.rep == found.id, "left").select(*names, F.coalesce("component", "rep").alias("component"))
+    # fingerprints that many rows share: the rows' side is the one that adaptive execution splits
+    return prints.join(named, names).select("id", *names, "component")
 
 
 def _set_rows(k: int):
@@ -313,7 +350,7 @@ def _set_rows(k: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                sets = [np.unique(shingle_digests(t.as_py(), k).view(">u8").astype("<u8").ravel()) for t in part.column(2)]
+                sets = [_shingle_set(t.as_py(), k).view(">u8").astype("<u8").ravel() for t in part.column(2)]
                 yield pa.record_batch([part.column(0), part.column(1), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["component", "id", "n", "digests"])
 
     return rows
@@ -403,31 +440,33 @@ def _confirmed(docs: DataFrame, found: DataFrame, k: int, similarity: float, id_
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, distance: int = 54, blocks: int = 4, segments: Sequence[Sequence[int]] | None = None, similarity: float = 0.8, per_part: int = 1_000_000
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, distance: int = 60, blocks: int = 4, segments: Sequence[Sequence[int]] | None = None, similarity: float = 0.8, per_part: int = 1_000_000
 ) -> DataFrame:
     """(id, copy, f0, ..., component): components of pairs whose sets of k-word shingles have this Jaccard similarity or more.
 
     SimHash only names candidates: a similarity of 0.8 is a cosine of 0.89 and
-    a distance of 39 of 256 bits on average, with a deviation of 5.7, so 54
-    bits lose one pair in two hundred, while unrelated texts (128 bits, 8) are
-    linked at no corpus size. Segments widen with the corpus and their number
+    a distance of 39 of 256 bits on average, with a deviation of 5.7, of 48
+    bits for texts of four and five shingles, so 60 bits lose few pairs of any
+    size, while unrelated texts (128 bits, 8) are candidates at no corpus size. Segments widen with the corpus and their number
     follows, so that a pair at the similarity is a candidate with the
     probability RECALL at any size.
 
     The texts of each component of candidates are then held against each other
-    by the exact similarity. Rows of equal fingerprint are copies.
+    by the exact similarity. Rows of equal sets are copies; equal fingerprints
+    of different sets, as of two texts of one and two shingles, are not.
     """
     if segments is None:
         segments = segments_for(docs.count(), 64 * blocks, distance, similarity)
-    prints = stored(fingerprints(docs, k, blocks, id_col, text_col, split_ties=True))
+    prints = stored(set_fingerprints(docs, k, blocks, id_col, text_col))
     names = [f"f{i}" for i in range(blocks)]
-    # what stands for a fingerprint: a number of its own, as ids may repeat; of which row its text is taken
-    rep = F.xxhash64(*names).alias("rep")
-    distinct = cut(prints.groupBy(*names).agg(F.min(F.struct("id", "copy")).alias("row")).select(rep, "row", *names))
+    # rep stands for a set of shingles: ids may repeat; row is the one whose text is taken
+    fields = [F.first(x).alias(x) for x in names]
+    distinct = cut(prints.groupBy("rep").agg(F.min(F.struct("id", "copy")).alias("row"), *fields))
     edges = cut(_met(distinct, distinct.count(), blocks, segments, 0, distance, per_part))
     found = cut(_rows_of(components(edges), distinct))
-    parts = components(_confirmed(docs, found, k, similarity, id_col, text_col))
-    return _named(prints, distinct.drop("row"), parts, blocks)
+    parts = cut(components(_confirmed(docs, found, k, similarity, id_col, text_col)).withColumnRenamed("id", "rep"))
+    # sets that many rows share: the rows' side is the one that adaptive execution splits
+    return prints.join(parts, "rep", "left").select("id", "copy", *names, F.coalesce("component", "rep").alias("component"))
 
 
 def _rows_of(parts: DataFrame, distinct: DataFrame) -> DataFrame:

@@ -290,6 +290,46 @@ def test_near_duplicates_by_exact_jaccard(spark):
     assert gone - want == {6001, 6002, 6003, 6004}
 
 
+def jaccard(a, b):
+    sets = []
+    for t in (a, b):
+        w = t.lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    return len(sets[0] & sets[1]) / max(1, len(sets[0] | sets[1]))
+
+
+def test_near_duplicates_of_repeated_shingles_and_few_words(spark):
+    rng = random.Random(31)
+    draw = lambda n: " ".join("".join(rng.choices(string.ascii_lowercase, k=6)) for _ in range(n))
+    line = "all rights are reserved by us "
+    rows = [(i, line * 400 + draw(120)) for i in range(8)]  # one line makes up most of each; else unlike
+    same = draw(120)
+    rows += [(20, same), (21, line * 400 + same)]  # as sets of shingles they are alike
+    heads = [draw(5) for _ in range(40)]
+    rows += [(100 + i, h) for i, h in enumerate(heads)] + [(200 + i, h + " more") for i, h in enumerate(heads)]  # 1 of 2 shingles
+    rows += [(300 + i, draw(1) + " " + heads[0][:-1] + "x") for i in range(40)] + [(400, "x"), (401, "X"), (402, "y")]
+    gone = {r[0] for r in rows} - {r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert gone == {21, 401}
+
+
+def test_near_duplicates_of_texts_of_any_size_match_brute_force(spark):
+    rng = random.Random(17)
+    draw = lambda n: ["".join(rng.choices(string.ascii_lowercase, k=6)) for _ in range(n)]
+    rows, near = [], {}
+    for g in range(900):
+        words = draw(rng.choice((8, 9, 10, 12, 14, 20, 30, 60, 150)))
+        other = list(words)
+        for _ in range(rng.randint(0, max(1, len(words) // 30))):
+            other[rng.randrange(len(other))] = draw(1)[0]
+        other = other[rng.randint(0, 1) :] + draw(rng.randint(0, 2))
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(other))]
+        near[2 * g + 1] = jaccard(rows[-1][1], rows[-2][1]) >= 0.8
+    gone = {r[0] for r in rows} - {r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = {i for i, x in near.items() if x}
+    assert gone <= want and len(want) > 200
+    assert len(gone) >= 0.97 * len(want)
+
+
 def test_near_duplicates_keep_one_of_each_group(spark):
     rng = random.Random(8)
     out = []
