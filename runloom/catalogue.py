@@ -560,6 +560,16 @@ def documents_lz77_roundtrip(spark, sf_dir):
     return checks.roundtrip(docs, factors.decode(factors.factorise(docs)))
 
 
+@_add("documents_lz77_files", _SAME.format(id="doc_id", table="documents"))
+def documents_lz77_files(spark, sf_dir):
+    """Documents to factor files on disk, from these to text files on disk, and the texts read from them."""
+    docs, folder = _documents(spark, sf_dir), f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    readers.write_files(readers.factor_files(factors.factorise(docs)), f"{folder}/factors", ".lz")
+    decoded = factors.decode(readers.read_factor_files(readers.read_files(spark, f"{folder}/factors", ".lz")))
+    readers.write_text_files(decoded, f"{folder}/texts")
+    return checks.roundtrip(docs, readers.read_files(spark, f"{folder}/texts", ".txt").withColumnRenamed("content", "text"))
+
+
 #: None of them overlaps itself, so splitting by them finds all occurrences.
 _DOC_PATTERNS = ["on the", "the ", ". ", "ç", "zq", "That the"]
 _DOC_HITS = f"WITH pat(pat_id, p) AS (VALUES {', '.join(f"({i}, '{p}')" for i, p in enumerate(_DOC_PATTERNS))})"

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import struct
+import uuid
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,9 +31,47 @@ def text_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select(F.xxhash64("path").alias("doc_id"), "path", F.col("content").alias("text"))
 
 
-def write_text_files(docs: DataFrame, path: str) -> None:
-    """One binary file's worth of text in each row, as Parquet."""
-    docs.select("doc_id", "text").write.parquet(path)
+def write_files(rows: DataFrame, folder: str, suffix: str) -> DataFrame:
+    """Writes the bytes of (doc_id, binary column) as they are, one file `<doc_id><suffix>` for each row; gives (doc_id, path, n_bytes).
+
+    The folder must be one that the executors share. A file is written under
+    another name and then moved, so a task that runs again leaves the same
+    file; ids must be unique and not null. Rows with null bytes get an empty
+    file, an empty table an empty folder. The frame is read from a list of the
+    files that is kept beside them, in `_files`, which Spark's scans pass over.
+    """
+
+    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            where, root = fs.FileSystem.from_uri(folder if ":" in folder else f"file://{folder}")
+            where.create_dir(root)
+            paths, sizes = [], []
+            for doc, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if doc is None:
+                    raise ValueError("write_files: a row without id")
+                name, part, content = f"{doc}{suffix}", f"{root}/_part-{uuid.uuid4().hex}", content.as_py() or b""
+                with where.open_output_stream(part) as out:
+                    out.write(content)
+                where.move(part, f"{root}/{name}")
+                paths.append(f"{folder}/{name}")
+                sizes.append(len(content))
+            yield pa.record_batch([batch.column(0), pa.array(paths, pa.string()), pa.array(sizes, pa.int64())], names=["doc_id", "path", "n_bytes"])
+
+    schema, spark = "doc_id bigint, path string, n_bytes bigint", rows.sparkSession
+    rows.mapInArrow(written, schema).write.parquet(f"{folder}/_files")
+    return spark.read.schema(schema).parquet(f"{folder}/_files")
+
+
+def read_files(spark: SparkSession, folder: str, suffix: str) -> DataFrame:
+    """(doc_id, content binary) of the files that write_files() wrote; empty ones are passed over."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").load(folder)
+    name = F.element_at(F.split("path", "/"), -1)
+    return files.select(name.substr(F.lit(1), F.length(name) - len(suffix)).cast("bigint").alias("doc_id"), "content")
+
+
+def write_text_files(docs: DataFrame, folder: str) -> DataFrame:
+    """The texts of (doc_id, text binary) as files."""
+    return write_files(docs.select("doc_id", "text"), folder, ".txt")
 
 
 def symbol_sequences(rows: DataFrame, id_col: str, order_cols: Sequence[str], symbol: F.Column) -> DataFrame:
@@ -46,11 +86,20 @@ def pattern_rows(spark: SparkSession, patterns: Sequence[bytes]) -> DataFrame:
 
 
 def factor_files(factors: DataFrame) -> DataFrame:
-    """(doc_id, content binary): the 9-byte records of each text's factors in order."""
+    """(doc_id, content binary): the 9-byte records of each text's factors in order.
+
+    A begin or length of 2^32 or more, as a text past 4 GiB may have, and a
+    symbol that is no byte don't fit a record and are an error.
+    """
+
+    def record(f: dict) -> bytes:
+        if max(f["beg"], f["len"]) >> 32 or f["ch"] >> 8:
+            raise ValueError(f"factor_files: no room in a record of {RECORD_BYTES} bytes: {f}")
+        return struct.pack(RECORD, f["beg"], f["len"], f["ch"])
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            content = [b"".join(struct.pack(RECORD, f["beg"], f["len"], f["ch"]) for f in row.as_py()) for row in batch.column(1)]
+            content = [b"".join(record(f) for f in row.as_py()) for row in batch.column(1)]
             yield pa.record_batch([batch.column(0), pa.array(content, pa.binary())], names=["doc_id", "content"])
 
     ordered = factors.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("factor_no", "beg", "len", "ch"))).alias("f"))

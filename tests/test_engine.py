@@ -240,6 +240,21 @@ def test_text_files(spark, tmp_path):
     assert got == {"a.txt": b"banana\x00\xff", "b.txt": b"ab\n"}
 
 
+def test_written_files(spark, docs, tmp_path):
+    found = factors.factorise(docs)
+    listed = readers.write_files(readers.factor_files(found), f"{tmp_path}/lz", ".lz")
+    assert {r.doc_id: r.n_bytes for r in listed.collect()} == {int(p.stem): p.stat().st_size for p in (tmp_path / "lz").glob("*.lz")}
+    read = readers.read_factor_files(readers.read_files(spark, f"{tmp_path}/lz", ".lz"))
+    assert sorted(read.collect()) == sorted(found.collect())
+    readers.write_text_files(docs.unionByName(spark.createDataFrame([(99, None)], docs.schema)), f"{tmp_path}/txt")
+    assert {int(p.stem): p.read_bytes() for p in (tmp_path / "txt").glob("[0-9]*")} == dict(enumerate([*GOLDEN, *MORE])) | {99: b""}
+    assert not list((tmp_path / "txt").glob("_part*"))
+    assert {r.doc_id: bytes(r.content) for r in readers.read_files(spark, f"{tmp_path}/txt", ".txt").collect()} == {i: t for i, t in enumerate([*GOLDEN, *MORE]) if t}
+    assert readers.write_text_files(docs.limit(0), f"{tmp_path}/none").count() == 0
+    with pytest.raises(Exception, match="no room in a record"):
+        readers.factor_files(spark.createDataFrame([(1, 0, 1 << 32, 5, 97)], "doc_id bigint, factor_no bigint, beg bigint, len bigint, ch int")).collect()
+
+
 def test_streams_equal_batch(spark, tmp_path):
     rng = random.Random(4)
     whole = {d: ["".join(rng.choice("abr") for _ in range(rng.randint(0, 12))) for _ in range(5)] for d in range(4)}
