@@ -26,6 +26,8 @@ SQL: dict[str, str] = {}
 
 #: Patterns of the pattern queries.
 PATTERNS = (b"th", b"the ", b"e", b"zzz", b". ", b"on the", b"\xc3", b"anan", b"")
+#: Folders over which a file for each document is dealt.
+FOLDERS = 256
 PROBES = (0, 32, 101, 109, 200, 255)
 
 
@@ -564,9 +566,8 @@ def documents_lz77_roundtrip(spark, sf_dir):
 def documents_lz77_files(spark, sf_dir):
     """Documents to factor files on disk, from these to text files on disk, and the texts read from them."""
     docs, folder = _documents(spark, sf_dir), f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
-    readers.write_files(readers.factor_files(factors.factorise(docs)), f"{folder}/factors", ".lz")
-    decoded = factors.decode(readers.read_factor_files(readers.read_files(spark, f"{folder}/factors", ".lz")))
-    readers.write_text_files(decoded, f"{folder}/texts")
+    factors.factorise_files(docs, f"{folder}/factors", FOLDERS)
+    factors.decode_files(spark, f"{folder}/factors", f"{folder}/texts", FOLDERS)
     return checks.roundtrip(docs, readers.read_files(spark, f"{folder}/texts", ".txt").withColumnRenamed("content", "text"))
 
 

@@ -51,10 +51,16 @@ def _walk(parts: list[np.ndarray]) -> bytes:
 
 
 def roundtrip(docs: DataFrame, restored: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, same)."""
-    other = restored.select("doc_id", F.col("text").alias("restored"))
-    same = F.coalesce(F.col("text") == F.coalesce("restored", F.lit(b"")), F.lit(False))
-    return docs.join(other, "doc_id", "left").select("doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), same.alias("same"))
+    """(doc_id, n_bytes, same): texts are the same by length and SHA-256, so that none is shuffled."""
+    other = restored.select("doc_id", *_digest(F.col("text"), "restored"))
+    own = docs.select("doc_id", *_digest(F.col("text"), "text"))
+    empty_bytes, empty = _digest(F.lit(b""), "empty")
+    same = (F.col("text_bytes") == F.coalesce("restored_bytes", empty_bytes)) & (F.col("text") == F.coalesce("restored", empty))
+    return own.join(other, "doc_id", "left").select("doc_id", F.col("text_bytes").alias("n_bytes"), F.coalesce(same, F.lit(False)).alias("same"))
+
+
+def _digest(text: F.Column, name: str) -> tuple[F.Column, F.Column]:
+    return F.octet_length(text).cast("bigint").alias(f"{name}_bytes"), F.sha2(text, 256).alias(name)
 
 
 def expand(runs: DataFrame) -> DataFrame:

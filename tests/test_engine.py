@@ -141,6 +141,79 @@ def test_factor_files(spark, docs):
     assert [tuple(r) for r in readers.read_factor_files(torn).collect()] == [(1, 0, 1, 2, 97)]
 
 
+def plain_factors(text):
+    """Factors by their definition: all earlier occurrences, the one whose prefix comes first."""
+    out, s = [], 0
+    while s < len(text):
+        full = 0
+        while s + full < len(text) and text.find(text[s : s + full + 1], 0, s + full) >= 0:
+            full += 1
+        begs = [j for j in range(s) if text[j : j + full] == text[s : s + full]] if full else [0]
+        close = min(s + full, len(text) - 1)
+        out.append((min(begs, key=lambda j: text[: j + full][::-1]), close - s, text[close]))
+        s = close + 1
+    return out
+
+
+def repetitive(rng):
+    """A text of pieces that come again, alone or many times, with other symbols between them."""
+    symbols = rng.choice([b"\0", b"\0a", b"ab", b"abcdefgh", bytes(range(256))])
+    pieces = [bytes(rng.choices(symbols, k=rng.choice([1, 3, 12, 70]))) for _ in range(3)]
+    return b"".join(rng.choice(pieces) * rng.choice([1, 1, 2, 9]) + bytes(rng.choices(symbols, k=rng.randint(0, 2))) for _ in range(rng.randint(0, 25)))
+
+
+def test_factors_of_many_texts_at_once():
+    rng = random.Random(6)
+    for _ in range(40):
+        texts = [repetitive(rng) for _ in range(rng.randint(1, 6))] + [b"", b"\0" * 90, b"abcdefghijklmnop".join(bytes([i]) for i in range(60))]
+        rng.shuffle(texts)
+        counts, *columns = kernels.factor_arrays(texts)
+        found = iter(zip(*(c.tolist() for c in columns), strict=True))
+        assert [[next(found) for _ in range(n)] for n in counts.tolist()] == [plain_factors(t) for t in texts]
+        assert next(found, None) is None
+    assert [len(x) for x in kernels.factor_arrays([])] == [0] * 4
+
+
+def test_factors_of_a_text_that_grows_by_long_pieces():
+    rng = random.Random(8)
+    for _ in range(20):
+        index, found, text = growing.Growing(), [], b""
+        for piece in [repetitive(rng) * 2 for _ in range(3)]:
+            found += index.extend(piece)
+            text += piece
+            last = index.open_factor()
+            assert [f[1:] for f in found] + ([last[1:]] if last else []) == kernels.factorise(text)
+
+
+def test_files_straight_from_texts(spark, docs, tmp_path):
+    rng = random.Random(7)
+    more = spark.createDataFrame([(100 + i, bytearray(repetitive(rng))) for i in range(300)], docs.schema).repartition(2)
+    docs = docs.unionByName(more)
+    want = {r.doc_id: bytes(r.content) for r in readers.factor_files(factors.factorise(docs)).collect()}
+    factors.factorise_files(docs, f"{tmp_path}/lz")
+    assert {int(p.stem): p.read_bytes() for p in (tmp_path / "lz").glob("*.lz")} == want
+    read = readers.read_files(spark, f"{tmp_path}/lz", ".lz")
+    assert {r.doc_id: bytes(r.content) for r in read.collect()} == want
+    assert read.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism  # no task for every few files
+    texts = {r.doc_id: bytes(r.text) for r in docs.collect() if r.text}
+    assert {r.doc_id: r.n_bytes for r in factors.decode_files(spark, f"{tmp_path}/lz", f"{tmp_path}/txt").collect()} == {i: len(t) for i, t in texts.items()}
+    assert {int(p.stem): p.read_bytes() for p in (tmp_path / "txt").glob("[0-9]*")} == texts
+    dealt = readers.write_files(docs.select((F.col("doc_id") - 9).alias("doc_id"), "text"), f"{tmp_path}/dealt", ".txt", folders=7)
+    assert {r.path.removeprefix(f"{tmp_path}/dealt/") for r in dealt.collect()} == {f"{(r.doc_id - 9) % 7}/{r.doc_id - 9}.txt" for r in docs.collect()}
+    assert {r.doc_id + 9: bytes(r.content) for r in readers.read_files(spark, f"{tmp_path}/dealt", ".txt").collect()} == texts
+    readers.write_files(spark.createDataFrame([(1, bytearray(b"\0\0\0\0\0\0\0\0a\x05")), (2, None)], "doc_id bigint, content binary"), f"{tmp_path}/torn", ".lz")
+    assert [tuple(r) for r in factors.decode_files(spark, f"{tmp_path}/torn", f"{tmp_path}/torn-txt").select("doc_id", "n_bytes").collect()] == [(1, 1)]
+    with pytest.raises(ValueError, match="no room in a record"):
+        readers.records(np.array([0]), np.array([1 << 32]), np.array([97], np.uint8))
+
+
+def test_roundtrip_tells_texts_apart(spark):
+    docs = spark.createDataFrame([(i, bytearray(t)) for i, t in enumerate([b"ab", b"", b"ab", b"", b"ab", b"ab"])], "doc_id bigint, text binary")
+    other = spark.createDataFrame([(0, bytearray(b"ab")), (1, bytearray(b"")), (2, bytearray(b"ba")), (4, None)], docs.schema)
+    got = sorted(tuple(r) for r in checks.roundtrip(docs, other).collect())
+    assert got == [(0, 2, True), (1, 0, True), (2, 2, False), (3, 0, True), (4, 2, False), (5, 2, False)]
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.binary(max_size=30) | st.text("ab", max_size=30).map(str.encode) | st.text("abc", max_size=60).map(str.encode))
 def test_kernels_against_definitions(text):
